@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.llm.leakage import leaked_items
+from readloom.llm.lookalikes import bigram_scores, same_looking
+from readloom.llm.mixing import mix
 from readloom.llm.near_duplicates import expand, near_duplicates
+from readloom.llm.quantiles import digests, percentiles, skewed_groups
+from readloom.llm.splitting import split_items
+from readloom.llm.term_counts import marked_terms
+
+METRICS = ("mean_q", "length", "min_q")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +28,117 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("read_key_a"), F.col("key_b").alias("read_key_b"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = skewed_groups(_table(spark, sf_dir, "rad_reads"), "run_id", METRICS, upper=90, lower=50, times=2.0)
+    return found.select(F.col("grp").alias("run_id"), "metric")
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles, median and tails of every run, with the bounds within which they lie."""
+    found = percentiles(digests(_table(spark, sf_dir, "rad_reads"), "run_id", METRICS), [5, 25, 50, 75, 90, 99])
+    return found.select(F.col("grp").alias("run_id"), "metric", "percent", "n", "rank", "low", "high")
+
+
+def _linkers(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Linkers of all layouts; a table of fixed size, whose number the operator checks."""
+    layout = _table(spark, sf_dir, "read_layout")
+    return [r["seq"] for r in layout.where("class = 'linker' and seq is not null").select("seq").distinct().collect()]
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split_items(_table(spark, sf_dir, "rad_reads"), "read_key", "seq", _linkers(spark, sf_dir), limit=1000, least=500, overlap=60)
+    return pieces.select(F.col("key").alias("read_key"), "piece_no", "start_at", "end_at")
+
+
+def p3_bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reads cut by recursive bisection at the strongest boundary near each midpoint."""
+    pieces = split_items(_table(spark, sf_dir, "rad_reads"), "read_key", "seq", _linkers(spark, sf_dir), limit=1000, least=500, overlap=60, method="bisect")
+    return pieces.select(F.col("key").alias("read_key"), "piece_no", "start_at", "end_at")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_terms(_table(spark, sf_dir, "rad_reads"), "seq", k=8, common_one_in=20, rare_one_in=3000).where("mark is not null").select("term", "mark")
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_terms(_table(spark, sf_dir, "rad_reads"), "seq", k=8, common_one_in=20, rare_one_in=3000)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")
+    found = leaked_items(docs, "doc_id", "text", items, "item_id", "text", n=13, scores=bigram_scores(docs, "text"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str):
+    import public_tokenizers
+
+    return mix(_table(spark, sf_dir, "documents"), "doc_id", "source", "text", _table(spark, sf_dir, "mix_targets"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).rows.select(F.col("key").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).shares
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return same_looking(docs, "doc_id", "text", bigram_scores(docs, "text")).select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found,)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_percentiles, p3_found, p3_bisected, p5_found, p5_counts, p7_found, p8_mix, p8_shares, p9_found)}
+
+
+_P2 = """
+WITH v AS (
+  SELECT run_id, 'mean_q' AS metric, mean_q AS v FROM rad_reads
+  UNION ALL SELECT run_id, 'length', CAST(length AS DOUBLE) FROM rad_reads
+  UNION ALL SELECT run_id, 'min_q', CAST(min_q AS DOUBLE) FROM rad_reads),
+r AS (
+  SELECT run_id, metric, v, row_number() OVER (PARTITION BY run_id, metric ORDER BY v) AS i, count(*) OVER (PARTITION BY run_id, metric) AS n
+  FROM v WHERE v IS NOT NULL AND NOT isnan(v)),
+q AS (
+  SELECT run_id, metric, max(CASE WHEN i = (90 * n + 99) // 100 THEN v END) AS u, max(CASE WHEN i = (50 * n + 99) // 100 THEN v END) AS l
+  FROM r GROUP BY run_id, metric)
+SELECT run_id, metric FROM q WHERE u >= 2 * l
+"""
+
+_P3 = """
+WITH RECURSIVE long_reads AS (SELECT read_key, seq, length(seq) AS n FROM rad_reads WHERE length(seq) > 1000),
+linkers AS (SELECT DISTINCT upper(seq) AS m FROM read_layout WHERE class = 'linker' AND seq IS NOT NULL),
+places AS (SELECT read_key, seq, n, unnest(range(n + 1)) AS p FROM long_reads),
+marks AS (
+  SELECT read_key, p FROM places, linkers WHERE upper(substr(seq, CAST(p + 1 AS BIGINT), length(m))) = m
+  UNION
+  SELECT read_key, p FROM places WHERE p >= 6 AND regexp_full_match(substr(seq, CAST(p - 5 AS BIGINT), 6), '[Nn-]{6}') AND NOT regexp_full_match(substr(seq, CAST(p + 1 AS BIGINT), 1), '[Nn-]')),
+listed AS (SELECT l.read_key, l.n, coalesce((SELECT list(m.p) FROM marks m WHERE m.read_key = l.read_key), []) AS ps FROM long_reads l),
+pieces AS (
+  SELECT read_key, n, ps, CAST(1 AS BIGINT) AS piece_no, CAST(0 AS BIGINT) AS start_at,
+    CASE WHEN n <= 1000 THEN n ELSE coalesce(list_max(list_filter(ps, lambda p: p BETWEEN 500 AND 1000)), 1000) END AS end_at
+  FROM listed
+  UNION ALL
+  SELECT read_key, n, ps, piece_no + 1, end_at - 60,
+    CASE WHEN n - (end_at - 60) <= 1000 THEN n ELSE coalesce(list_max(list_filter(ps, lambda p: p BETWEEN end_at - 60 + 500 AND end_at - 60 + 1000)), end_at - 60 + 1000) END
+  FROM pieces WHERE end_at < n)
+SELECT read_key, piece_no, start_at, CAST(end_at AS BIGINT) AS end_at FROM pieces
+"""
+
+_P5 = """
+WITH t AS (SELECT read_key, substr(upper(seq), i, 8) AS term FROM (SELECT read_key, seq, unnest(range(1, length(seq) - 6)) AS i FROM rad_reads)),
+c AS (SELECT term, count(*) AS occurrences, count(DISTINCT read_key) AS records FROM t WHERE regexp_full_match(term, '[ACGT]{8}') GROUP BY term),
+n AS (SELECT count(*) AS n FROM rad_reads)
+SELECT term, occurrences, records, CASE WHEN records * 20 >= n THEN 'common' WHEN records <= greatest(1, n // 3000) THEN 'rare' END AS mark FROM c, n
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _P2,
+        "p3_found": _P3,
+        "p5_found": f"SELECT term, mark FROM ({_P5}) WHERE mark IS NOT NULL",
+        "p5_counts": _P5,
+    }
