@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of the same shape, in the order of the Latin letters they look like.
-_CYRILLIC = dict(zip("АВЕНІЈКМОРԚЅТѴԜХУаԁеһіјоԛрѕѵԝхуҮ", "ABEHIJKMOPQSTVWXYadehijoqpsvwxyY"))
-_GREEK = dict(zip("ΑΒΕΗΙͿΚΜΝΟΡΤΧΥΖοϳ", "ABEHIJKMNOPTXYZoj"))
+_CYRILLIC = dict(zip("АВСЕНІЈКМОРԚЅТѴԜХУасԁеһіјӏорԛѕѵԝхуҮӀ", "ABCEHIJKMOPQSTVWXYacdehijlopqsvwxyYI", strict=True))
+_GREEK = dict(zip("ΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖϲϳο", "ABCEHIJKMNOPTXYZcjo", strict=True))
 # Cyrillic letters of the shape of a Greek letter that has no Latin one.
 _CYRILLIC_GREEK = dict(zip("ГПФ", "ΓΠΦ"))
 _FOLD = {ord(a): b for a, b in (_CYRILLIC | _GREEK | _CYRILLIC_GREEK).items()}
@@ -55,7 +55,8 @@ for _c in range(0x80, sys.maxunicode + 1):
 _PREPARE[0xB5] = "μ"
 
 _OTHERS = re.compile(r"[^\x00-\x7f]+")
-_TOKEN = re.compile(r"[A-Za-z̀-ͯͰ-ϿЀ-ԯ]*[Ͱ-ϿЀ-ԯ][A-Za-z̀-ͯͰ-ϿЀ-ԯ]*")
+#: Tokens with Greek or Cyrillic; possessive parts and the look behind keep the search from trying a word twice.
+_TOKEN = re.compile(r"(?<![A-Za-z\u0300-\u052f])[A-Za-z\u0300-\u036f]*+[\u0370-\u052f][A-Za-z\u0300-\u052f]*+")
 _SWITCH = 12.0
 _KEPT = 200_000  # entries of each cache of a worker
 
@@ -86,7 +87,7 @@ def spell(token: str, scores: Mapping[str, float]) -> str:
     """Best spelling of a folded token; marks go with the letter before them."""
     paths: list[tuple[float, str, str]] = [(0.0, "", "")]  # score, last letter, spelling
     for c in token:
-        if "̀" <= c <= "ͯ":
+        if "\u0300" <= c <= "\u036f":
             paths = [(s, last, out + c) for s, last, out in paths]
             continue
         after = []
