@@ -1,16 +1,17 @@
 """Held-out passages inside corpus documents (problem 7).
 
-A prefix-filtered set join.  The sets are the runs of ``n`` words of each item;
-a document must hold all words of one run, so the prefix needed for a run is
-its rarest word.  Words are ordered by the number of corpus documents that
-hold them, each run of an item is indexed under its rarest word with its place,
-and every place of a document whose word is a prefix is laid over the indexed
-places of the items.  Length and position bound the overlap, then the words on
-both sides are compared outwards; ``n`` equal words in a row are a leak.
-
-Scale: documents are read twice and never shuffled; only word counts of the
-items' vocabulary are.  Items go to every task in blocks of a checked size,
-one pass over the corpus a block, so their number is not limited by memory.
+A prefix-filtered set join.  A document leaks an item if it holds one of the
+item's runs of ``n`` words, and so all of the run's shingles of two words: the
+prefix that has to be joined is the run's rarest shingle.  Shingles are ordered
+by the number of corpus documents that hold them, each run of an item is
+indexed under its rarest one with its place, and every place of a document
+whose shingle is a prefix is laid over the indexed places of the items.  Length
+and position bound the overlap, then the words on both sides are compared
+outwards; ``n`` equal words in a row are a leak.
+
+Scale: documents are read twice and never shuffled; only counts of the items'
+shingles are.  Items go to every task in blocks of a checked size, one pass
+over the corpus a block, so their number is not limited by memory.
 """
 
 from __future__ import annotations
@@ -25,41 +26,49 @@ from pyspark.sql import functions as F
 
 from readloom.llm.lookalikes import Normaliser
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\w+")
 
 
 def words(text: str, normal: Normaliser) -> list[str]:
     """Maximal runs of letters and digits of the consistent form, in lower case."""
-    return _WORD.findall(normal(text).lower())
+    return _WORD.findall(normal(text).lower().replace("_", " "))
 
 
-def index(items: Mapping[int, list[str]], rarity: Mapping[str, int], n: int) -> dict[str, list[tuple[int, int]]]:
-    """Places (item, position) of prefix words, by word."""
-    found: dict[str, set[tuple[int, int]]] = {}
+Shingle = tuple[str, str]
+
+
+def index(items: Mapping[int, list[str]], rarity: Mapping[Shingle, int], n: int) -> dict[Shingle, list[tuple[int, int]]]:
+    """Places (item, position) of prefix shingles."""
+    found: dict[Shingle, set[tuple[int, int]]] = {}
     for item, w in items.items():
+        pairs = list(zip(w, w[1:]))
+        rank = [(rarity.get(p, 0), p, -i) for i, p in enumerate(pairs)]
         for at in range(len(w) - n + 1):
-            place = min(range(at, at + n), key=lambda i: (rarity.get(w[i], 0), w[i], -i))
-            found.setdefault(w[place], set()).add((item, place))
-    return {w: sorted(p) for w, p in found.items()}
+            place = -min(rank[at : at + n - 1])[2]
+            found.setdefault(pairs[place], set()).add((item, place))
+    return {p: sorted(places) for p, places in found.items()}
 
 
-def leaks(doc: list[str], items: Mapping[int, list[str]], prefixes: Mapping[str, list[tuple[int, int]]], n: int) -> set[int]:
+def leaks(doc: list[str], items: Mapping[int, list[str]], prefixes: Mapping[Shingle, list[tuple[int, int]]], n: int) -> set[int]:
+    """Items of which the document holds ``n`` words in a row."""
     found: set[int] = set()
     if len(doc) < n:
         return found
-    for p, w in enumerate(doc):
-        for item, q in prefixes.get(w, ()):
+    for p, pair in enumerate(zip(doc, doc[1:])):
+        places = prefixes.get(pair)
+        if places is None:
+            continue
+        for item, q in places:
             if item in found:
                 continue
             other = items[item]
-            before = min(p, q)
-            if before + min(len(doc) - p, len(other) - q) < n:
+            before, after = min(p, q), min(len(doc) - p, len(other) - q)
+            if before + after < n:
                 continue
-            i = 1
+            i, j = 1, 2
             while i <= before and doc[p - i] == other[q - i]:
                 i += 1
-            j, after = 1, min(len(doc) - p, len(other) - q)
-            while j < after and i - 1 + j < n and doc[p + j] == other[q + j]:
+            while j < after and doc[p + j] == other[q + j]:
                 j += 1
             if i - 1 + j >= n:
                 found.add(item)
@@ -86,6 +95,8 @@ def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_
     with equal texts or keys are reported as their keys say; an empty table on either side gives no
     rows; other columns are ignored.  ``block_chars`` bounds the items held by a task at once.
     """
+    if n < 2:
+        raise ValueError("n must be at least 2")
     docs = corpus.select(F.col(key).alias("key"), F.col(text).alias("t")).where("t is not null")
     wanted = items.select(F.col(item_key).alias("key"), F.col(item_text).alias("t")).where("t is not null")
     spark, kinds = corpus.sparkSession, (dict(docs.dtypes)["key"], dict(wanted.dtypes)["key"])
@@ -94,17 +105,21 @@ def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_
         normal = Normaliser(scores)
         held = {i: w for i, (_, t) in enumerate(block) if len(w := words(t, normal)) >= n}
         names = [k for k, _ in block]
-        vocabulary = spark.sparkContext.broadcast(({w for x in held.values() for w in x}, dict(scores or {})))
+        known = spark.sparkContext.broadcast(({p for w in held.values() for p in zip(w, w[1:])}, dict(scores or {})))
 
-        def counted(batches, vocabulary=vocabulary):
-            known, scores = vocabulary.value
+        def counted(batches, known=known):
+            shingles, scores = known.value
             normal, total = Normaliser(scores), Counter()
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    total.update(known.intersection(words(t, normal)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-
-        rarity = {r["word"]: r["n"] for r in docs.select("t").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+                    w = words(t, normal)
+                    total.update(shingles.intersection(zip(w, w[1:])))
+            first, second = ([p[i] for p in total] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(list(total.values()), pa.int64())], ["a", "b", "n"])
+
+        # At most as many rows as the block of items has shingles.
+        counts = docs.select("t").mapInArrow(counted, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        rarity = {(r["a"], r["b"]): r["n"] for r in counts.collect()}
         side = spark.sparkContext.broadcast((held, index(held, rarity, n), dict(scores or {})))
 
         def matched(batches, side=side):

@@ -79,6 +79,7 @@ class Pivot:
             return
         other, other_key, p = self.open
         u, total = _uniform(self.seed, other_key, key), p + fraction
+        total = 1.0 if abs(total - 1.0) < 1e-9 else total
         if total < 1.0:
             # One of them gets all the mass and stays open, the other gets nothing.
             first = u * total < p
