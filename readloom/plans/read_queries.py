@@ -436,7 +436,7 @@ def _demux(spark, sf, layout: str, mutation: int = 0, least: int = 0):
 
 
 _LONG = f"""
-WITH a AS (SELECT {sql_part('longchain', 'forw_primer')} || '([ACGTN]{{16}})([ACGTN]{{12}})T*(.*?)(?:' || {sql_part('longchain', 'join_a')} || '.*)?$' AS p), w AS {_WL.format('cell16')},
+WITH a AS (SELECT {sql_part('longchain', 'forw_primer')} || '([ACGTN]{{16}})([ACGTN]{{12}})T*(.*?)(?:(?:' || {sql_part('longchain', 'join_a')} || '|' || {sql_part('longchain', 'join_b')} || '|' || {sql_part('longchain', 'rev_primer')} || ').*)?$' AS p), w AS {_WL.format('cell16')},
 o AS (SELECT read_key, upper(seq) AS f, {_RC.format('upper(seq)')} AS r FROM rad_reads WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')),
 h AS (SELECT read_key, p, CASE WHEN regexp_matches(f, p) THEN 'F' ELSE 'R' END AS strand, CASE WHEN regexp_matches(f, p) THEN f ELSE r END AS s FROM o, a WHERE regexp_matches(f, p) OR regexp_matches(r, p)),
 d AS (SELECT read_key, strand, regexp_extract(s, p, 1) AS barcode_raw, regexp_extract(s, p, 2) AS umi, regexp_replace(regexp_extract(s, p, 3), '[Nn]+', '', 'g') AS cdna FROM h)"""

@@ -111,21 +111,25 @@ def read_pattern(layout: list[Element]) -> tuple[str, list[str]]:
     """Regular expression of a whole forward read, and the ids of its captures.
 
     Sequences with known bases stand for themselves, poly-T and poly-A are runs
-    of any length, variable parts of known length are captured, and the read
-    itself is captured up to the next static part or the end.
+    of any length, variable parts of known length are captured.  The read itself
+    is captured up to the next anchor; behind the last capture that is the first
+    of the layout's anchors that occurs, or the end of a molecule cut short.
     """
     parts, names = [], []
     for i, e in enumerate(layout):
-        last = e.cls == "read"
         if e.seq:
-            # A static part behind the read may be cut off with the end of the molecule.
             parts.append(e.seq.replace("N", "[ACGTN]"))
         elif e.cls in ("poly_t", "poly_a"):
             parts.append("T*" if e.cls == "poly_t" else "A*")
-        elif last:
-            rest = [x for x in layout[i + 1 :] if x.seq]
-            parts.append(f"(.*?)(?:{rest[0].seq}.*)?$" if rest else "(.*)$")
+        elif e.cls == "read":
             names.append(e.id)
+            rest = layout[i + 1 :]
+            if any(x.kind == "variable" for x in rest):
+                parts.append("(.*?)")
+                continue
+            anchors = "|".join(x.seq.replace("N", "[ACGTN]") for x in rest if x.seq)
+            poly = "".join("T*" if x.cls == "poly_t" else "A*" for x in rest if x.cls in ("poly_t", "poly_a"))
+            parts.append(f"(.*?)(?:{poly}(?:{anchors}).*)?$" if anchors else "(.*)$")
             break
         else:
             if e.length is None:
