@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 RESULT = "struct<distance: int, end: int, ties: int>"
 _U = np.uint64
 _LONGEST = 63
+_FEW = 24
 
 
 def infix_one(pattern: str, text: str) -> tuple[int, int, int]:
@@ -36,6 +37,24 @@ def infix_one(pattern: str, text: str) -> tuple[int, int, int]:
     return best, end, ties
 
 
+def _continued(text: bytes, masks: np.ndarray, m: int, j: int, vp: int, vn: int, score: int, best: int, at: int, count: int) -> tuple[int, int, int]:
+    """The same steps for the rest of one text."""
+    ones, top, eqs = (1 << m) - 1, m - 1, masks.tolist()
+    for c in text:
+        eq = eqs[c]
+        d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & ones
+        hp, hn = (vn | ~(d0 | vp)) & ones, d0 & vp
+        score += (hp >> top) - (hn >> top)
+        x = (hp << 1) & ones
+        vp, vn = ((hn << 1) | ~(d0 | x)) & ones, d0 & x
+        if score < best:
+            best, at, count = score, j, 1
+        elif score == best and best < m:
+            count += 1
+        j += 1
+    return best, at, count
+
+
 def infix_many(pattern: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``infix_one`` for many texts at once; patterns of up to 63 ASCII letters."""
     n, m = len(texts), len(pattern)
@@ -61,6 +80,12 @@ def infix_many(pattern: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
         for j in range(int(size[0])):
             while size[live - 1] <= j:
                 live -= 1
+            if live < _FEW:
+                # A few long texts are left: plain integers are faster than arrays of so few.
+                for i in range(live):
+                    rest = raw[i][j:]
+                    best[i], at[i], count[i] = _continued(rest, masks, m, j, int(vp[i]), int(vn[i]), int(score[i]), int(best[i]), int(at[i]), int(count[i]))
+                break
             p, q = vp[:live], vn[:live]
             eq = masks[data[start[:live] + j]]
             d0 = (((eq & p) + p) ^ p) | eq | q

@@ -13,18 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import revcomp
+from readloom.operators.scan import oriented_by
 from readloom.operators.whitelist import aliases, corrected
+from readloom.plans.shape import bound
 from readloom.sources.layouts import Element, read_pattern
 
 
 def parsed(reads: DataFrame, layout: Sequence[Element], key: str = "read_key", seq: str = "seq") -> DataFrame:
     """``key, strand`` and one column for each captured element of the reads that follow the layout exactly."""
     pattern, names = read_pattern(list(layout))
-    both = reads.select(F.col(key).alias("read_key"), F.upper(seq).alias("_f")).withColumn("_r", revcomp(F.col("_f")))
-    hit = both.withColumn("strand", F.when(F.col("_f").rlike(pattern), "F").when(F.col("_r").rlike(pattern), "R")).where("strand is not null")
-    text = F.when(F.col("strand") == "F", F.col("_f")).otherwise(F.col("_r"))
-    return hit.select("read_key", "strand", *(F.regexp_extract(text, pattern, i).alias(n) for i, n in enumerate(names, 1)))
+    hit = oriented_by(reads.select(F.col(key).alias("read_key"), F.col(seq).alias("_s")), "_s", pattern)
+    return bound(hit, **{n: F.regexp_extract("oriented", pattern, i) for i, n in enumerate(names, 1)}).drop("_s", "oriented")
 
 
 def without_gaps(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import mask_pattern, revcomp
 from readloom.operators.align import infix_distance
+from readloom.plans.shape import bound
 
 #: Adapters used where a slide platform names none.
 SLIDE_ADAPTERS = {
@@ -21,21 +22,18 @@ def located(reads: DataFrame, seq: str, adapter: str) -> DataFrame:
 
     The forward strand comes first; reads without an exact copy on either strand leave.
     """
-    both = reads.withColumn("_f", F.upper(seq)).withColumn("_r", revcomp(F.col("_f")))
-    at = both.withColumns({"_pf": F.locate(adapter, F.col("_f")), "_pr": F.locate(adapter, F.col("_r"))}).where("_pf > 0 or _pr > 0")
-    return at.withColumns(
-        {
-            "strand": F.when(F.col("_pf") > 0, "F").otherwise("R"),
-            "oriented": F.when(F.col("_pf") > 0, F.col("_f")).otherwise(F.col("_r")),
-            "after": F.when(F.col("_pf") > 0, F.col("_pf")).otherwise(F.col("_pr")) + len(adapter),
-        }
-    ).drop("_f", "_r", "_pf", "_pr")
+    # The reverse strand is only made for reads without a forward copy; on it the adapter is searched as it is.
+    up = bound(reads, _f=F.upper(seq)).withColumn("_pf", F.locate(adapter, F.col("_f")))
+    one = bound(up, oriented=F.when(F.col("_pf") > 0, F.col("_f")).otherwise(revcomp(F.col("_f"))))
+    at = bound(one, _at=F.locate(adapter, F.col("oriented"))).where("_at > 0")
+    return at.withColumns({"strand": F.when(F.col("_pf") > 0, "F").otherwise("R"), "after": F.col("_at") + len(adapter)}).drop("_f", "_pf", "_at")
 
 
 def located_fuzzy(reads: DataFrame, seq: str, adapter: str, max_error: float = 0.3) -> DataFrame:
     """As ``located`` for copies within ``floor(max_error * length)`` edits; the better strand wins, forward on a tie."""
     most = int(max_error * len(adapter) + 1e-9)
-    both = reads.withColumn("_f", F.upper(seq)).withColumn("_r", revcomp(F.col("_f")))
+    both = bound(reads, _f=F.upper(seq))
+    both = bound(both, _r=revcomp(F.col("_f")))
     both = both.withColumns({"_df": infix_distance(adapter, F.col("_f")), "_dr": infix_distance(adapter, F.col("_r"))})
     forward = F.col("_df.distance") <= F.col("_dr.distance")
     hit = F.when(forward, F.col("_df")).otherwise(F.col("_dr"))
@@ -44,6 +42,14 @@ def located_fuzzy(reads: DataFrame, seq: str, adapter: str, max_error: float = 0
     return found.withColumns({"after": F.col("_h.end") + 2, "distance": F.col("_h.distance")}).drop("_f", "_r", "_df", "_dr", "_h")
 
 
+def oriented_by(reads: DataFrame, seq: str, pattern: str) -> DataFrame:
+    """``strand`` and ``oriented`` of reads that hold a regular expression, forward strand first."""
+    up = bound(reads, _f=F.upper(seq))
+    sided = bound(up, strand=F.when(F.col("_f").rlike(pattern), "F").otherwise("R"))
+    text = bound(sided, oriented=F.when(F.col("strand") == "F", F.col("_f")).otherwise(revcomp(F.col("_f"))))
+    return text.where((F.col("strand") == "F") | F.col("oriented").rlike(pattern)).drop("_f")
+
+
 def captured(found: DataFrame, length: int, left: int = 0, right: int = 0, out: str = "barcode") -> DataFrame:
     """Barcode behind the adapter: ``length + right`` bases from ``left`` on; a cut-off window gives none."""
     size = length + right
@@ -53,10 +59,8 @@ def captured(found: DataFrame, length: int, left: int = 0, right: int = 0, out:
 def masked(reads: DataFrame, seq: str, mask: str, out: str = "barcode") -> DataFrame:
     """Concatenated captures of a mask, forward strand first; only A, C, G and T are captured."""
     pattern, blocks = mask_pattern(mask)
-    both = reads.withColumn("_f", F.upper(seq)).withColumn("_r", revcomp(F.col("_f")))
-    hit = both.withColumn("strand", F.when(F.col("_f").rlike(pattern), "F").when(F.col("_r").rlike(pattern), "R")).where("strand is not null")
-    text = F.when(F.col("strand") == "F", F.col("_f")).otherwise(F.col("_r"))
-    return hit.withColumn(out, F.concat(*(F.regexp_extract(text, pattern, i) for i in range(1, len(blocks) + 1)))).drop("_f", "_r")
+    hit = oriented_by(reads, seq, pattern)
+    return hit.withColumn(out, F.concat(*(F.regexp_extract("oriented", pattern, i) for i in range(1, len(blocks) + 1)))).drop("oriented")
 
 
 def split_scan(reads: DataFrame, key: str, seq: str, adapter: str, bc1: DataFrame, bc2: DataFrame, bc1_length: int, bc2_length: int, umi_length: int = 9, offset_min: int = 0, offset_max: int = 3, gap: int = 0) -> DataFrame:

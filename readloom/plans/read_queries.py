@@ -13,6 +13,7 @@ from readloom.operators import demux as dm
 from readloom.operators import reads as rd
 from readloom.operators.align import infix_distance
 from readloom.plans.core_queries import table
+from readloom.plans.shape import spread
 from readloom.sources.layouts import Element, from_rows
 from readloom.streaming.counts import barcode_counts, run_to_end
 
@@ -71,7 +72,7 @@ _WL = "(SELECT DISTINCT upper(trim(barcode)) AS barcode FROM whitelist_barcodes
 SELECT read_key, CAST(length(seq) AS INT) AS length, round(list_avg(v), 6) AS mean_q, CAST(list_min(v) AS INT) AS min_q, round(len(list_filter(v, lambda x: x >= 20)) / nullif(len(v), 0), 6) AS frac_q20
 FROM (SELECT read_key, seq, CASE WHEN qual <> '' THEN list_transform(string_split(qual, ''), lambda c: ascii(c) - 33) END AS v FROM rad_reads)""")
 def reads_qc_summary(spark, sf):
-    r = rd.with_summaries(reads_of(spark, sf).select("read_key", "seq", "qual"))
+    r = rd.with_summaries(spread(reads_of(spark, sf).select("read_key", "seq", "qual")))
     return r.select("read_key", "length", F.round("mean_q", 6).alias("mean_q"), "min_q", F.round("frac_q20", 6).alias("frac_q20"))
 
 
@@ -344,12 +345,12 @@ def scan_pair_mask(spark, sf):
 @query()
 def infix_distances(spark, sf):
     d = infix_distance(part_of(spark, sf, "longchain", "forw_primer"), F.upper("seq"))
-    return reads_of(spark, sf).select("read_key", d.alias("d")).select("read_key", "d.*")
+    return spread(reads_of(spark, sf).select("read_key", "seq")).select("read_key", d.alias("d")).select("read_key", "d.*")
 
 
 @query()
 def scan_fuzzy(spark, sf):
-    found = scan.located_fuzzy(reads_of(spark, sf).select("read_key", "seq"), "seq", part_of(spark, sf, "longchain", "forw_primer"), 0.15)
+    found = scan.located_fuzzy(spread(reads_of(spark, sf).select("read_key", "seq")), "seq", part_of(spark, sf, "longchain", "forw_primer"), 0.15)
     return scan.captured(found, 16).select("read_key", "strand", "distance", "barcode")
 
 
