@@ -14,6 +14,7 @@ from readloom.llm.near_duplicates import expand, near_duplicates
 from readloom.llm.quantiles import digests, percentiles, skewed_groups
 from readloom.llm.splitting import split_items
 from readloom.llm.term_counts import marked_terms
+from readloom.plans.shape import spread
 
 METRICS = ("mean_q", "length", "min_q")
 
@@ -23,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = _table(spark, sf_dir, "rad_reads")
+    reads = spread(_table(spark, sf_dir, "rad_reads").select("read_key", "seq"))
     pairs = expand(near_duplicates(reads, "read_key", "seq", threshold=0.5, k=12, min_length=60))
     return pairs.select(F.col("key_a").alias("read_key_a"), F.col("key_b").alias("read_key_b"))
 
@@ -66,7 +67,7 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Spelling scores would not change which texts are equal, so they are not counted here.
-    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")
+    docs, items = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "eval_items")
     found = leaked_items(docs, "doc_id", "text", items, "item_id", "text", n=13)
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
 
@@ -74,7 +75,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixed(spark: SparkSession, sf_dir: str):
     import public_tokenizers
 
-    return mix(_table(spark, sf_dir, "documents"), "doc_id", "source", "text", _table(spark, sf_dir, "mix_targets"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return mix(spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text", _table(spark, sf_dir, "mix_targets"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return same_looking(docs, "doc_id", "text", bigram_scores(docs, "text")).select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
 
 
