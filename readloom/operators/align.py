@@ -55,19 +55,23 @@ def _continued(text: bytes, masks: np.ndarray, m: int, j: int, vp: int, vn: int,
     return best, at, count
 
 
-def infix_many(pattern: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``infix_one`` for many texts at once; patterns of up to 63 ASCII letters."""
+def infix_many(pattern: str, texts: list[str], wild: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``infix_one`` for many texts at once; patterns of up to 63 ASCII letters.
+
+    Letters of the pattern in ``wild`` match every canonical base, and nothing else.
+    """
     n, m = len(texts), len(pattern)
     if not 1 <= m <= _LONGEST or not pattern.isascii():
         raise ValueError(f"a pattern has 1 to {_LONGEST} ASCII letters")
     distance, end, ties = np.full(n, m, np.int32), np.full(n, -1, np.int32), np.zeros(n, np.int32)
     lengths = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    order = order[lengths[order] >= m]
+    order = order[lengths[order] >= (1 if wild else m)]
     if len(order):
         masks = np.zeros(256, _U)
         for i, c in enumerate(pattern):
-            masks[ord(c)] |= _U(1 << i)
+            for x in "ACGT" if c in wild else c:
+                masks[ord(x)] |= _U(1 << i)
         raw = [texts[i].encode("ascii", "replace") for i in order]
         data = np.frombuffer(b"".join(raw), np.uint8)
         size = lengths[order]
@@ -102,11 +106,69 @@ def infix_many(pattern: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
             at[:live][better] = j
             np.minimum(b, s, out=b)
         distance[order], end[order], ties[order] = best, at, count
-    for i in np.flatnonzero(lengths < m):
+    for i in np.flatnonzero(lengths < (0 if wild else m)):
         distance[i], end[i], ties[i] = infix_one(pattern, texts[i])
     return distance, end, ties
 
 
+def mask_capture(mask: str, text: str, end: int, errors: int) -> str | None:
+    """Captured bases of a mask whose best alignment ends at ``end``; none where a best alignment has a gap in or beside a captured block.
+
+    ``N`` captures, ``n`` skips, both match any canonical base.
+    """
+    m = len(mask)
+    window = text[max(0, end + 1 - m - errors) : end + 1]
+    cost = lambda p, c: 0 if p == c or p in "Nn" and c in "ACGT" else 1
+    rows = [[0] * (len(window) + 1)]
+    for i, p in enumerate(mask, 1):
+        last = rows[-1]
+        row = [i]
+        for j, c in enumerate(window, 1):
+            row.append(min(last[j - 1] + cost(p, c), last[j] + 1, row[-1] + 1))
+        rows.append(row)
+    # All best alignments are walked; the first one found, along diagonals, gives the capture.
+    todo, seen, captured, straight = [(m, len(window))], set(), [], True
+    while todo:
+        i, j = todo.pop()
+        if (i, j) in seen or not i:
+            straight = straight and bool(i)
+            continue
+        seen.add((i, j))
+        if rows[i][j] == rows[i - 1][j] + 1:
+            # A letter of the mask is missing from the text.
+            if "N" in mask[max(0, i - 2) : i + 1]:
+                return None
+            todo.append((i - 1, j))
+        if j and rows[i][j] == rows[i][j - 1] + 1:
+            # The text has a letter more.
+            if "N" in mask[i - 1 : i + 1]:
+                return None
+            todo.append((i, j - 1))
+        if j and rows[i][j] == rows[i - 1][j - 1] + cost(mask[i - 1], window[j - 1]):
+            if straight and mask[i - 1] == "N":
+                if window[j - 1] not in "ACGT":
+                    return None
+                captured.append(window[j - 1])
+            todo.append((i - 1, j - 1))
+    return "".join(reversed(captured))
+
+
+def mask_captures(mask: str, text: Column, max_error: float) -> Column:
+    """``distance`` and ``barcode`` of a mask within ``max_error`` of its literal letters, in one orientation; null where it is not found."""
+    literal = sum(c not in "Nn" for c in mask)
+    most = int(max_error * literal + 1e-9)
+
+    def run(t):
+        texts = [x or "" for x in t.to_pylist()]
+        d, e, _ = infix_many(mask, texts, "Nn")
+        hit = (d <= most) & (e >= 0)
+        found = [mask_capture(mask, texts[i], int(e[i]), most) if hit[i] else None for i in range(len(texts))]
+        return pa.StructArray.from_arrays([pa.array([int(d[i]) if f is not None else None for i, f in enumerate(found)], pa.int32()), pa.array(found, pa.string())], ["distance", "barcode"])
+
+    run.__annotations__ = {"t": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<distance: int, barcode: string>")(text)
+
+
 def infix_distance(pattern: str, text: Column) -> Column:
     """``distance, end, ties`` of the pattern in each text; null for null."""
 

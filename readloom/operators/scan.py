@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import mask_pattern, revcomp
-from readloom.operators.align import infix_distance
+from readloom.operators.align import infix_distance, mask_captures
 from readloom.plans.shape import bound
 
 #: Adapters used where a slide platform names none.
@@ -63,6 +63,20 @@ def masked(reads: DataFrame, seq: str, mask: str, out: str = "barcode") -> DataF
     return hit.withColumn(out, F.concat(*(F.regexp_extract("oriented", pattern, i) for i in range(1, len(blocks) + 1)))).drop("oriented")
 
 
+def masked_fuzzy(reads: DataFrame, seq: str, mask: str, max_error: float = 0.3, out: str = "barcode") -> DataFrame:
+    """As ``masked`` within ``max_error`` edits of the literal letters; the better strand wins, forward on a tie.
+
+    A gap inside or beside a captured block rejects the read on that strand.
+    """
+    mask_pattern(mask)
+    both = bound(reads, _f=F.upper(seq))
+    both = bound(both, _r=revcomp(F.col("_f")))
+    both = both.withColumns({"_cf": mask_captures(mask, F.col("_f"), max_error), "_cr": mask_captures(mask, F.col("_r"), max_error)})
+    df, dr = F.col("_cf.distance"), F.col("_cr.distance")
+    sided = both.withColumn("strand", F.when(df.isNotNull() & (dr.isNull() | (df <= dr)), "F").when(dr.isNotNull(), "R")).where("strand is not null")
+    return sided.withColumn(out, F.when(F.col("strand") == "F", F.col("_cf.barcode")).otherwise(F.col("_cr.barcode"))).drop("_f", "_r", "_cf", "_cr")
+
+
 def split_scan(reads: DataFrame, key: str, seq: str, adapter: str, bc1: DataFrame, bc2: DataFrame, bc1_length: int, bc2_length: int, umi_length: int = 9, offset_min: int = 0, offset_max: int = 3, gap: int = 0) -> DataFrame:
     """``key, strand, umi, bc1, bc2, offset``: both barcodes from their catalogs, at the first offset that fits.
 

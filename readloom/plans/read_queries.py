@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import dna, quality
-from readloom.operators import concat, discover, reformat, scan, spatial, whitelist
+from readloom.operators import concat, discover, hmm, reformat, scan, spatial, whitelist
 from readloom.operators import demux as dm
 from readloom.operators import reads as rd
 from readloom.operators.align import infix_distance
@@ -354,6 +354,13 @@ def scan_fuzzy(spark, sf):
     return scan.captured(found, 16).select("read_key", "strand", "distance", "barcode")
 
 
+@query()
+def scan_masked_fuzzy(spark, sf):
+    mask = part_of(spark, sf, "splitwell", "linker_1") + "N" * 8 + part_of(spark, sf, "splitwell", "linker_2")
+    reads = spread(in_layout(spark, sf, "splitwell").select("read_key", "seq"))
+    return scan.masked_fuzzy(reads, "seq", mask, 0.1).select("read_key", "strand", "barcode")
+
+
 # Correction --------------------------------------------------------------------
 
 
@@ -628,6 +635,13 @@ def concat_boundary_table(spark, sf):
     return concat.junction_table(edges)
 
 
+@query()
+def concat_units(spark, sf):
+    reads = spread(reads_of(spark, sf).select("read_key", "seq"))
+    units = hmm.segmented(reads, "read_key", "seq", part_of(spark, sf, "longchain", "forw_primer"), part_of(spark, sf, "longchain", "rev_primer"))
+    return units.withColumnRenamed("key", "read_key")
+
+
 # Streaming -----------------------------------------------------------------------------
 
 

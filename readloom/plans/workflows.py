@@ -95,7 +95,8 @@ def scan_whitelist(
         counted = counts.groupBy("barcode").agg(F.sum("count").alias("count"))
     else:
         if capture_mode == "masked" or any(c in (adapter or "") for c in "Nn"):
-            hits = sc.masked(reads, "seq", adapter)
+            literal = sum(c not in "Nn" for c in adapter)
+            hits = sc.masked(reads, "seq", adapter) if int(max_error * literal) == 0 else sc.masked_fuzzy(reads, "seq", adapter, max_error)
         else:
             found = sc.located(reads, "seq", adapter) if int(max_error * len(adapter)) == 0 else sc.located_fuzzy(reads, "seq", adapter, max_error)
             hits = sc.captured(found, barcode_length, left_margin, right_margin)
