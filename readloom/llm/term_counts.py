@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.blocks import blocks
+
 _BASES = "ACGT"
 _BASE_CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(_BASES):
@@ -76,8 +78,8 @@ def term_counts(df: DataFrame, text: str, k: int = 8) -> DataFrame:
     def partial(batches):
         occurrences, records = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                o, r = last_seen(*base_terms(b.column(0).slice(at, 5000), k), size)
+            for _, part in blocks(b.column(0).drop_null()):
+                o, r = last_seen(*base_terms(part, k), size)
                 occurrences += o
                 records += r
         if occurrences.any():
