@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.llm import lookalikes
 from readloom.llm.leakage import leaked_items
 from readloom.llm.lookalikes import bigram_scores, same_looking
 from readloom.llm.mixing import mix
@@ -137,10 +138,52 @@ SELECT term, occurrences, records, CASE WHEN records * 20 >= n THEN 'common' WHE
 """
 
 
+# An exact prefix-filtered join: pairs at 0.5 share one of the first half of their stretches, rare ones first.
+_P1 = """
+WITH r AS (SELECT read_key, upper(seq) AS s FROM rad_reads WHERE length(seq) >= 60),
+k AS (SELECT DISTINCT read_key, substr(s, CAST(i AS BIGINT), 12) AS t FROM (SELECT read_key, s, unnest(range(1, length(s) - 10)) AS i FROM r)),
+f AS (SELECT t, count(*) AS df FROM k GROUP BY t),
+o AS (SELECT k.read_key, k.t, row_number() OVER (PARTITION BY read_key ORDER BY df, k.t) AS i, count(*) OVER (PARTITION BY read_key) AS n FROM k JOIN f ON f.t = k.t),
+p AS (SELECT read_key, t, n FROM o WHERE i <= n - CAST(ceil(n / 2) AS BIGINT) + 1),
+c AS (SELECT DISTINCT a.read_key AS x, b.read_key AS y, a.n AS nx, b.n AS ny FROM p a JOIN p b ON a.t = b.t AND a.read_key < b.read_key WHERE 2 * least(a.n, b.n) >= greatest(a.n, b.n)),
+v AS (SELECT x, y, nx, ny, count(*) AS shared FROM c JOIN k a ON a.read_key = x JOIN k b ON b.read_key = y AND b.t = a.t GROUP BY x, y, nx, ny)
+SELECT x AS read_key_a, y AS read_key_b FROM v WHERE 2 * shared >= nx + ny - shared
+"""
+
+
+def _form_sql(column: str) -> str:
+    """The consistent form without its spelling: every class stands for itself, which keeps the same texts apart and together."""
+    quote = lambda t: t.replace("'", "''")
+    pairs = {chr(c): v for c, v in lookalikes._PREPARE.items() if v is not None} | {chr(c): v for c, v in lookalikes._FOLD.items()} | {"\t": " "}
+    # Letters with an accent keep it: their first letter is folded, then both are composed again.
+    for c in map(chr, range(0xC0, 0x530)):
+        parts = lookalikes.unicodedata.normalize("NFD", c)
+        folded = lookalikes.unicodedata.normalize("NFC", parts.translate(lookalikes._FOLD))
+        if len(parts) > 1 and len(folded) == 1 and folded != c:
+            pairs[c] = folded
+    gone = "".join(f"\\x{{{c:X}}}" for c, v in lookalikes._PREPARE.items() if v is None and c < 0x10000)
+    return f"nfc_normalize(translate(nfc_normalize(regexp_replace({column}, '[{gone}]', '', 'g')), '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}'))"
+
+
+def _p7_sql() -> str:
+    words = lambda column: f"regexp_extract_all(lower({_form_sql(column)}), '[\\pL\\pN]+')"
+    runs = lambda key, table: f"SELECT DISTINCT {key}, array_to_string(w[i:i + 12], ' ') AS t FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, {words('text')} AS w FROM {table} WHERE text IS NOT NULL))"
+    return f"SELECT DISTINCT d.doc_id, e.item_id FROM ({runs('doc_id', 'documents')}) d JOIN ({runs('item_id', 'eval_items')}) e ON d.t = e.t"
+
+
+def _p9_sql() -> str:
+    return f"""
+WITH f AS (SELECT doc_id, text, {_form_sql('text')} AS form FROM documents WHERE text <> '')
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
         "p2_found": _P2,
         "p3_found": _P3,
         "p5_found": f"SELECT term, mark FROM ({_P5}) WHERE mark IS NOT NULL",
         "p5_counts": _P5,
+        "p7_found": _p7_sql(),
+        "p9_found": _p9_sql(),
     }
