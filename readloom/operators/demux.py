@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions.dna import revcomp
 from readloom.operators.scan import oriented_by
 from readloom.operators.whitelist import aliases, corrected
 from readloom.plans.shape import bound
@@ -39,11 +40,12 @@ def cut_together(seq: Column, qual: Column) -> tuple[Column, Column]:
     return pick(seq), F.when(qual.isNotNull() & (F.length(qual) == F.length(seq)), pick(qual)).otherwise(qual)
 
 
-def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq") -> DataFrame:
+def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True) -> DataFrame:
     """``read_key, strand``, and for each barcode element ``<id>_raw, <id>, <id>_kind``, then ``umi`` and ``cdna``.
 
     Rows whose barcodes are all exact or uniquely corrected are ``passing``; cDNA has its N blocks cut out and
-    must have ``min_read_length`` bases.
+    must have ``min_read_length`` bases.  It stays in the orientation in which the read was sequenced; the UMI is
+    given in forward orientation, unless ``rc_umi`` is false.
     """
     rows = parsed(reads, layout, key, seq)
     barcodes = [e for e in layout if e.cls == "barcode"]
@@ -53,12 +55,14 @@ def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, Dat
         rows = corrected(rows, f"{e.id}_raw", alias).withColumnsRenamed({"true_bc": e.id, "kind": f"{e.id}_kind"})
     umi = next((e.id for e in layout if e.cls == "umi"), None)
     read = next((e.id for e in layout if e.cls == "read"), None)
-    cdna = without_gaps(F.col(read)) if read else F.lit("")
+    back = lambda c: F.when(F.col("strand") == "R", revcomp(c)).otherwise(c)
+    cdna = back(without_gaps(F.col(read))) if read else F.lit("")
+    of_umi = F.lit(None).cast("string") if not umi else F.col(umi) if rc_umi else back(F.col(umi))
     passing = F.lit(True)
     for e in barcodes:
         passing = passing & F.col(e.id).isNotNull()
     columns = [c for e in barcodes for c in (f"{e.id}_raw", e.id, f"{e.id}_kind")]
-    out = rows.select("read_key", "strand", *columns, (F.col(umi) if umi else F.lit(None).cast("string")).alias("umi"), cdna.alias("cdna"))
+    out = rows.select("read_key", "strand", *columns, of_umi.alias("umi"), cdna.alias("cdna"))
     return out.withColumn("passing", passing & (F.length("cdna") >= min_read_length))
 
 

@@ -57,6 +57,30 @@ def corrected(observed: DataFrame, barcode: str, alias: DataFrame) -> DataFrame:
     return joined.withColumns({"true_bc": true, "kind": kind}).drop("alias", "_own", "_n", "_any")
 
 
+def generated(observed: DataFrame, barcode: str, whitelist: DataFrame, mutation: int) -> DataFrame:
+    """``observed barcode, true_bc``: all barcodes of a large whitelist within ``mutation`` edits.
+
+    The distinct observed barcodes are expanded and probe the whitelist by equality, so the whitelist is never
+    expanded; it is shuffled only where Spark cannot broadcast it.
+    """
+    seen = observed.select(F.col(barcode).alias(barcode)).where(F.col(barcode).isNotNull()).distinct()
+    tries = seen.withColumn("true_bc", F.col(barcode)).unionByName(neighbourhood(seen, barcode, mutation, "true_bc").select(barcode, "true_bc")) if mutation else seen.withColumn("true_bc", F.col(barcode))
+    return tries.join(whitelist.select(F.col("barcode").alias("true_bc")).distinct(), "true_bc", "left_semi").select(barcode, "true_bc").distinct()
+
+
+def relocated(reads: DataFrame, key: str, text: str, start: str, length: int, whitelist: DataFrame, pad: int = 4) -> DataFrame:
+    """``key, barcode, shift, end_at``: an exact barcode in the window of ``pad`` bases around its expected place.
+
+    ``start`` is the expected 1-based place; the smallest shift wins, to the right on a tie.  ``end_at`` is the place
+    behind the barcode, where the parts chained to it begin.
+    """
+    each = reads.select(F.col(key).alias("key"), F.col(text).alias("t"), F.col(start).alias("s")).withColumn("shift", F.explode(F.sequence(F.lit(-pad), F.lit(pad))))
+    windows = each.where(F.col("s") + F.col("shift") >= 1).withColumn("barcode", F.substring(F.col("t"), F.col("s") + F.col("shift"), F.lit(length))).where(F.length("barcode") == length)
+    known = windows.join(whitelist.select("barcode").distinct(), "barcode", "left_semi")
+    best = known.groupBy("key").agg(F.min(F.struct(F.abs("shift").alias("d"), (-F.col("shift")).alias("r"), "barcode", "shift", "s")).alias("b"))
+    return best.select("key", "b.barcode", "b.shift", (F.col("b.s") + F.col("b.shift") + length).alias("end_at"))
+
+
 def similar(left: DataFrame, a: str, right: DataFrame, b: str, cap: int) -> DataFrame:
     """``a, b, distance``: pairs of distinct strings within ``cap`` edits (0 to 2).
 

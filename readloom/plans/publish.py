@@ -74,6 +74,15 @@ def intact(path: str, size: int, sha256: str) -> bool:
         return hashlib.file_digest(f, "sha256").hexdigest() == sha256
 
 
+def clear_cache(cache: str, confirm: bool = False) -> bool:
+    """Removes a cache folder, if that is confirmed; whether it was there."""
+    if not confirm:
+        raise ValueError("clearing the cache must be confirmed")
+    there = os.path.isdir(cache)
+    shutil.rmtree(cache, ignore_errors=True)
+    return there
+
+
 def resource(key: str, manifest: Mapping[str, Mapping], cache: str) -> str | None:
     """Path of a cached resource, or None where it is missing or damaged; names cannot leave the cache."""
     if key not in manifest:

@@ -380,6 +380,22 @@ def alias_correct(spark, sf):
     return whitelist.corrected(_counted(spark, sf), "barcode", whitelist.aliases(barcodes_of(spark, sf, "cell16"), 1))
 
 
+@query(_COUNTED + f"SELECT c.barcode, w.barcode AS true_bc FROM c, {_WL.format('cell16')} w WHERE levenshtein(c.barcode, w.barcode) <= 1")
+def alias_generated(spark, sf):
+    return whitelist.generated(_counted(spark, sf), "barcode", barcodes_of(spark, sf, "cell16"), 1)
+
+
+@query(
+    _LOCATED
+    + f""", e AS (SELECT read_key, pl, k, substr(s, CAST(pl + k AS BIGINT), 16) AS barcode FROM h, range(-4, 5) t(k) WHERE pl + k >= 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY read_key ORDER BY abs(k), -k) AS i FROM e WHERE barcode IN (SELECT barcode FROM {_WL.format('cell16')}))
+SELECT read_key, barcode, CAST(k AS INT) AS shift, CAST(pl + k + 16 AS INT) AS end_at FROM g WHERE i = 1"""
+)
+def scan_relocated(spark, sf):
+    found = whitelist.relocated(_located(spark, sf), "read_key", "oriented", "after", 16, barcodes_of(spark, sf, "cell16"))
+    return found.withColumnRenamed("key", "read_key")
+
+
 @query(_COUNTED + f"SELECT c.barcode AS a, w.barcode AS b, CAST(levenshtein(c.barcode, w.barcode) AS INT) AS distance FROM c, {_WL.format('cell16')} w WHERE levenshtein(c.barcode, w.barcode) <= 2")
 def similarity_join(spark, sf):
     return whitelist.similar(_counted(spark, sf), "barcode", barcodes_of(spark, sf, "cell16"), "barcode", 2)
@@ -447,7 +463,7 @@ _LONG = f"""
 WITH a AS (SELECT {sql_part('longchain', 'forw_primer')} || '([ACGTN]{{16}})([ACGTN]{{12}})T*(.*?)(?:(?:' || {sql_part('longchain', 'join_a')} || '|' || {sql_part('longchain', 'join_b')} || '|' || {sql_part('longchain', 'rev_primer')} || ').*)?$' AS p), w AS {_WL.format('cell16')},
 o AS (SELECT read_key, upper(seq) AS f, {_RC.format('upper(seq)')} AS r FROM rad_reads WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')),
 h AS (SELECT read_key, p, CASE WHEN regexp_matches(f, p) THEN 'F' ELSE 'R' END AS strand, CASE WHEN regexp_matches(f, p) THEN f ELSE r END AS s FROM o, a WHERE regexp_matches(f, p) OR regexp_matches(r, p)),
-d AS (SELECT read_key, strand, regexp_extract(s, p, 1) AS barcode_raw, regexp_extract(s, p, 2) AS umi, regexp_replace(regexp_extract(s, p, 3), '[Nn]+', '', 'g') AS cdna FROM h)"""
+d AS (SELECT read_key, strand, regexp_extract(s, p, 1) AS barcode_raw, regexp_extract(s, p, 2) AS umi, CASE strand WHEN 'R' THEN reverse(translate(regexp_replace(regexp_extract(s, p, 3), '[Nn]+', '', 'g'), 'ACGTacgt', 'TGCAtgca')) ELSE regexp_replace(regexp_extract(s, p, 3), '[Nn]+', '', 'g') END AS cdna FROM h)"""
 
 
 @query(_LONG + "SELECT read_key, strand, barcode_raw, w.barcode, CASE WHEN w.barcode IS NULL THEN 'none' ELSE 'exact' END AS barcode_kind, umi, cdna, w.barcode IS NOT NULL AND length(cdna) >= 30 AS passing FROM d LEFT JOIN w ON w.barcode = barcode_raw")

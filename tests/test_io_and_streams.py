@@ -128,3 +128,6 @@ def test_resources(tmp_path):
         pb.resource("out", m, str(tmp_path))
     with pytest.raises(KeyError):
         pb.resource("none", m, str(tmp_path))
+    with pytest.raises(ValueError):
+        pb.clear_cache(str(tmp_path / "cache"))
+    assert pb.clear_cache(str(tmp_path / "cache"), confirm=True) is False

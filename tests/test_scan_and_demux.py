@@ -101,6 +101,23 @@ def test_similarity_join_matches_brute_force(spark, cap):
     assert got == {(p, q, levenshtein(p, q)) for p in a for q in b if levenshtein(p, q) <= cap}
 
 
+def test_generated_candidates_and_shifted_windows(spark):
+    wl = spark.createDataFrame([("AAAA",), ("AATT",), ("GGGG",)], "barcode string")
+    seen = spark.createDataFrame([("AAAT",), ("AAAA",), ("CCCC",), (None,)], "bc string")
+    assert {tuple(r) for r in whitelist.generated(seen, "bc", wl, 1).collect()} == {("AAAT", "AAAA"), ("AAAT", "AATT"), ("AAAA", "AAAA")}
+    assert {tuple(r) for r in whitelist.generated(seen, "bc", wl, 0).collect()} == {("AAAA", "AAAA")}
+    r = spark.createDataFrame([(1, "CCGGGGCC", 3), (2, "CGGGGCCC", 3), (3, "CCCCGGGG", 3), (4, "CCCC", 1), (5, "GGGGGGG", 2)], "k int, t string, s int")
+    got = {x["key"]: (x["barcode"], x["shift"], x["end_at"]) for x in whitelist.relocated(r, "k", "t", "s", 4, wl).collect()}
+    assert got == {1: ("GGGG", 0, 7), 2: ("GGGG", -1, 6), 3: ("GGGG", 2, 9), 5: ("GGGG", 0, 6)}
+
+
+def test_umi_orientation(spark):
+    layout = layouts.from_csv(CSV)
+    wl = spark.createDataFrame([("AACC",)], "barcode string")
+    s = rc("ACGTACGT" + "AACC" + "GCA" + "TTTT" + "CCAA" + "GGCCGGCC")
+    assert demux.demux(reads(spark, s), layout, {"cells": wl}, rc_umi=False).first()["umi"] == "TGC"
+
+
 def test_trust_in_corrected_barcodes(spark):
     rows = [("a", 1, 10, 9), ("b", 2, 10, 10), ("c", 1, 10, 9), ("d", 1, 10, 7), ("e", 1, 10, 10)]
     df = spark.createDataFrame(rows, "bc string, raw_count long, total_count long, corrected_count long")
@@ -136,7 +153,7 @@ def test_demux(spark):
     got = {x["read_key"]: x for x in demux.demux(r, layout, {"cells": wl}, mutation=1, min_read_length=3).collect()}
     assert {k: (x["strand"], x["barcode"], x["barcode_kind"], x["umi"], x["cdna"], x["passing"]) for k, x in got.items()} == {
         1: ("F", "AACC", "exact", "GCA", "CCAAGG", True),
-        2: ("R", "AACC", "exact", "GCA", "CCAAGG", True),
+        2: ("R", "AACC", "exact", "GCA", "CCTTGG", True),
         3: ("F", "AACC", "corrected", "GCA", "CCAAGG", True),
         4: ("F", "AACC", "exact", "GCA", "", False),
     }

@@ -48,7 +48,7 @@ def test_demultiplexing_with_every_kind_of_list(spark, reads):
         rows = {r["read_key"]: r for r in out.tables["records"].collect()}
         assert len(rows) == 8 and all(r["passing"] and r["umi"] == UMI for r in rows.values())
         assert [rows[i]["strand"] for i in range(1, 9)] == ["F"] * 4 + ["R"] * 4
-        assert rows[6]["cdna"] == INSERT[:80] and rows[6]["barcode"] == BARCODES[1]
+        assert rows[2]["cdna"] == INSERT[:80] and rows[6]["cdna"] == INSERT[:80].translate(RC)[::-1] and rows[6]["barcode"] == BARCODES[1]
         head = {r["read_key"]: r["header"] for r in out.tables["headers"].collect()}
         assert head[5] == f"read4-R TS:A:- CB:Z:{BARCODES[0]} CR:Z:{BARCODES[0]} UB:Z:{UMI}"
         assert {r["true_bc"]: r["total_count"] for r in out.tables["counters"].collect()} == dict.fromkeys(BARCODES, 4)
