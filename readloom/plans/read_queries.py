@@ -666,7 +666,7 @@ def stream_counts(spark, sf):
     # Any table of reads will do as a stream; its folder is the source and its file the first micro-batch.
     schema = reads_of(spark, sf).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/rad_reads.parquet*")
-    return run_to_end(barcode_counts(stream, "run_id"), f"stream_counts_{abs(hash(sf))}")
+    return run_to_end(barcode_counts(stream, "run_id"), "runs")
 
 
 def queries() -> dict[str, Query]:

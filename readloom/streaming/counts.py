@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,24 @@ def late_counts(stream: DataFrame, time: str, barcode: str, window: str = "1 hou
 
 
 def run_to_end(counts: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all input there is and returns the final table of the memory sink."""
+    """Runs a stream over all input there is; the final table, as the executors wrote it.
+
+    Each micro-batch writes the whole table anew (``complete``) or its own rows (``append``), so nothing is
+    gathered on the driver; a batch that is run again overwrites its own folder only.
+    """
     spark = counts.sparkSession
-    query = counts.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{scratch_root(spark)}/stream-{name}").trigger(availableNow=True).start()
+    root, done = f"{scratch_root(spark)}/stream-{name}-{uuid.uuid4().hex}", []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/{number:09d}")
+        done.append(number)
+
+    query = counts.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], counts.schema)
+    folders = [f"{root}/{n:09d}" for n in (sorted(set(done)) if mode == "append" else [max(done)])]
+    return spark.read.schema(counts.schema).parquet(*folders)
 
 
 def stream_parquet(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:

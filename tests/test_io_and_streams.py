@@ -87,6 +87,15 @@ def test_stream_source(spark, tmp_path):
     assert {tuple(r) for r in spark.table("fq_counts").collect()} == {("a", 3), ("b", 3), ("c", 3)}
 
 
+def test_runs_to_the_end_of_a_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.range(30).selectExpr("id % 3 as bc", "timestamp_seconds(id * 600) as t").repartition(3).write.parquet(src)
+    stream = counts.stream_parquet(spark, src)
+    assert {tuple(r) for r in counts.run_to_end(counts.barcode_counts(stream, "bc"), "a").collect()} == {(0, 10), (1, 10), (2, 10)}
+    late = counts.run_to_end(counts.late_counts(stream, "t", "bc", "1 hour", "10 hours"), "b", "append")
+    assert late.where("count <> 2").count() == 0
+
+
 def test_hand_over_keeps_order(spark):
     out = io.StringIO()
     df = spark.range(100).repartition(7).selectExpr("id", "concat(id, '\n') as t")
