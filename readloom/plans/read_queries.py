@@ -516,16 +516,14 @@ _JOINT = f"""
 WITH a AS (SELECT {sql_part('splitwell', 'forw_primer')} || '([ACGTN]{{8}})' || {sql_part('splitwell', 'linker_1')} || '([ACGTN]{{8}})' || {sql_part('splitwell', 'linker_2')} || '([ACGTN]{{10}})T*' AS p), w AS {_WL.format('well8')},
 o AS (SELECT read_key, upper(seq) AS f, {_RC.format('upper(seq)')} AS r FROM rad_reads WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'splitwell')),
 h AS (SELECT read_key, p, CASE WHEN regexp_matches(f, p) THEN f ELSE r END AS s FROM o, a WHERE regexp_matches(f, p) OR regexp_matches(r, p)),
-d AS (SELECT read_key, regexp_extract(s, p, 1) AS barcode, regexp_extract(s, p, 2) AS barcode_2, regexp_extract(s, p, 3) AS umi FROM h),
-m AS (SELECT barcode AS b1, reverse(barcode) AS x FROM w)
-SELECT read_key, barcode, barcode_2, umi FROM d WHERE barcode IN (SELECT barcode FROM w) AND barcode_2 IN (SELECT barcode FROM w) AND barcode < barcode_2"""
+d AS (SELECT read_key, regexp_extract(s, p, 1) AS barcode, regexp_extract(s, p, 2) AS barcode_2, regexp_extract(s, p, 3) AS umi FROM h)
+SELECT read_key, barcode, barcode_2, umi FROM d WHERE barcode IN (SELECT barcode FROM w) AND barcode_2 IN (SELECT barcode FROM w)"""
 
 
-@query(_JOINT)
+@query(f"SELECT j.* FROM ({_JOINT}) j SEMI JOIN ({_SPLIT} SELECT bc1, bc2 FROM k WHERE n = 1 GROUP BY bc1, bc2 HAVING count(*) >= 2) p ON p.bc1 = j.barcode AND p.bc2 = j.barcode_2")
 def demux_joint_mask(spark, sf):
-    # A mask of allowed cells: the pairs whose first barcode sorts before the second, as a sparse table of 96 x 96 wells.
-    wells = barcodes_of(spark, sf, "well8")
-    mask = wells.toDF("bc1").join(wells.toDF("bc2"), F.col("bc1") < F.col("bc2"))
+    # The allowed cells are the pairs that a scan has met twice or more.
+    mask = scan.counts(_split(spark, sf), "bc1", "bc2").where(F.col("count") >= 2).select("bc1", "bc2")
     return dm.allowed(_demux(spark, sf, "splitwell").where("barcode is not null and barcode_2 is not null"), "barcode", "barcode_2", mask).select("read_key", "barcode", "barcode_2", "umi")
 
 
@@ -557,7 +555,7 @@ def spatial_status_counts(spark, sf):
 
 
 @query(f"""
-WITH w AS {_WL.format('well8')}, x AS (SELECT barcode, CAST(row_number() OVER (ORDER BY barcode) - 1 AS INT) AS i FROM w), p AS ({_JOINT.replace('AND barcode < barcode_2', '')})
+WITH w AS {_WL.format('well8')}, x AS (SELECT barcode, CAST(row_number() OVER (ORDER BY barcode) - 1 AS INT) AS i FROM w), p AS ({_JOINT})
 SELECT read_key, x.i AS array_col, y.i AS array_row, 'assigned' AS status FROM p JOIN x ON x.barcode = p.barcode JOIN x y ON y.barcode = p.barcode_2""")
 def spatial_assign_axes(spark, sf):
     places = rd.numbered(barcodes_of(spark, sf, "well8"), ["barcode"], "place").withColumn("place", (F.col("place") - 1).cast("int"))
