@@ -111,6 +111,81 @@ def infix_many(pattern: str, texts: list[str], wild: str = "") -> tuple[np.ndarr
     return distance, end, ties
 
 
+def infix_hits(pattern: str, texts: list[str], most: int) -> list[list[tuple[int, int, int]]]:
+    """``start, end, distance`` of all places of each text within ``most`` edits of the pattern, from left to right; ``end`` is exclusive.
+
+    Ends in a row are one place: its best end, the first on a tie.
+    """
+    m, out = len(pattern), [[] for _ in texts]
+    if not 1 <= m <= _LONGEST or not pattern.isascii():
+        raise ValueError(f"a pattern has 1 to {_LONGEST} ASCII letters")
+    lengths = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    if not len(order):
+        return out
+    masks = np.zeros(256, _U)
+    for i, c in enumerate(pattern):
+        masks[ord(c)] |= _U(1 << i)
+    raw = [texts[i].encode("ascii", "replace") for i in order]
+    data, size = np.frombuffer(b"".join(raw), np.uint8), lengths[order]
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    ones, top, live = _U((1 << m) - 1), _U(m - 1), len(order)
+    vp, vn, score = np.full(live, ones), np.zeros(live, _U), np.full(live, m, np.int32)
+    found: list[list[tuple[int, int]]] = [[] for _ in order]
+    for j in range(int(size[0])):
+        while size[live - 1] <= j:
+            live -= 1
+        if live < _FEW:
+            for i in range(live):
+                v, w, s, all_ones = int(vp[i]), int(vn[i]), int(score[i]), int(ones)
+                for at, c in enumerate(raw[i][j:], j):
+                    eq = int(masks[c])
+                    d0 = ((((eq & v) + v) ^ v) | eq | w) & all_ones
+                    hp, hn = (w | ~(d0 | v)) & all_ones, d0 & v
+                    s += (hp >> (m - 1)) - (hn >> (m - 1))
+                    x = (hp << 1) & all_ones
+                    v, w = ((hn << 1) | ~(d0 | x)) & all_ones, d0 & x
+                    if s <= most:
+                        found[i].append((at, s))
+            break
+        p, q = vp[:live], vn[:live]
+        eq = masks[data[start[:live] + j]]
+        d0 = (((eq & p) + p) ^ p) | eq | q
+        hp, hn = q | ~(d0 | p), d0 & p
+        s = score[:live]
+        s += ((hp >> top) & _U(1)).astype(np.int32)
+        s -= ((hn >> top) & _U(1)).astype(np.int32)
+        x = (hp << _U(1)) & ones
+        vp[:live] = ((hn << _U(1)) | ~(d0 | x)) & ones
+        vn[:live] = d0 & x
+        for i in np.flatnonzero(s <= most).tolist():
+            found[i].append((j, int(s[i])))
+    for i, ends in zip(order.tolist(), found):
+        best: tuple[int, int] | None = None
+        for k, (at, d) in enumerate(ends):
+            if best is None or d < best[1]:
+                best = at, d
+            if k + 1 == len(ends) or ends[k + 1][0] != at + 1:
+                out[i].append((_start(pattern, texts[i], *best), best[0] + 1, best[1]))
+                best = None
+    return out
+
+
+def _start(pattern: str, text: str, last: int, distance: int) -> int:
+    """Where a place begins that ends with letter ``last``; the one nearest to the pattern's length on a tie."""
+    m = len(pattern)
+    if not distance:
+        return last + 1 - m
+    window = text[max(0, last + 1 - m - distance) : last + 1][::-1]
+    row = list(range(len(window) + 1))
+    for i, p in enumerate(reversed(pattern), 1):
+        left, row[0] = row[0], i
+        for j, c in enumerate(window, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (p != c))
+    return last + 1 - min(range(len(window) + 1), key=lambda j: (row[j], abs(j - m)))
+
+
 def mask_capture(mask: str, text: str, end: int, errors: int) -> str | None:
     """Captured bases of a mask whose best alignment ends at ``end``; none where a best alignment has a gap in or beside a captured block.
 

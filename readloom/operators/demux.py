@@ -8,12 +8,15 @@ Reads are shuffled only where Spark does not broadcast the aliases.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import revcomp
+from readloom.operators.align import infix_hits
 from readloom.operators.scan import oriented_by
 from readloom.operators.whitelist import aliases, corrected
 from readloom.plans.shape import bound
@@ -27,6 +30,96 @@ def parsed(reads: DataFrame, layout: Sequence[Element], key: str = "read_key", s
     return bound(hit, **{n: F.regexp_extract("oriented", pattern, i) for i, n in enumerate(names, 1)}).drop("_s", "oriented")
 
 
+def _filled(text: str, at: int, end: int | None, parts: Sequence[Element], into: dict[str, str]) -> int | None:
+    """Place behind variable parts that begin at ``at``: of all their lengths those that come nearest to ``end``, the longest ones without it."""
+    choices = [e.lengths for e in parts]
+    sizes = max(itertools.product(*choices), key=lambda x: (-abs(at + sum(x) - end) if end is not None else 0, sum(x)))
+    for e, n in zip(parts, sizes):
+        into[e.id] = text[at : at + n]
+        if len(into[e.id]) < n:
+            return None
+        at += n
+    return at
+
+
+def _placed(text: str, layout: Sequence[Element], hits: dict[int, list[tuple[int, int, int]]], pad: int = 3) -> tuple[int, dict[str, str]] | None:
+    """Edits of the static parts and the captured parts of a forward read; none if a static part before the read is missing."""
+    first = min(hits)
+    if not hits[first]:
+        return None
+    _, at, cost = min(hits[first], key=lambda h: (h[2], h[0]))
+    out: dict[str, str] = {}
+    open_parts: list[Element] = []
+    free = None  # start of a read part whose end is not known yet
+    for i, e in enumerate(layout[first + 1 :], first + 1):
+        if e.seq:
+            lo, hi = sum(x.lengths[0] for x in open_parts), sum(x.lengths[-1] for x in open_parts)
+            near = [h for h in hits[i] if h[0] >= at + lo - pad and (free is not None or h[0] <= at + hi + pad)]
+            if not near:
+                return None
+            start, end, d = min(near, key=lambda h: h[0] if free is not None else (h[2], h[0]))
+            if free is not None:
+                out[free], free = text[at:start], None
+            elif open_parts and _filled(text, at, start, open_parts, out) is None:
+                return None
+            at, cost, open_parts = end, cost + d, []
+        elif e.cls in ("poly_t", "poly_a", "read"):
+            if open_parts and (at := _filled(text, at, None, open_parts, out)) is None:
+                return None
+            open_parts = []
+            letter = {"poly_t": "T", "poly_a": "A"}.get(e.cls)
+            while letter and free is None and text[at : at + 1] == letter:
+                at += 1
+            if not letter:
+                free, rest = e.id, layout[i + 1 :]
+                if not any(x.kind == "variable" for x in rest):
+                    ends = [h[0] for k, x in enumerate(rest, i + 1) if x.seq for h in hits[k] if h[0] >= at]
+                    out[free] = text[at : min(ends)] if ends else text[at:]
+                    poly = "".join({"poly_t": "T", "poly_a": "A"}.get(x.cls, "") for x in rest)
+                    if ends and poly:
+                        out[free] = out[free].rstrip(poly)
+                    return cost, out
+        else:
+            open_parts.append(e)
+    if free is not None:
+        out[free] = text[at:]
+    elif open_parts and _filled(text, at, None, open_parts, out) is None:
+        return None
+    return cost, out
+
+
+def parsed_fuzzy(reads: DataFrame, layout: Sequence[Element], max_error: float, key: str = "read_key", seq: str = "seq") -> DataFrame:
+    """As ``parsed`` with static parts found within ``floor(max_error * length)`` edits; the strand with fewer edits wins, forward on a tie.
+
+    Variable parts lie between the static parts that were found, with any of their lengths.
+    """
+    layout = list(layout)
+    names = [e.id for e in layout if not e.seq and e.cls not in ("poly_t", "poly_a")]
+    static = [(i, e.seq) for i, e in enumerate(layout) if e.seq]
+    if not static:
+        raise ValueError("a layout without static parts cannot be found")
+    if missing := [e.id for e in layout if not e.seq and e.cls not in ("poly_t", "poly_a", "read") and not e.lengths]:
+        raise ValueError(f"elements without length: {', '.join(missing)}")
+
+    def run(f, r):
+        sides = []
+        for texts in (f.to_pylist(), r.to_pylist()):
+            texts = [t or "" for t in texts]
+            found = {i: infix_hits(part, texts, int(max_error * len(part) + 1e-9)) for i, part in static}
+            sides.append([_placed(t, layout, {i: found[i][k] for i, _ in static}) for k, t in enumerate(texts)])
+        rows = []
+        for a, b in zip(*sides):
+            side, best = ("F", a) if a is not None and (b is None or a[0] <= b[0]) else ("R", b)
+            rows.append(None if best is None else {"strand": side, **{f"p{k}": best[1].get(n, "") for k, n in enumerate(names)}})
+        return pa.array(rows, pa.struct([("strand", pa.string()), *((f"p{k}", pa.string()) for k in range(len(names)))]))
+
+    run.__annotations__ = {"f": pa.Array, "r": pa.Array, "return": pa.Array}
+    parts = F.arrow_udf(run, f"struct<{', '.join(['strand: string', *(f'p{k}: string' for k in range(len(names)))])}>")
+    both = bound(reads.select(F.col(key).alias("read_key"), F.col(seq).alias("_s")), _f=F.upper("_s"))
+    hit = bound(both, _p=parts(F.col("_f"), revcomp(F.col("_f")))).where("_p is not null")
+    return hit.select("read_key", F.col("_p.strand").alias("strand"), *(F.col(f"_p.p{k}").alias(n) for k, n in enumerate(names)))
+
+
 def without_gaps(text: Column) -> Column:
     """N blocks cut out."""
     return F.regexp_replace(text, "[Nn]+", "")
@@ -40,14 +133,14 @@ def cut_together(seq: Column, qual: Column) -> tuple[Column, Column]:
     return pick(seq), F.when(qual.isNotNull() & (F.length(qual) == F.length(seq)), pick(qual)).otherwise(qual)
 
 
-def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True) -> DataFrame:
+def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True, max_error: float | None = None) -> DataFrame:
     """``read_key, strand``, and for each barcode element ``<id>_raw, <id>, <id>_kind``, then ``umi`` and ``cdna``.
 
     Rows whose barcodes are all exact or uniquely corrected are ``passing``; cDNA has its N blocks cut out and
     must have ``min_read_length`` bases.  It stays in the orientation in which the read was sequenced; the UMI is
-    given in forward orientation, unless ``rc_umi`` is false.
+    given in forward orientation, unless ``rc_umi`` is false.  With ``max_error`` static parts may have errors.
     """
-    rows = parsed(reads, layout, key, seq)
+    rows = parsed(reads, layout, key, seq) if max_error is None else parsed_fuzzy(reads, layout, max_error, key, seq)
     barcodes = [e for e in layout if e.cls == "barcode"]
     for e in barcodes:
         rows = rows.withColumnRenamed(e.id, f"{e.id}_raw")

@@ -453,10 +453,11 @@ def discover_spacing(spark, sf):
 # Demultiplexing -----------------------------------------------------------------
 
 
-def _demux(spark, sf, layout: str, mutation: int = 0, least: int = 0):
+def _demux(spark, sf, layout: str, mutation: int = 0, least: int = 0, max_error: float | None = None):
     elements = layout_of(spark, sf, layout)
     lists = {e.whitelist: barcodes_of(spark, sf, e.whitelist) for e in elements if e.cls == "barcode"}
-    return dm.demux(in_layout(spark, sf, layout).select("read_key", "seq"), elements, lists, mutation, least)
+    reads = in_layout(spark, sf, layout).select("read_key", "seq")
+    return dm.demux(reads if max_error is None else spread(reads), elements, lists, mutation, least, max_error=max_error)
 
 
 _LONG = f"""
@@ -488,6 +489,11 @@ def demux_corrected(spark, sf):
     return _demux(spark, sf, "longchain", 1, 30)
 
 
+@query()
+def demux_fuzzy(spark, sf):
+    return _demux(spark, sf, "longchain", 1, 30, 0.15)
+
+
 @query(
     _FIXED
     + """SELECT 1 AS class_id, barcode AS true_bc, count(*) FILTER (barcode_kind = 'exact') AS raw_count, count(*) FILTER (barcode_kind IN ('exact', 'corrected')) AS total_count, count(*) FILTER (barcode_kind = 'corrected') AS corrected_count,

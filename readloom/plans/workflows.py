@@ -142,8 +142,12 @@ def demultiplex(
     min_read_length: int = 0,
     joint_mask: DataFrame | None = None,
     max_reads: int | None = None,
+    max_error: float | None = None,
 ) -> Result:
-    """Records with corrected barcodes and headers, counters by barcode, roles and run statistics."""
+    """Records with corrected barcodes and headers, counters by barcode, roles and run statistics.
+
+    With ``max_error`` static parts may have so many errors a letter; without it they are matched exactly.
+    """
     one_of(auto=auto, custom_whitelist=None if custom_whitelist is None else True)
     if max_reads is not None:
         reads = reads.where(F.col("read_key") <= max_reads)
@@ -153,7 +157,7 @@ def demultiplex(
         lists = {e.whitelist: own for e in layout if e.cls == "barcode"}
     if missing := [e.whitelist for e in layout if e.cls == "barcode" and e.whitelist not in lists]:
         raise ValueError(f"whitelists missing: {', '.join(missing)}")
-    records = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length)
+    records = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error)
     barcodes = [e.id for e in layout if e.cls == "barcode"]
     if joint_mask is not None:
         if len(barcodes) != 2:

@@ -134,6 +134,7 @@ def read_pattern(layout: list[Element]) -> tuple[str, list[str]]:
         else:
             if e.length is None:
                 raise ValueError(f"element {e.id!r} has no length")
-            parts.append(f"([ACGTN]{{{e.length}}})")
+            span = f"{e.lengths[0]},{e.lengths[-1]}" if len(e.lengths) > 1 else e.length
+            parts.append(f"([ACGTN]{{{span}}})")
             names.append(e.id)
     return "".join(parts), names

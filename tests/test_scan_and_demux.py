@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import revcomp
-from readloom.operators import concat, demux, discover, reformat, scan, spatial, whitelist
+from readloom.operators import align, concat, demux, discover, reformat, scan, spatial, whitelist
 from readloom.sources import layouts
 
 RC = str.maketrans("ACGT", "TGCA")
@@ -111,6 +111,33 @@ def test_generated_candidates_and_shifted_windows(spark):
     assert got == {1: ("GGGG", 0, 7), 2: ("GGGG", -1, 6), 3: ("GGGG", 2, 9), 5: ("GGGG", 0, 6)}
 
 
+def test_demux_follows_errors_in_static_parts(spark):
+    layout = layouts.from_rows(
+        {"element_no": i, "id": n, "seq": s, "expected_length": ln, "class": c, "whitelist": w}
+        for i, (n, s, ln, c, w) in enumerate([("primer", "GTAGGACCTCACCAGTCGGATT", "", "", ""), ("bc", "", "7-8", "barcode", "cells"), ("link", "CTAATAAGTGTCTTACAGGC", "", "linker", ""), ("umi", "", "4", "umi", ""), ("t", "", "", "poly_t", ""), ("read", "", "", "read", ""), ("tail", "CGTCACTCCTTACAGAGTGCCAG", "", "", "")])
+    )
+    wl = spark.createDataFrame([("AACCGGAC",), ("AACCGGA",)], "barcode string")
+    make = lambda p, b, k, t: "CATG" + p + b + k + "GCAG" + "TTTT" + "CCAAGGACCA" + t + "GG"
+    p, k, t = "GTAGGACCTCACCAGTCGGATT", "CTAATAAGTGTCTTACAGGC", "CGTCACTCCTTACAGAGTGCCAG"
+    texts = [make(p, "AACCGGAC", k, t), make(p[:9] + p[10:], "AACCGGAC", k, t), make(p, "AACCGGAC", k[:8] + "A" + k[8:], t), make(p, "AACCGGAC", k, t[:11] + "C" + t[12:]), make(p, "AACCGGA", k, t)]
+    rows = [(i, x) for i, x in enumerate([*texts, *map(rc, texts), "ACGT" * 30, "", None])]
+    df = spark.createDataFrame(rows, "read_key long, seq string")
+    got = {r["read_key"]: (r["strand"], r["bc_raw"], r["bc"], r["umi"], r["cdna"]) for r in demux.demux(df, layout, {"cells": wl}, max_error=0.15).collect()}
+    bcs = ["AACCGGAC"] * 4 + ["AACCGGA"]
+    assert got == {i: ("FR"[i // 5], bcs[i % 5], bcs[i % 5], "GCAG", "CCAAGGACCA" if i < 5 else rc("CCAAGGACCA")) for i in range(10)}
+    assert {r["read_key"] for r in demux.demux(df, layout, {"cells": wl}).collect()} == {0, 3, 4, 5, 8, 9}
+
+
+def test_infix_hits_match_brute_force():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ACG") for _ in range(rng.randrange(0, 60))) for _ in range(80)]
+    pattern = "ACGGCA"
+    for text, hits in zip(texts, align.infix_hits(pattern, texts, 1)):
+        ends = [j for j in range(1, len(text) + 1) if min(levenshtein(pattern, text[i:j]) for i in range(j + 1)) <= 1]
+        assert {e for _, e, _ in hits} <= set(ends) and len(hits) == sum(j - 1 not in ends for j in ends)
+        assert all(levenshtein(pattern, text[a:b]) == d for a, b, d in hits)
+
+
 def test_umi_orientation(spark):
     layout = layouts.from_csv(CSV)
     wl = spark.createDataFrame([("AACC",)], "barcode string")
