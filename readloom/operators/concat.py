@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions.dna import BASES
+
 LEFT_BOUNDED, RIGHT_BOUNDED, LEFT_INSERT, RIGHT_INSERT, UNRESOLVED = 1, 2, 4, 8, 16
 
 
@@ -83,6 +85,27 @@ def segments(reads: DataFrame, key: str, seq: str, joins: Sequence[str]) -> Data
     return each.select("key", F.size("p").cast("long").alias("units"), F.posexplode("p").alias("_i", "part")).select("key", (F.col("_i") + 1).cast("long").alias("segment"), "units", "part")
 
 
+_RC = str.maketrans(BASES, "TGCA")
+
+
+def segments_both(reads: DataFrame, key: str, seq: str, joins: Sequence[str]) -> DataFrame:
+    """As ``segments``, cut at exact copies of the joins on either strand.
+
+    ``left_strand`` and ``right_strand`` tell the strand of the cuts beside a segment, null at the ends of the read.
+    Where copies overlap the cut goes to the first one, the longest of those that start there.
+    """
+    own = {j.upper(): "F" for j in joins}
+    both = {j.translate(_RC)[::-1]: "R" for j in own} | own
+    pattern = "|".join(sorted(both, key=lambda j: (-len(j), j)))
+    text = F.upper(seq)
+    side = F.create_map(*(F.lit(x) for kv in both.items() for x in kv))
+    cuts = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda j: side[j])
+    # One cut fewer than parts: part i lies between cuts i - 1 and i.
+    parts = F.transform(F.split(text, pattern, -1), lambda p, i: F.struct(p.alias("part"), F.get("c", i - 1).alias("left_strand"), F.get("c", i).alias("right_strand")))
+    each = reads.select(F.col(key).alias("key"), cuts.alias("c"), F.col(seq)).select("key", F.filter(parts, lambda p: p["part"] != "").alias("p"))
+    return each.select("key", F.size("p").cast("long").alias("units"), F.posexplode("p").alias("_i", "p")).select("key", (F.col("_i") + 1).cast("long").alias("segment"), "units", "p.part", "p.left_strand", "p.right_strand")
+
+
 class ChanceHits(NamedTuple):
     n_all: int
     n_low: int

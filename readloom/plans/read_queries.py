@@ -641,6 +641,12 @@ def concat_segments(spark, sf):
     return concat.segments(reads_of(spark, sf), "read_key", "seq", joins).withColumnRenamed("key", "read_key")
 
 
+@query()
+def concat_segments_both(spark, sf):
+    joins = [e.seq for e in layout_of(spark, sf, "longchain") if e.cls == "linker"]
+    return concat.segments_both(reads_of(spark, sf), "read_key", "seq", joins).withColumnRenamed("key", "read_key")
+
+
 _EDGES = "(VALUES ('bounded', 'bounded', 60, 822), ('bounded', 'insert', 60, 822), ('insert', 'bounded', 60, 822), ('insert', 'insert', 60, 822)) e(left_kind, right_kind, left_end, right_start)"
 
 

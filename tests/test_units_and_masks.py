@@ -1,6 +1,6 @@
 import random
 
-from readloom.operators import hmm, scan
+from readloom.operators import concat, hmm, scan
 
 RC = str.maketrans("ACGT", "TGCA")
 OPEN, CLOSE = "CTACACGACGCTCTTCCGATCT", "ACTCTGCGTTGATACCACTGCTT"
@@ -65,3 +65,16 @@ def test_guard_and_empty(spark):
 def test_parameters_are_probabilities():
     for row in hmm.initial():
         assert abs(sum(row) - 1) < 1e-9
+
+
+def test_segments_are_cut_on_both_strands(spark):
+    j, k = "CTAATAAGTGTCTTACAGGC", "TAACGAGATTCCACTGGGTTAACA"
+    seqs = ["AAC" + j + "GGA" + k.lower() + "TTC", "AAC" + rc(j) + "GGA", rc(k) + "AAC" + j + rc(j) + "GG", "ACGT", "", None]
+    got = [tuple(r) for r in concat.segments_both(reads(spark, seqs), "k", "s", [j, k]).orderBy("key", "segment").collect()]
+    assert got == [
+        (0, 1, 3, "AAC", None, "F"), (0, 2, 3, "GGA", "F", "F"), (0, 3, 3, "TTC", "F", None),
+        (1, 1, 2, "AAC", None, "R"), (1, 2, 2, "GGA", "R", None),
+        (2, 1, 2, "AAC", "R", "F"), (2, 2, 2, "GG", "R", None),
+        (3, 1, 1, "ACGT", None, None),
+    ]
+    assert concat.segments(reads(spark, seqs), "k", "s", [j, k]).where("key = 1").count() == 1
