@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import revcomp
 from readloom.operators.align import infix_hits
+from readloom.operators.concat import segments_both
 from readloom.operators.scan import oriented_by
 from readloom.operators.whitelist import aliases, corrected
 from readloom.plans.shape import bound
@@ -159,6 +160,13 @@ def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, Dat
     return out.withColumn("passing", passing & (F.length("cdna") >= min_read_length))
 
 
+def demux_units(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], joins: Sequence[str], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True, max_error: float | None = None) -> DataFrame:
+    """As ``demux`` for every unit of reads that are cut at the joins on both strands; adds ``unit`` and ``units``, the number on the read."""
+    cut = segments_both(reads, key, seq, joins).select(F.struct("key", "segment", "units").alias("_u"), "part")
+    out = demux(cut, layout, whitelists, mutation, min_read_length, "_u", "part", rc_umi, max_error)
+    return out.select(F.col("read_key.key").alias("read_key"), F.col("read_key.segment").alias("unit"), F.col("read_key.units").alias("units"), *(c for c in out.columns if c != "read_key"))
+
+
 def allowed(records: DataFrame, bc1: str, bc2: str, mask: DataFrame) -> DataFrame:
     """Records whose pair of barcodes is a cell of the mask (``bc1, bc2``); others are dropped."""
     pairs = mask.toDF("_m1", "_m2").distinct()

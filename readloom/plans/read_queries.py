@@ -506,6 +506,16 @@ def demux_counters(spark, sf):
     return whitelist.trusted(whitelist.counters(d))
 
 
+@query()
+def demux_unit_counters(spark, sf):
+    elements = layout_of(spark, sf, "longchain")
+    joins = [e.seq for e in elements if e.cls == "linker"]
+    lists = {e.whitelist: barcodes_of(spark, sf, e.whitelist) for e in elements if e.cls == "barcode"}
+    d = dm.demux_units(spread(in_layout(spark, sf, "longchain").select("read_key", "seq")), elements, lists, joins, 1, 30, max_error=0.15).where("barcode is not null")
+    d = d.select(F.lit(1).alias("class_id"), F.col("barcode").alias("true_bc"), F.col("barcode_kind").alias("kind"), "strand", "units", F.col("passing").alias("kept"))
+    return whitelist.trusted(whitelist.counters(d))
+
+
 @query(_FIXED + "SELECT (SELECT count(*) FROM o) AS total_reads, count(*) AS parsed_reads, count(*) FILTER (barcode IS NOT NULL AND length(cdna) >= 30) AS demultiplexed_reads, round(100.0 * count(*) FILTER (barcode IS NOT NULL AND length(cdna) >= 30) / (SELECT count(*) FROM o), 6) AS rate_percent FROM c")
 def demux_stats(spark, sf):
     s = dm.run_stats(in_layout(spark, sf, "longchain"), _demux(spark, sf, "longchain", 1, 30))

@@ -143,10 +143,12 @@ def demultiplex(
     joint_mask: DataFrame | None = None,
     max_reads: int | None = None,
     max_error: float | None = None,
+    joins: Sequence[str] = (),
 ) -> Result:
     """Records with corrected barcodes and headers, counters by barcode, roles and run statistics.
 
     With ``max_error`` static parts may have so many errors a letter; without it they are matched exactly.
+    With ``joins`` reads are cut there and every unit gives a record; counters tell units of reads that have several.
     """
     one_of(auto=auto, custom_whitelist=None if custom_whitelist is None else True)
     if max_reads is not None:
@@ -157,7 +159,10 @@ def demultiplex(
         lists = {e.whitelist: own for e in layout if e.cls == "barcode"}
     if missing := [e.whitelist for e in layout if e.cls == "barcode" and e.whitelist not in lists]:
         raise ValueError(f"whitelists missing: {', '.join(missing)}")
-    records = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error)
+    if joins:
+        records = dm.demux_units(reads, layout, lists, joins, whitelist_mutation, min_read_length, max_error=max_error)
+    else:
+        records = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error)
     barcodes = [e.id for e in layout if e.cls == "barcode"]
     if joint_mask is not None:
         if len(barcodes) != 2:
@@ -168,7 +173,7 @@ def demultiplex(
         cb, raw = F.concat_ws("_", *barcodes), F.concat_ws("_", *(f"{b}_raw" for b in barcodes))
         named = records.where("passing").join(reads.select("read_key", "seq_id"), "read_key")
         tables["headers"] = named.select("read_key", dm.header(F.col("seq_id"), F.col("strand"), cb, raw, F.col("umi")).alias("header"), "cdna")
-        flat = records.where(F.col(barcodes[0]).isNotNull()).select(F.lit(1).alias("class_id"), F.col(barcodes[0]).alias("true_bc"), F.col(f"{barcodes[0]}_kind").alias("kind"), "strand", F.lit(1).alias("units"), F.col("passing").alias("kept"))
+        flat = records.where(F.col(barcodes[0]).isNotNull()).select(F.lit(1).alias("class_id"), F.col(barcodes[0]).alias("true_bc"), F.col(f"{barcodes[0]}_kind").alias("kind"), "strand", (F.col("units") if joins else F.lit(1)).alias("units"), F.col("passing").alias("kept"))
         tables["counters"] = wl.trusted(wl.counters(flat))
     return Result(tables, {"whitelist_mutation": whitelist_mutation, "min_read_length": min_read_length, "auto": auto})
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import revcomp
 from readloom.operators import align, concat, demux, discover, reformat, scan, spatial, whitelist
+from readloom.plans import workflows
 from readloom.sources import layouts
 
 RC = str.maketrans("ACGT", "TGCA")
@@ -128,6 +129,19 @@ def test_demux_follows_errors_in_static_parts(spark):
     assert {r["read_key"] for r in demux.demux(df, layout, {"cells": wl}).collect()} == {0, 3, 4, 5, 8, 9}
 
 
+def test_every_unit_of_a_read_is_demultiplexed(spark):
+    layout, wl = layouts.from_csv(CSV), spark.createDataFrame([("AACC",), ("GGTT",)], "barcode string")
+    join = "CTAATAAGTGTCTTACAGGC"
+    unit = lambda b: "ACGTACGT" + b + "GCA" + "TTTT" + "CCAA" + "GGCCGGCC"
+    df = reads(spark, unit("AACC") + join + unit("GGTT"), rc(unit("AACC") + join + unit("AACC")), unit("GGTT")).withColumn("seq_id", F.lit("r"))
+    out = workflows.demultiplex(df, layout, {"cells": wl}, joins=[join]).tables
+    assert sorted((r["read_key"], r["unit"], r["units"], r["strand"], r["barcode"]) for r in out["records"].collect()) == [
+        (1, 1, 2, "F", "AACC"), (1, 2, 2, "F", "GGTT"), (2, 1, 2, "R", "AACC"), (2, 2, 2, "R", "AACC"), (3, 1, 1, "F", "GGTT"),
+    ]
+    got = {r["true_bc"]: (r["forw_count"], r["rev_count"], r["forw_concat_count"], r["rev_concat_count"]) for r in out["counters"].collect()}
+    assert got == {"AACC": (1, 2, 1, 2), "GGTT": (2, 0, 1, 0)}
+
+
 def test_infix_hits_match_brute_force():
     rng = random.Random(4)
     texts = ["".join(rng.choice("ACG") for _ in range(rng.randrange(0, 60))) for _ in range(80)]
