@@ -55,6 +55,24 @@ def test_missing_anchors_leave_the_cut_open(spark):
     assert hmm.segmented(reads(spark, rows), "k", "s", OPEN, CLOSE, abstain="drop").where("key = 80").count() == 0
 
 
+def test_anchors_with_errors_are_met(spark):
+    rng = random.Random(5)
+    rows = []
+    for i, (a, b) in enumerate(("FF", "FR", "RF", "RR") * 25):
+        r = molecule(rng, a) + molecule(rng, b)
+        # Half of the reads have exact anchors, the others one or, more seldom, two edits in each.
+        for part in (OPEN, CLOSE, rc(OPEN), rc(CLOSE)):
+            r = r.replace(part, part if i < 50 else part[:9] + part[10:] if i < 85 else part[:9] + part[10:15] + "G" + part[15:])
+        rows.append(r)
+    noise = ["".join(rng.choice("ACGT") for _ in range(150)) for _ in range(200)]
+    got = {}
+    for r in hmm.segmented(reads(spark, rows + noise), "k", "s", OPEN, CLOSE).collect():
+        got.setdefault(r["key"], []).append((r["unit"], r["strand"], r["start_at"], r["end_at"]))
+    for i in range(len(rows)):
+        assert "".join(u[1] for u in sorted(got[i])) == ["FF", "FR", "RF", "RR"][i % 4]
+    assert all(got[len(rows) + i] == [(1, "", 0, 150)] for i in range(200))
+
+
 def test_guard_and_empty(spark):
     rng = random.Random(3)
     one = hmm.segmented(reads(spark, [molecule(rng, "R") + molecule(rng, "F")]), "k", "s", OPEN, CLOSE).collect()
