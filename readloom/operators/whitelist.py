@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import neighbourhood, unpack_wide
+from readloom.operators.align import infix_one
 
 
 def cleaned(lines: DataFrame, column: str = "barcode", packed_length: int | None = None) -> DataFrame:
@@ -101,6 +103,34 @@ def similar(left: DataFrame, a: str, right: DataFrame, b: str, cap: int) -> Data
     return pairs.withColumn("distance", F.levenshtein("a", "b", cap)).where("distance >= 0")
 
 
+def similar_infix(left: DataFrame, a: str, right: DataFrame, b: str, cap: int) -> DataFrame:
+    """``a, b, distance``: pairs of distinct strings with an infix edit distance within ``cap`` (0 to 2); the shorter one is the pattern.
+
+    Of ``cap + 1`` parts of the shorter string one lies in the longer one unchanged, at any place.  Parts and windows
+    are joined by equality; a string of up to ``cap`` letters has an empty part and is compared with all that are no shorter.
+    """
+    if not 0 <= cap <= 2:
+        raise ValueError("cap must be 0, 1 or 2")
+    x, y = left.select(F.col(a).alias("a")).where("a is not null").distinct(), right.select(F.col(b).alias("b")).where("b is not null").distinct()
+    parts = cap + 1
+
+    def one_way(short: DataFrame, p: str, long: DataFrame, t: str) -> DataFrame:
+        n = F.length(p)
+        start = lambda i: F.floor(n * i / parts).cast("int")
+        seeds = short.select(p, F.explode(F.array_distinct(F.array(*(F.substring(F.col(p), start(i) + 1, start(i + 1) - start(i)) for i in range(parts))))).alias("seed"))
+        sizes = seeds.select(F.length("seed").alias("size")).distinct()
+        windows = long.crossJoin(F.broadcast(sizes)).where(F.length(t) >= F.col("size"))
+        windows = windows.select(t, F.explode(F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - F.col("size") + 1, F.lit(1))), lambda i: F.substring(F.col(t), i, F.col("size")))))).alias("seed"))
+        return seeds.join(windows, "seed").where(F.length(p) <= F.length(t)).select("a", "b")
+
+    def distance(p, t):
+        return pa.array([infix_one(u, v)[0] for u, v in zip(p.to_pylist(), t.to_pylist())], pa.int32())
+
+    distance.__annotations__ = {"p": pa.Array, "t": pa.Array, "return": pa.Array}
+    pairs = one_way(x, "a", y, "b").unionByName(one_way(y, "b", x, "a")).distinct()
+    return pairs.withColumn("distance", F.arrow_udf(distance, "int")(F.col("a"), F.col("b"))).where(F.col("distance") <= cap)
+
+
 def counters(records: DataFrame, class_id: str = "class_id", true_bc: str = "true_bc") -> DataFrame:
     """Counts of each barcode: raw (exact), corrected, total, by strand and on reads with several units."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")

@@ -401,6 +401,13 @@ def similarity_join(spark, sf):
     return whitelist.similar(_counted(spark, sf), "barcode", barcodes_of(spark, sf, "cell16"), "barcode", 2)
 
 
+@query()
+def similarity_infix(spark, sf):
+    # Windows of the barcode with 4 bases on both sides, as a scan with margins gives them.
+    seen = scan.captured(scan.captured(_located(spark, sf), 16), 16, -4, 8, "window").select("window")
+    return whitelist.similar_infix(seen, "window", barcodes_of(spark, sf, "cell16"), "barcode", 2)
+
+
 @query(_COUNTED + _LIMITS + f", s AS (SELECT barcode FROM c, l WHERE count >= threshold) SELECT barcode, 'true' AS role FROM s UNION ALL SELECT barcode, 'global' FROM {_WL.format('cell16')} WHERE barcode NOT IN (SELECT barcode FROM s)")
 def demux_roles(spark, sf):
     return whitelist.roles(scan.called(_counted(spark, sf)).where("selected"), barcodes_of(spark, sf, "cell16"))

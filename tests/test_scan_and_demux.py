@@ -102,6 +102,22 @@ def test_similarity_join_matches_brute_force(spark, cap):
     assert got == {(p, q, levenshtein(p, q)) for p in a for q in b if levenshtein(p, q) <= cap}
 
 
+@pytest.mark.parametrize("cap", [0, 1, 2])
+def test_infix_similarity_matches_brute_force(spark, cap):
+    rng = random.Random(cap)
+    a = list({"".join(rng.choice("AC") for _ in range(rng.randrange(1, 14))) for _ in range(50)})
+    b = list({"".join(rng.choice("AC") for _ in range(rng.randrange(1, 9))) for _ in range(40)})
+    code = "ACGTTGCATTGACCAG"
+    a, b = [*a, "ACTG" + code + "TGCA", code[2:] + "GT"], [*b, code]
+    x, y = spark.createDataFrame([(w,) for w in a] + [(None,)], "a string"), spark.createDataFrame([(w,) for w in b], "b string")
+    got = {tuple(r) for r in whitelist.similar_infix(x, "a", y, "b", cap).collect()}
+    best = lambda p, t: min(levenshtein(p, t[i:j]) for i in range(len(t) + 1) for j in range(i, len(t) + 1))
+    every = {(p, q, best(*sorted((p, q), key=len))) for p in a for q in b}
+    assert got == {x for x in every if x[2] <= cap}
+    assert ("ACTG" + code + "TGCA", code, 0) in got
+    assert not whitelist.similar(x, "a", y, "b", cap).where(f"b = '{code}' and length(a) > 20").count()
+
+
 def test_generated_candidates_and_shifted_windows(spark):
     wl = spark.createDataFrame([("AAAA",), ("AATT",), ("GGGG",)], "barcode string")
     seen = spark.createDataFrame([("AAAT",), ("AAAA",), ("CCCC",), (None,)], "bc string")
