@@ -13,7 +13,7 @@ from readloom.operators import demux as dm
 from readloom.operators import reads as rd
 from readloom.operators.align import infix_distance
 from readloom.plans.core_queries import table
-from readloom.plans.shape import spread
+from readloom.plans.shape import few, spread
 from readloom.sources.layouts import Element, from_rows
 from readloom.streaming.counts import barcode_counts, run_to_end
 
@@ -38,7 +38,7 @@ def reads_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def layout_of(spark: SparkSession, sf: str, name: str) -> list[Element]:
     """A layout has a handful of rows and is needed on the driver to build the plan."""
-    rows = table(spark, sf, "read_layout").where(F.col("layout") == name).orderBy("element_no").limit(1000).collect()
+    rows = few(table(spark, sf, "read_layout").where(F.col("layout") == name).orderBy("element_no"), 1000)
     return from_rows(r.asDict() for r in rows)
 
 
@@ -440,7 +440,7 @@ _PARTS = "(SELECT layout || '/' || id AS id, upper(seq) AS seq FROM read_layout
 
 def _parts(spark, sf) -> list[tuple[str, str]]:
     rows = discover.usable_parts(table(spark, sf, "read_layout").where("seq is not null").select(F.concat_ws("/", "layout", "id").alias("id"), F.upper("seq").alias("seq")))
-    return [(r["id"], r["seq"]) for r in rows.orderBy("id").limit(10_000).collect()]
+    return [(r["id"], r["seq"]) for r in few(rows.orderBy("id"), 10_000)]
 
 
 @query(f"SELECT p.id, count(*) FILTER (contains(f, p.seq)) AS forward, count(*) FILTER (contains(r, p.seq)) AS reverse FROM (SELECT upper(seq) AS f, {_RC.format('upper(seq)')} AS r FROM rad_reads), {_PARTS} p GROUP BY p.id")

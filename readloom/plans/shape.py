@@ -25,3 +25,11 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
     """
     once = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once"))
     return once.select(*df.columns, *(F.col(f"_once.{n}").alias(n) for n in columns))
+
+
+def few(df: DataFrame, limit: int) -> list:
+    """All rows, for the driver; more than ``limit`` are an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
+    return rows

@@ -17,6 +17,7 @@ from readloom.operators import reformat as rf
 from readloom.operators import scan as sc
 from readloom.operators import spatial as sp
 from readloom.operators import whitelist as wl
+from readloom.plans.shape import few
 from readloom.sources.layouts import Element
 
 
@@ -195,7 +196,7 @@ def discovered(reads: DataFrame, parts: Sequence[tuple[str, str]], catalogs: Dat
     if adapter:
         forward = forward.withColumn("seq", F.when(F.col("seq").contains(adapter), F.col("seq")).otherwise(revcomp(F.col("seq"))))
     tables["spacing"] = dc.spacing(forward, "read_key", "seq", parts)
-    layout, complete = infer_layout(tables["spacing"].orderBy(F.desc("reads")).limit(1000).collect(), dict(parts))
+    layout, complete = infer_layout(few(tables["spacing"].orderBy(F.desc("reads")), 1000), dict(parts))
     return Result(tables, {"sample_reads": sample_reads, "sample_bases": sample_bases}, {"layout": layout, "layout_complete": complete})
 
 

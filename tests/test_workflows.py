@@ -168,3 +168,11 @@ def test_sinks(spark, tmp_path):
     assert gzip.open(paths["n.tsv.gz"], "rt").read().startswith("read_key\n")
     with pytest.raises(FileExistsError):
         sinks.write_tables({"n.csv": r.select("seq_id")}, str(tmp_path / "t"), overwrite=False)
+
+
+def test_bounded_tables_are_whole_or_an_error(spark):
+    from readloom.plans.shape import few
+
+    assert len(few(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError):
+        few(spark.range(6), 5)
