@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.plans.scratch import written
+
 # Letters of the same shape, in the order of the Latin letters they look like.
 _CYRILLIC = dict(zip("АВСЕНІЈКМОРԚЅТѴԜХУасԁеһіјӏорԛѕѵԝхуҮӀ", "ABCEHIJKMOPQSTVWXYacdehijlopqsvwxyYI", strict=True))
 _GREEK = dict(zip("ΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖϲϳο", "ABCEHIJKMNOPTXYZcjo", strict=True))
@@ -197,8 +199,8 @@ def same_looking(df: DataFrame, key: str, text: str, scores: Mapping[str, float]
 
     Defined cases: null and empty texts take no part; equal texts make no
     pair; a null key makes no pair; an empty table gives no rows; other columns
-    are ignored.  Only keys and two 128-bit hashes are shuffled, and groups of
-    one form with one text leave before pairing, however many copies they hold.
+    are ignored.  Texts are read once; only keys and two 128-bit hashes are shuffled, groups of one form
+    with one text leave before pairing, and copies meet only what they are paired with in the result.
     """
     table = df.sparkSession.sparkContext.broadcast(dict(scores or {}))
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("t")).where("key is not null and t <> ''")
@@ -209,9 +211,13 @@ def same_looking(df: DataFrame, key: str, text: str, scores: Mapping[str, float]
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(normal(t)) for t in texts], pa.binary()), pa.array([_digest(t) for t in texts], pa.binary())], ["key", "form", "raw"])
 
-    hashes = rows.mapInArrow(hashed, f"key {dict(rows.dtypes)['key']}, form binary, raw binary")
-    # A form with one text keeps one hash; only the others are paired.
+    hashes = written(rows.mapInArrow(hashed, f"key {dict(rows.dtypes)['key']}, form binary, raw binary"), "forms")
+    # A form with one text keeps one hash; only the others are paired, text by text, whatever the number of their copies.
     mixed = hashes.groupBy("form").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("form")
     members = hashes.join(mixed, "form", "left_semi")
-    a, b = (members.select("form", F.col("key").alias(f"key_{x}"), F.col("raw").alias(f"raw_{x}")) for x in "ab")
-    return a.join(b, "form").where("key_a < key_b and raw_a <> raw_b").select("key_a", "key_b")
+    texts = members.select("form", "raw").distinct()
+    a, b = (texts.select("form", F.col("raw").alias(f"raw_{x}")) for x in "ab")
+    different = a.join(b, "form").where("raw_a < raw_b")
+    x, y = (members.select("form", F.col("raw").alias(f"raw_{c}"), F.col("key").alias(c)) for c in "ab")
+    pairs = different.join(x, ["form", "raw_a"]).join(y, ["form", "raw_b"]).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))

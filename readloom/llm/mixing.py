@@ -1,8 +1,12 @@
 """Mixing sources to target shares by pivotal dependent rounding (problem 8).
 
 Every document of a source is wanted the same number of times, its source's
-share of the mix over the source's size; the mix is the largest that keeps
-every source within its repeats.  Whole copies are given at once, and the
+allotment over the source's size.  Allotments are filled like vessels: the mix
+has a wanted size (all tokens of its sources, unless one is given), sources too
+small for their share stop at their repeats and fall short, which the report
+says, and the rest goes to the others in proportion to their shares.  With
+``keep_shares`` the mix is instead the largest in which every source has its
+share.  Whole copies are given at once, and the
 fractions are rounded by pivotal sampling: two documents meet, mass moves
 between them at random until one fraction is 0 or 1, the other goes on to meet
 the next.  Each document keeps its expected number of copies, and the number of
@@ -116,10 +120,29 @@ def token_sizes(docs: DataFrame, key: str, source: str, text: str, vocabulary: s
     return rows.mapInArrow(counted, f"key {dict(rows.dtypes)['key']}, source string, tokens long")
 
 
-def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, vocabulary: str, pattern: str, seed: int = 20) -> Mix:
+def allotments(share: dict[str, float], tokens: dict[str, int], most: dict[str, int], total: float | None = None, keep_shares: bool = False) -> dict[str, float]:
+    """Tokens wanted of each source: its share of ``total``, within ``most`` times its tokens."""
+    room = {x: float(most[x] * tokens[x]) for x in share}
+    left, weight = sum(tokens[x] for x in share) if total is None else total, sum(share.values())
+    if keep_shares:
+        largest = min((room[x] * weight / share[x] for x in share), default=0.0)
+        return {x: share[x] / weight * min(largest, left if total is not None else largest) for x in share}
+    out = {}
+    for x in sorted(share, key=lambda x: room[x] / share[x]):
+        out[x] = min(room[x], left * share[x] / weight)
+        left, weight = left - out[x], weight - share[x]
+    return out
+
+
+def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, vocabulary: str, pattern: str, seed: int = 20, total_tokens: int | None = None, keep_shares: bool = False) -> Mix:
     """Copies of each document so that sources have their target shares of all tokens.
 
-    ``targets`` has ``source, target_share, max_repeats``, one row a source.
+    ``targets`` has ``source, target_share, max_repeats``, one row a source.  The
+    mix has ``total_tokens``, by default as many as its sources have, fewer where
+    all repeats do not give them; a source that its repeats do not let reach its
+    share is used as often as they allow and reported as ``capped``, with the
+    tokens it is short by.  With ``keep_shares`` every source has its share, and
+    the scarcest one sets the size.
 
     Defined cases: documents without text or source, and of sources without a
     target, are left out; targets without a share, repeats or tokens are
@@ -139,8 +162,11 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, v
     sizes = written(token_sizes(docs.join(F.broadcast(names.withColumnRenamed("source", source)), source, "left_semi"), key, source, text, vocabulary, pattern), "sizes")
     tokens = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     live = [r for r in rows if (r["share"] or 0) > 0 and (r["most"] or 0) > 0 and tokens.get(r["source"], 0) > 0]
-    total = min((r["most"] * tokens[r["source"]] / r["share"] for r in live), default=0.0)
-    rate = {r["source"]: min(float(r["most"]), r["share"] * total / tokens[r["source"]]) for r in live}
+    of = {r["source"]: r for r in live}
+    given = allotments({x: r["share"] for x, r in of.items()}, tokens, {x: r["most"] for x, r in of.items()}, total_tokens, keep_shares)
+    rate = {x: min(float(of[x]["most"]), n / tokens[x]) for x, n in given.items()}
+    size, weight = sum(given.values()), sum(r["share"] for r in live)
+    aims = spark.createDataFrame([(x, of[x]["share"] / weight * size, given[x], given[x] >= of[x]["most"] * tokens[x] * (1 - 1e-9)) for x in given], "source string, wanted double, allotted double, capped boolean")
     rates = spark.createDataFrame(list(rate.items()), "source string, rate double")
     each = sizes.join(F.broadcast(rates), "source").select("key", "source", "tokens", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("fraction"))
     kind = dict(each.dtypes)["key"]
@@ -192,7 +218,8 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, v
     used = result.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.max("copies").alias("most_copies"))
     sum_used = result.select(F.sum(F.col("tokens") * F.col("copies"))).scalar()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    shares = wanted.join(used, "source", "left").select(
-        "source", F.col("share").alias("target_share"), F.col("most").alias("max_repeats"), zero("documents"), zero("most_copies"), zero("tokens_used"), F.coalesce(F.col("tokens_used") / sum_used, F.lit(0.0)).alias("actual_share")
+    shares = wanted.join(used, "source", "left").join(aims, "source", "left").select(
+        "source", F.col("share").alias("target_share"), F.col("most").alias("max_repeats"), zero("documents"), zero("most_copies"), zero("tokens_used"), F.coalesce(F.col("tokens_used") / sum_used, F.lit(0.0)).alias("actual_share"),
+        F.coalesce("allotted", F.lit(0.0)).alias("tokens_allotted"), F.coalesce("capped", F.lit(False)).alias("capped"), F.greatest(F.lit(0.0), F.coalesce(F.col("wanted") - F.col("allotted"), F.lit(0.0))).alias("short_by"),
     )
     return Mix(result, shares)

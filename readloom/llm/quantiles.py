@@ -14,8 +14,10 @@ leaf, and no node above a leaf holds more than ``n / k``, so a rank is off by
 less than ``32 n / k`` in any merge of digests with the same ``k``.  The bounds
 given with each percentile are usually far closer.
 
-Scale: tasks compress their own rows while they read them and hand on a few
-thousand nodes a group; only nodes are shuffled, pre-aggregated again by Spark.
+Scale: tasks compress their own rows while they read them and hand on at most
+some ``3 k`` nodes a group; only nodes are shuffled.  Digests of 512 tasks at a
+time are added up and compressed again, then those, so a task holds the nodes
+of some 512 digests of one group at most, for up to 250 000 tasks.
 """
 
 from __future__ import annotations
@@ -25,12 +27,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.plans.scratch import written
 
 LEVELS = 32
+#: Tasks whose digests are merged first; the outcomes of that meet in a second step.
+FAN_IN = 512
 _SIGN = np.uint64(1 << 63)
 
 
@@ -99,7 +104,7 @@ def _added(group: np.ndarray, node: np.ndarray, count: np.ndarray) -> tuple[np.n
     return g[first], n[first], np.add.reduceat(c, first)
 
 
-def digests(df: DataFrame, group: str, metrics: Sequence[str], k: int = 6_400, hold: int = 400_000) -> DataFrame:
+def digests(df: DataFrame, group: str, metrics: Sequence[str], k: int = 1_024, hold: int = 400_000) -> DataFrame:
     """``grp, metric, node, n``: a q-digest of each metric in each group.
 
     Defined cases: nulls and NaN are left out, infinities count; the null group
@@ -115,6 +120,9 @@ def digests(df: DataFrame, group: str, metrics: Sequence[str], k: int = 6_400, h
     names = list(metrics)
 
     def build(batches):
+        import pyspark
+
+        own = pyspark.TaskContext.get().partitionId() // FAN_IN
         groups: dict = {}
         held = (np.empty(0, np.int64),) * 3
 
@@ -127,8 +135,9 @@ def digests(df: DataFrame, group: str, metrics: Sequence[str], k: int = 6_400, h
                     pa.array(names).take(pa.array(g % len(names))),
                     pa.array(node),
                     pa.array(n),
+                    pa.array(np.full(len(n), own)),
                 ],
-                ["grp", "metric", "node", "n"],
+                ["grp", "metric", "node", "n", "part"],
             )
 
         kind = None
@@ -154,12 +163,52 @@ def digests(df: DataFrame, group: str, metrics: Sequence[str], k: int = 6_400, h
             yield out()
 
     kind_of = dict(rows.dtypes)["grp"]
-    return merged(rows.mapInArrow(build, f"grp {kind_of}, metric string, node long, n long"))
+    some = _compacted(rows.mapInArrow(build, f"grp {kind_of}, metric string, node long, n long, part long"), k)
+    return _compacted(some.withColumn("part", F.lit(0).cast("long")), k).drop("part")
+
+
+def _compacted(nodes: DataFrame, k: int) -> DataFrame:
+    """Nodes of equal ``grp, metric, part`` added up and compressed, a digest at a time."""
+    kind = dict(nodes.dtypes)["grp"]
 
+    def compact(batches):
+        held: list[pa.RecordBatch] = []
 
-def merged(nodes: DataFrame) -> DataFrame:
-    """Digest of the union of digests with the same ``k``."""
-    return nodes.groupBy("grp", "metric", "node").agg(F.sum("n").alias("n"))
+        def done(rows: pa.Table):
+            """Digests of whole groups in rows sorted by group."""
+            keys = [rows.column(i).combine_chunks().dictionary_encode("encode").indices.to_numpy() for i in (0, 1, 4)]
+            new = np.r_[True, (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])]
+            first, g = np.flatnonzero(new), np.cumsum(new) - 1
+            g, node, n = compress(*_added(g, rows.column(2).to_numpy(), rows.column(3).to_numpy()), k)
+            at = pa.array(first[g])
+            return pa.RecordBatch.from_arrays([rows.column(0).combine_chunks().take(at), rows.column(1).combine_chunks().take(at), pa.array(node), pa.array(n), rows.column(4).combine_chunks().take(at)], ["grp", "metric", "node", "n", "part"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = [b.column(i)[-1] for i in (0, 1, 4)]
+            same = np.ones(b.num_rows, bool)
+            for i, v in zip((0, 1, 4), last):
+                x = b.column(i)
+                same &= (pc.is_null(x) if not v.is_valid else pc.fill_null(pc.equal(x, v), False)).to_numpy(zero_copy_only=False)
+            cut = b.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut == 0 and held and all((held[-1].column(i)[-1] == v) or (not held[-1].column(i)[-1].is_valid and not v.is_valid) for i, v in zip((0, 1, 4), last)):
+                held.append(b)
+                continue
+            if cut or held:
+                yield done(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held = [b.slice(cut)]
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    sorted_ = nodes.repartition("grp", "metric", "part").sortWithinPartitions("grp", "metric", "part")
+    return sorted_.mapInArrow(compact, f"grp {kind}, metric string, node long, n long, part long")
+
+
+def merged(nodes: DataFrame, k: int = 1_024) -> DataFrame:
+    """Digest of the union of digests with the same ``k``: equal nodes added up, then compressed again."""
+    added = nodes.groupBy("grp", "metric", "node").agg(F.sum("n").alias("n")).withColumn("part", F.lit(0).cast("long"))
+    return _compacted(added, k).drop("part")
 
 
 def percentiles(digest: DataFrame, percents: Sequence[int]) -> DataFrame:
@@ -216,12 +265,32 @@ def exact_values(df: DataFrame, group: str, metrics: Sequence[str], bounds: Data
     return counted.withColumn("upto", F.sum("c").over(order)).where("upto >= rank").groupBy("grp", "metric", "percent").agg(F.min("value").alias("value"))
 
 
+def checked_percentiles(df: DataFrame, group: str, metrics: Sequence[str], percents: Sequence[int], k: int = 1_024) -> DataFrame:
+    """``grp, metric, percent, n, rank, low, high, value, within_bounds, within_error``: bounds, and the exact value found within them.
+
+    ``within_error``: no more than twice the stated rank error lies between the value and either bound.
+    """
+    bounds = written(percentiles(digests(df, group, metrics, k), percents), "percentiles")
+    keys = ["grp", "metric", "percent"]
+    exact = exact_values(df, group, metrics, bounds).select(F.col("grp").alias("g"), F.col("metric").alias("m"), F.col("percent").alias("p"), "value")
+    found = bounds.join(exact, F.col("grp").eqNullSafe(F.col("g")) & (F.col("metric") == F.col("m")) & (F.col("percent") == F.col("p"))).drop("g", "m", "p")
+    one = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), (F.col(m).cast("double") + F.lit(0.0)).alias("v")) for m in metrics)))
+    values = df.select(F.col(group).alias("g"), one.alias("e")).select("g", "e.m", "e.v").where("v is not null and not isnan(v)")
+    near = values.join(found, F.col("g").eqNullSafe(F.col("grp")) & (F.col("m") == F.col("metric")))
+    apart = near.groupBy(*keys).agg(F.count_if((F.col("v") >= F.col("low")) & (F.col("v") < F.col("value"))).alias("under"), F.count_if((F.col("v") > F.col("value")) & (F.col("v") <= F.col("high"))).alias("over"))
+    apart = apart.select(F.col("grp").alias("g"), F.col("metric").alias("m"), F.col("percent").alias("p"), "under", "over")
+    most = 2 * F.lit(rank_error(k)) * F.col("n") + 1
+    return found.join(apart, F.col("grp").eqNullSafe(F.col("g")) & (F.col("metric") == F.col("m")) & (F.col("percent") == F.col("p"))).select(
+        *keys, "n", "rank", "low", "high", "value", ((F.col("low") <= F.col("value")) & (F.col("value") <= F.col("high"))).alias("within_bounds"), (F.greatest("under", "over") <= most).alias("within_error")
+    )
+
+
 def rank_error(k: int) -> float:
     """Largest error of a rank as a share of all values."""
     return LEVELS / k
 
 
-def skewed_groups(df: DataFrame, group: str, metrics: Sequence[str], upper: int = 90, lower: int = 50, times: float = 2.0, k: int = 6_400) -> DataFrame:
+def skewed_groups(df: DataFrame, group: str, metrics: Sequence[str], upper: int = 90, lower: int = 50, times: float = 2.0, k: int = 1_024) -> DataFrame:
     """``grp, metric`` where percentile ``upper`` is at least ``times`` percentile ``lower``.
 
     Bounds from the digests decide most groups; exact values of those left

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import lookalikes
 from readloom.llm.leakage import leaked_items
-from readloom.llm.lookalikes import bigram_scores, same_looking
+from readloom.llm.lookalikes import bigram_scores, normal_form, same_looking
 from readloom.llm.mixing import mix
-from readloom.llm.near_duplicates import expand, near_duplicates
-from readloom.llm.quantiles import digests, percentiles, skewed_groups
+from readloom.llm.near_duplicates import classes, expand, near_duplicates
+from readloom.llm.quantiles import checked_percentiles, skewed_groups
 from readloom.llm.splitting import split_items
-from readloom.llm.term_counts import marked_terms
+from readloom.llm.term_counts import marked, marked_terms, token_counts
 from readloom.plans.shape import spread
 
 METRICS = ("mean_q", "length", "min_q")
@@ -30,15 +31,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("read_key_a"), F.col("key_b").alias("read_key_b"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every read that takes part, with the least key of its class and the number of its links."""
+    reads = spread(_table(spark, sf_dir, "rad_reads").select("read_key", "seq"))
+    return classes(near_duplicates(reads, "read_key", "seq", threshold=0.5, k=12, min_length=60)).select(F.col("key").alias("read_key"), "class_id", "links")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = skewed_groups(_table(spark, sf_dir, "rad_reads"), "run_id", METRICS, upper=90, lower=50, times=2.0)
     return found.select(F.col("grp").alias("run_id"), "metric")
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quartiles, median and tails of every run, with the bounds within which they lie."""
-    found = percentiles(digests(_table(spark, sf_dir, "rad_reads"), "run_id", METRICS), [5, 25, 50, 75, 90, 99])
-    return found.select(F.col("grp").alias("run_id"), "metric", "percent", "n", "rank", "low", "high")
+    """Quartiles, median and tails of every run: the exact value found within the digest's bounds, and whether these keep the stated error."""
+    found = checked_percentiles(_table(spark, sf_dir, "rad_reads"), "run_id", METRICS, [5, 25, 50, 75, 90, 99])
+    return found.select(F.col("grp").alias("run_id"), "metric", "percent", "n", "rank", "value", "within_bounds", "within_error")
 
 
 def _linkers(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -66,6 +73,13 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked_terms(_table(spark, sf_dir, "rad_reads"), "seq", k=8, common_one_in=20, rare_one_in=3000)
 
 
+def p5_comment_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of read comments, a vocabulary without a bound."""
+    reads = _table(spark, sf_dir, "rad_reads")
+    counts = token_counts(reads, F.expr("regexp_extract_all(lower(seq_comment), '[a-z0-9]+', 0)"))
+    return marked(counts, reads.select(F.count(F.lit(1))).scalar(), common_one_in=20, rare_one_in=3000)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Spelling scores would not change which texts are equal, so they are not counted here.
     docs, items = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "eval_items")
@@ -73,10 +87,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str):
+def _mixed(spark: SparkSession, sf_dir: str, **how):
     import public_tokenizers
 
-    return mix(spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text", _table(spark, sf_dir, "mix_targets"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return mix(spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text", _table(spark, sf_dir, "mix_targets"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, **how)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,18 +98,68 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report: wanted and reached shares, and what sources at their repeats are short by."""
     return _mixed(spark, sf_dir).shares
 
 
+def _mix_checked(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """By source: its documents, and whether the mix keeps what it promises.
+
+    Copies are at most ``max_repeats`` and differ by one at most; the tokens are those allotted, to within four
+    times the longest document of the source.
+    """
+    rows, shares = _mixed(spark, sf_dir, **how)
+    by_source = rows.groupBy("source").agg(F.max("copies").alias("most"), F.min("copies").alias("least"), F.max("tokens").alias("longest"))
+    yes = lambda c: F.coalesce(c, F.lit(True))
+    return shares.join(by_source, "source", "left").select(
+        "source", "documents", yes(F.col("most") <= F.col("max_repeats")).alias("within_repeats"), yes(F.col("most") - F.col("least") <= 1).alias("even"),
+        yes(F.abs(F.col("tokens_used") - F.col("tokens_allotted")) <= 4 * F.col("longest")).alias("as_allotted"),
+    )
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix_checked(spark, sf_dir)
+
+
+def p8_share_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the largest mix in which every source has its share."""
+    return _mix_checked(spark, sf_dir, keep_shares=True)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return same_looking(docs, "doc_id", "text", bigram_scores(docs, "text")).select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
 
 
+def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every text, as a digest of its classes, whatever script the search spelt them in."""
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pairs = str.maketrans(_letter_pairs())
+
+    def folded(t):
+        return pa.array([None if x is None else unicodedata.normalize("NFC", x.translate(pairs)) for x in t.to_pylist()], pa.string())
+
+    folded.__annotations__ = {"t": pa.Array, "return": pa.Array}
+    return normal_form(docs, "text", "form", bigram_scores(docs, "text")).select("doc_id", F.md5(F.arrow_udf(folded, "string")("form")).alias("form"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_percentiles, p3_found, p3_bisected, p5_found, p5_counts, p7_found, p8_mix, p8_shares, p9_found)}
+    every = (p1_found, p1_classes, p2_found, p2_percentiles, p3_found, p3_bisected, p5_found, p5_counts, p5_comment_terms, p7_found, p8_mix, p8_shares, p8_checks, p8_share_checks, p9_found, p9_forms)
+    return {f.__name__: f for f in every}
 
 
+_P2_PERCENTILES = """
+WITH v AS (
+  SELECT run_id, 'mean_q' AS metric, mean_q AS v FROM rad_reads
+  UNION ALL SELECT run_id, 'length', CAST(length AS DOUBLE) FROM rad_reads
+  UNION ALL SELECT run_id, 'min_q', CAST(min_q AS DOUBLE) FROM rad_reads),
+r AS (
+  SELECT run_id, metric, v, row_number() OVER (PARTITION BY run_id, metric ORDER BY v) AS i, count(*) OVER (PARTITION BY run_id, metric) AS n
+  FROM v WHERE v IS NOT NULL AND NOT isnan(v))
+SELECT run_id, metric, CAST(p AS INTEGER) AS percent, n, i AS rank, v AS value, true AS within_bounds, true AS within_error
+FROM r, (SELECT unnest([5, 25, 50, 75, 90, 99]) AS p) WHERE i = (p * n + 99) // 100
+"""
+
 _P2 = """
 WITH v AS (
   SELECT run_id, 'mean_q' AS metric, mean_q AS v FROM rad_reads
@@ -151,18 +215,79 @@ SELECT x AS read_key_a, y AS read_key_b FROM v WHERE 2 * shared >= nx + ny - sha
 """
 
 
+_P1_CLASSES = f"""
+WITH RECURSIVE pairs AS MATERIALIZED (SELECT * FROM ({_P1})),
+live AS (SELECT read_key FROM rad_reads WHERE length(seq) >= 60),
+edges AS (SELECT read_key_a AS x, read_key_b AS y FROM pairs UNION ALL SELECT read_key_b, read_key_a FROM pairs),
+reach AS (SELECT read_key AS x, read_key AS y FROM live UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y)
+SELECT x AS read_key, min(y) AS class_id, (SELECT count(*) FROM edges e WHERE e.x = reach.x) AS links FROM reach GROUP BY x
+"""
+
+_P3_BISECTED = """
+WITH RECURSIVE long_reads AS (SELECT read_key, seq, CAST(length(seq) AS BIGINT) AS n FROM rad_reads WHERE length(seq) > 1000),
+linkers AS (SELECT DISTINCT upper(seq) AS m FROM read_layout WHERE class = 'linker' AND seq IS NOT NULL),
+places AS (SELECT read_key, seq, n, unnest(range(n + 1)) AS p FROM long_reads),
+marks AS (
+  SELECT read_key, p, 2 AS strength FROM places, linkers WHERE upper(substr(seq, CAST(p + 1 AS BIGINT), length(m))) = m
+  UNION
+  SELECT read_key, p, 1 FROM places WHERE p >= 6 AND regexp_full_match(substr(seq, CAST(p - 5 AS BIGINT), 6), '[Nn-]{6}') AND NOT regexp_full_match(substr(seq, CAST(p + 1 AS BIGINT), 1), '[Nn-]')),
+strongest AS (SELECT read_key, p, max(strength) AS strength FROM marks GROUP BY ALL),
+listed AS (SELECT l.read_key, l.n, coalesce((SELECT list({'p': m.p, 'w': m.strength}) FROM strongest m WHERE m.read_key = l.read_key), []) AS ps FROM long_reads l),
+-- A boundary's claim: its strength, then how near it is to the middle, then its place, in one number that gives the place back.
+cuts AS (
+  SELECT read_key, ps, CAST(0 AS BIGINT) AS s, n AS e FROM listed
+  UNION ALL
+  SELECT read_key, ps, CASE side WHEN 0 THEN s ELSE c END, CASE side WHEN 0 THEN c ELSE e END
+  FROM (
+    SELECT read_key, ps, s, e, coalesce((3000000000000 - list_max(list_transform(
+      list_filter(ps, lambda b: b.p > s AND b.p < e AND abs(b.p - (s + e) // 2) <= greatest(1, (e - s) // 4)),
+      lambda b: b.w * 1000000000000 - abs(b.p - (s + e) // 2) * 1000000 - b.p))) % 1000000, (s + e) // 2) AS c
+    FROM cuts WHERE e - s > 1000 - CASE WHEN s > 0 THEN 60 ELSE 0 END), (SELECT unnest([0, 1]) AS side))
+SELECT read_key, row_number() OVER (PARTITION BY read_key ORDER BY s) AS piece_no, greatest(0, s - 60) AS start_at, CAST(e AS BIGINT) AS end_at
+FROM cuts WHERE e - s <= 1000 - CASE WHEN s > 0 THEN 60 ELSE 0 END
+"""
+
+_P5_COMMENT_TERMS = """
+WITH t AS (SELECT read_key, unnest(regexp_extract_all(lower(seq_comment), '[a-z0-9]+')) AS term FROM rad_reads),
+c AS (SELECT term, count(*) AS occurrences, count(DISTINCT read_key) AS records FROM t GROUP BY term),
+n AS (SELECT count(*) AS n FROM rad_reads)
+SELECT term, occurrences, records, CASE WHEN records * 20 >= n THEN 'common' WHEN records <= greatest(1, n // 3000) THEN 'rare' END AS mark FROM c, n
+"""
+
+_P8_CHECKS = """
+SELECT m.source, count(d.doc_id) AS documents, true AS within_repeats, true AS even, true AS as_allotted
+FROM mix_targets m LEFT JOIN documents d ON d.source = m.source AND d.text IS NOT NULL WHERE m.source IS NOT NULL GROUP BY m.source
+"""
+
+# Fixed values, written down for the SQL apart from the operator's own: code points of letters and the letter each looks like.
+_SAME_SHAPE = """
+0391 A 0392 B 0395 E 0396 Z 0397 H 0399 I 039A K 039C M 039D N 039F O 03A1 P 03A4 T 03A5 Y 03A7 X 03BF o 037F J 03F2 c 03F3 j 03F9 C
+0410 A 0412 B 0415 E 041A K 041C M 041D H 041E O 0420 P 0421 C 0422 T 0423 Y 0425 X 0430 a 0435 e 043E o 0440 p 0441 c 0443 y 0445 x
+0405 S 0406 I 0408 J 0455 s 0456 i 0458 j 0474 V 0475 v 04AE Y 04C0 I 04CF l 0501 d 04BB h 051A Q 051B q 051C W 051D w
+0413 \u0393 041F \u03A0 0424 \u03A6 00B5 \u03BC
+"""
+
+
+def _letter_pairs() -> dict[str, str]:
+    """Letters and accented letters by the letter that stands for their class."""
+    words = _SAME_SHAPE.split()
+    pairs = {chr(int(a, 16)): b for a, b in zip(words[::2], words[1::2], strict=True)}
+    for c in map(chr, range(0xC0, 0x530)):
+        first, *marks = unicodedata.normalize("NFD", c)
+        shown = unicodedata.normalize("NFC", pairs.get(first, first) + "".join(marks))
+        if marks and len(shown) == 1 and shown != c:
+            pairs[c] = shown
+    return pairs
+
+
 def _form_sql(column: str) -> str:
-    """The consistent form without its spelling: every class stands for itself, which keeps the same texts apart and together."""
+    """The consistent form without its spelling: one letter stands for every class, which keeps the same texts apart and together."""
     quote = lambda t: t.replace("'", "''")
-    pairs = {chr(c): v for c, v in lookalikes._PREPARE.items() if v is not None} | {chr(c): v for c, v in lookalikes._FOLD.items()} | {"\t": " "}
-    # Letters with an accent keep it: their first letter is folded, then both are composed again.
-    for c in map(chr, range(0xC0, 0x530)):
-        parts = lookalikes.unicodedata.normalize("NFD", c)
-        folded = lookalikes.unicodedata.normalize("NFC", parts.translate(lookalikes._FOLD))
-        if len(parts) > 1 and len(folded) == 1 and folded != c:
-            pairs[c] = folded
-    gone = "".join(f"\\x{{{c:X}}}" for c, v in lookalikes._PREPARE.items() if v is None and c < 0x10000)
-    return f"nfc_normalize(translate(nfc_normalize(regexp_replace({column}, '[{gone}]', '', 'g')), '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}'))"
+    pairs = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | _letter_pairs()
+    # Format characters but those with a shape of their own, and marks that select or join without showing.
+    gone = r"[\x{AD}\x{34F}\x{61C}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFF9}-\x{FFFB}\x{E0001}\x{E0020}-\x{E007F}\x{E0100}-\x{E01EF}]"
+    plain = f"regexp_replace(regexp_replace({column}, '{gone}', '', 'g'), '[\\t\\p{{Zs}}]', ' ', 'g')"
+    return f"nfc_normalize(translate(nfc_normalize({plain}), '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}'))"
 
 
 def _p7_sql() -> str:
@@ -180,6 +305,13 @@ SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form =
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_classes": _P1_CLASSES,
+        "p2_percentiles": _P2_PERCENTILES,
+        "p3_bisected": _P3_BISECTED,
+        "p5_comment_terms": _P5_COMMENT_TERMS,
+        "p8_checks": _P8_CHECKS,
+        "p8_share_checks": _P8_CHECKS,
+        "p9_forms": f"SELECT doc_id, md5({_form_sql('text')}) AS form FROM documents",
         "p2_found": _P2,
         "p3_found": _P3,
         "p5_found": f"SELECT term, mark FROM ({_P5}) WHERE mark IS NOT NULL",

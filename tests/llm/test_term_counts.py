@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from readloom.llm import term_counts as tc
@@ -42,3 +43,26 @@ def test_empty_table_and_bad_arguments(spark):
     assert tc.term_counts(spark.createDataFrame([(None,), ("",)], "seq string"), "seq").count() == 0
     with pytest.raises(ValueError):
         tc.term_counts(df, "seq", 11)
+
+
+def test_tokens_of_any_kind(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [[rng.choice(["a", "bb", "é", "", "x" * 5000, None]) for _ in range(rng.randrange(0, 9))] for _ in range(2500)] + [None, [], ["a"] * 4000]
+    df = spark.createDataFrame([(r, "clash") for r in rows], "w array<string>, term string")
+    occurrences = Counter(t for r in rows for t in r or [] if t is not None)
+    records = Counter(t for r in rows for t in set(r or []) if t is not None)
+    for hold in (500_000, 2):
+        got = {r["term"]: (r["occurrences"], r["records"]) for r in tc.token_counts(df, F.col("w"), hold).collect()}
+        assert got == {t: (occurrences[t], records[t]) for t in occurrences}
+    assert tc.token_counts(df.limit(0), F.col("w")).count() == 0
+
+
+def test_last_seen_goes_on_between_blocks():
+    seen = tc.LastSeen(4)
+    seen.see(np.array([1, 1, 2]), np.array([0, 0, 0]))
+    seen.see(np.array([1, 2, 2]), np.array([0, 1, 2]))
+    assert seen.occurrences.tolist() == [0, 3, 3, 0] and seen.records.tolist() == [0, 1, 3, 0] and seen.last.tolist() == [-1, 0, 2, -1]

@@ -160,3 +160,14 @@ def test_mix_of_nothing(spark):
     assert mixed(spark, [(1, "a", "x")], [])[0] == []
     with pytest.raises(ValueError):
         mixed(spark, [(1, "a", "x")], [("a", 0.5, 1), ("a", 0.5, 1)])
+
+
+def test_allotments_fill_small_sources_to_their_repeats():
+    share, tokens, most = {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1000, "b": 1000, "c": 10}, {"a": 2, "b": 1, "c": 4}
+    got = mx.allotments(share, tokens, most)
+    assert got["c"] == 40 and abs(sum(got.values()) - 2010) < 1e-6 and got["b"] <= 1000
+    assert abs(got["a"] / got["b"] - 0.5 / 0.3) < 1e-6
+    assert mx.allotments(share, tokens, most, keep_shares=True) == pytest.approx({"a": 100, "b": 60, "c": 40})
+    assert mx.allotments(share, tokens, most, 100) == pytest.approx({"a": 50, "b": 30, "c": 20})
+    assert sum(mx.allotments(share, tokens, most, 10**9).values()) == pytest.approx(2000 + 1000 + 40)
+    assert mx.allotments({}, {}, {}) == {}
