@@ -63,6 +63,17 @@ def recoded(qual: Column, offset: int) -> Column:
     return F.when(highest > 126, F.raise_error(F.lit("a score is too high for this offset"))).otherwise(F.array_join(moved, ""))
 
 
+def from_offset(qual: Column, offset: int) -> Column:
+    """Quality text of another offset as text with offset 33; fails where a letter lies below the offset."""
+    if not 33 <= offset <= 64:
+        raise ValueError("a Phred offset lies between 33 and 64")
+    if offset == OFFSET:
+        return qual
+    letters = "".join(map(chr, range(offset, 127)))
+    moved = F.translate(qual, letters, "".join(map(chr, range(OFFSET, OFFSET + len(letters)))))
+    return F.when(qual.rlike(f"[^\\x{offset:02x}-\\x7e]"), F.raise_error(F.lit("a letter lies below the Phred offset"))).otherwise(moved)
+
+
 def shown(qual: Column) -> Column:
     """``<Q:n; mean=x.x>``, or ``<no quality>`` where it is missing."""
     text = F.format_string("<Q:%d; mean=%.1f>", F.length(qual), F.aggregate(values(qual), F.lit(0), lambda a, x: a + x) / F.length(qual))

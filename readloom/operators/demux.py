@@ -24,13 +24,17 @@ from readloom.plans.shape import bound
 from readloom.sources.layouts import Element, read_pattern
 
 
-def parsed(reads: DataFrame, layout: Sequence[Element], key: str = "read_key", seq: str = "seq") -> DataFrame:
-    """``key, strand`` and one column for each captured element of the reads that follow the layout exactly."""
+def parsed(reads: DataFrame, layout: Sequence[Element], key: str = "read_key", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
+    """``key, strand`` and one column for each captured element of the reads that follow the layout exactly; ``_kept`` carries other columns."""
     pattern, names = read_pattern(list(layout))
-    hit = oriented_by(reads.select(F.col(key).alias("read_key"), F.col(seq).alias("_s")), "_s", pattern)
+    hit = oriented_by(reads.select(F.col(key).alias("read_key"), F.col(seq).alias("_s"), *_carried(keep)), "_s", pattern)
     return bound(hit, **{n: F.regexp_extract("oriented", pattern, i) for i, n in enumerate(names, 1)}).drop("_s", "oriented")
 
 
+def _carried(keep: Sequence[str]) -> list[Column]:
+    return [F.struct(*keep).alias("_kept")] if keep else []
+
+
 def _filled(text: str, at: int, end: int | None, parts: Sequence[Element], into: dict[str, str]) -> int | None:
     """Place behind variable parts that begin at ``at``: of all their lengths those that come nearest to ``end``, the longest ones without it."""
     choices = [e.lengths for e in parts]
@@ -60,7 +64,7 @@ def _placed(text: str, layout: Sequence[Element], hits: dict[int, list[tuple[int
                 return None
             start, end, d = min(near, key=lambda h: h[0] if free is not None else (h[2], h[0]))
             if free is not None:
-                out[free], free = text[at:start], None
+                out[free], out["", free], free = text[at:start], at, None
             elif open_parts and _filled(text, at, start, open_parts, out) is None:
                 return None
             at, cost, open_parts = end, cost + d, []
@@ -76,6 +80,7 @@ def _placed(text: str, layout: Sequence[Element], hits: dict[int, list[tuple[int
                 if not any(x.kind == "variable" for x in rest):
                     ends = [h[0] for k, x in enumerate(rest, i + 1) if x.seq for h in hits[k] if h[0] >= at]
                     out[free] = text[at : min(ends)] if ends else text[at:]
+                    out["", free] = at
                     poly = "".join({"poly_t": "T", "poly_a": "A"}.get(x.cls, "") for x in rest)
                     if ends and poly:
                         out[free] = out[free].rstrip(poly)
@@ -84,19 +89,22 @@ def _placed(text: str, layout: Sequence[Element], hits: dict[int, list[tuple[int
             open_parts.append(e)
     if free is not None:
         out[free] = text[at:]
+        out["", free] = at
     elif open_parts and _filled(text, at, None, open_parts, out) is None:
         return None
     return cost, out
 
 
-def parsed_fuzzy(reads: DataFrame, layout: Sequence[Element], max_error: float, key: str = "read_key", seq: str = "seq") -> DataFrame:
+def parsed_fuzzy(reads: DataFrame, layout: Sequence[Element], max_error: float, key: str = "read_key", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
     """As ``parsed`` with static parts found within ``floor(max_error * length)`` edits; the strand with fewer edits wins, forward on a tie.
 
-    Variable parts lie between the static parts that were found, with any of their lengths.
+    Variable parts lie between the static parts that were found, with any of their lengths.  ``_read_at`` is the 0-based
+    place of the read part in forward orientation; ``_kept`` carries other columns.
     """
     layout = list(layout)
     names = [e.id for e in layout if not e.seq and e.cls not in ("poly_t", "poly_a")]
     static = [(i, e.seq) for i, e in enumerate(layout) if e.seq]
+    read = next((e.id for e in layout if e.cls == "read"), None)
     if not static:
         raise ValueError("a layout without static parts cannot be found")
     if missing := [e.id for e in layout if not e.seq and e.cls not in ("poly_t", "poly_a", "read") and not e.lengths]:
@@ -111,14 +119,14 @@ def parsed_fuzzy(reads: DataFrame, layout: Sequence[Element], max_error: float,
         rows = []
         for a, b in zip(*sides):
             side, best = ("F", a) if a is not None and (b is None or a[0] <= b[0]) else ("R", b)
-            rows.append(None if best is None else {"strand": side, **{f"p{k}": best[1].get(n, "") for k, n in enumerate(names)}})
-        return pa.array(rows, pa.struct([("strand", pa.string()), *((f"p{k}", pa.string()) for k in range(len(names)))]))
+            rows.append(None if best is None else {"strand": side, "at": best[1].get(("", read)), **{f"p{k}": best[1].get(n, "") for k, n in enumerate(names)}})
+        return pa.array(rows, pa.struct([("strand", pa.string()), ("at", pa.int32()), *((f"p{k}", pa.string()) for k in range(len(names)))]))
 
     run.__annotations__ = {"f": pa.Array, "r": pa.Array, "return": pa.Array}
-    parts = F.arrow_udf(run, f"struct<{', '.join(['strand: string', *(f'p{k}: string' for k in range(len(names)))])}>")
-    both = bound(reads.select(F.col(key).alias("read_key"), F.col(seq).alias("_s")), _f=F.upper("_s"))
+    parts = F.arrow_udf(run, f"struct<{', '.join(['strand: string', 'at: int', *(f'p{k}: string' for k in range(len(names)))])}>")
+    both = bound(reads.select(F.col(key).alias("read_key"), F.col(seq).alias("_s"), *_carried(keep)), _f=F.upper("_s"))
     hit = bound(both, _p=parts(F.col("_f"), revcomp(F.col("_f")))).where("_p is not null")
-    return hit.select("read_key", F.col("_p.strand").alias("strand"), *(F.col(f"_p.p{k}").alias(n) for k, n in enumerate(names)))
+    return hit.select("read_key", F.col("_p.strand").alias("strand"), F.col("_p.at").alias("_read_at"), *(["_kept"] if keep else []), *(F.col(f"_p.p{k}").alias(n) for k, n in enumerate(names)))
 
 
 def without_gaps(text: Column) -> Column:
@@ -134,14 +142,19 @@ def cut_together(seq: Column, qual: Column) -> tuple[Column, Column]:
     return pick(seq), F.when(qual.isNotNull() & (F.length(qual) == F.length(seq)), pick(qual)).otherwise(qual)
 
 
-def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True, max_error: float | None = None) -> DataFrame:
+def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True, max_error: float | None = None, keep: Sequence[str] = (), qual: str | None = None) -> DataFrame:
     """``read_key, strand``, and for each barcode element ``<id>_raw, <id>, <id>_kind``, then ``umi`` and ``cdna``.
 
     Rows whose barcodes are all exact or uniquely corrected are ``passing``; cDNA has its N blocks cut out and
     must have ``min_read_length`` bases.  It stays in the orientation in which the read was sequenced; the UMI is
-    given in forward orientation, unless ``rc_umi`` is false.  With ``max_error`` static parts may have errors.
+    given in forward orientation, unless ``rc_umi`` is false.  With ``max_error`` static parts may have errors.  Columns
+    named in ``keep`` go along; with ``qual`` the quality of the cDNA is cut in step as ``cdna_qual``, null where the
+    quality is missing or of another length than the read.
     """
-    rows = parsed(reads, layout, key, seq) if max_error is None else parsed_fuzzy(reads, layout, max_error, key, seq)
+    keep = list(dict.fromkeys([*keep, *([qual] if qual else [])]))
+    if qual is not None and max_error is None:
+        max_error = 0.0  # places come from alignment
+    rows = parsed(reads, layout, key, seq, keep) if max_error is None else parsed_fuzzy(reads, layout, max_error, key, seq, [*keep, seq] if qual else keep)
     barcodes = [e for e in layout if e.cls == "barcode"]
     for e in barcodes:
         rows = rows.withColumnRenamed(e.id, f"{e.id}_raw")
@@ -151,12 +164,20 @@ def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, Dat
     read = next((e.id for e in layout if e.cls == "read"), None)
     back = lambda c: F.when(F.col("strand") == "R", revcomp(c)).otherwise(c)
     cdna = back(without_gaps(F.col(read))) if read else F.lit("")
+    extra = [F.col(f"_kept.{c}").alias(c) for c in keep if c != qual]
+    if qual is not None:
+        whole, n, size = F.col(f"_kept.{qual}"), F.length(f"_kept.{seq}"), F.length(read)
+        # Qualities stay in the orientation of the sequencer, as the cDNA does.
+        start = F.when(F.col("strand") == "F", F.col("_read_at")).otherwise(n - F.col("_read_at") - size)
+        part = F.when(F.length(whole) == n, F.substring(whole, start + 1, size))
+        both = cut_together(back(F.col(read)), part)
+        cdna, extra = both[0], [*extra, both[1].alias("cdna_qual")]
     of_umi = F.lit(None).cast("string") if not umi else F.col(umi) if rc_umi else back(F.col(umi))
     passing = F.lit(True)
     for e in barcodes:
         passing = passing & F.col(e.id).isNotNull()
     columns = [c for e in barcodes for c in (f"{e.id}_raw", e.id, f"{e.id}_kind")]
-    out = rows.select("read_key", "strand", *columns, of_umi.alias("umi"), cdna.alias("cdna"))
+    out = rows.select("read_key", "strand", *columns, of_umi.alias("umi"), cdna.alias("cdna"), *extra)
     return out.withColumn("passing", passing & (F.length("cdna") >= min_read_length))
 
 
@@ -167,6 +188,41 @@ def demux_units(reads: DataFrame, layout: Sequence[Element], whitelists: dict[st
     return out.select(F.col("read_key.key").alias("read_key"), F.col("read_key.segment").alias("unit"), F.col("read_key.units").alias("units"), *(c for c in out.columns if c != "read_key"))
 
 
+def with_policy(records: DataFrame, barcodes: Sequence[str], policy: str = "offensive") -> DataFrame:
+    """Passing records under a correction policy; our own rule.
+
+    ``offensive`` lets every unique correction pass.  ``defensive`` also asks that each barcode of a record be trusted,
+    as counters are: 2 exact copies, or corrections that are no more than four in five of its records.
+    """
+    if policy not in ("offensive", "defensive"):
+        raise ValueError("a correction policy is offensive or defensive")
+    if policy == "offensive":
+        return records
+    for b in barcodes:
+        kind = F.col(f"{b}_kind")
+        n = lambda c: F.count_if(c)
+        known = records.where(F.col(b).isNotNull()).groupBy(F.col(b).alias("_b")).agg(n(kind == "exact").alias("_e"), n(kind == "corrected").alias("_c"), F.count(F.lit(1)).alias("_n"))
+        trusted = known.select("_b", ((F.col("_e") >= 2) | (F.col("_c") / F.col("_n") <= 0.8)).alias("_t"))
+        records = records.join(trusted, F.col(b) == F.col("_b"), "left").withColumn("passing", F.col("passing") & F.coalesce("_t", F.lit(False))).drop("_b", "_t")
+    return records
+
+
+def strict(records: DataFrame, barcodes: Sequence[str]) -> DataFrame:
+    """Joint barcodes under the strict rule, our own: every part was seen letter for letter, and none was corrected."""
+    ok = F.lit(True)
+    for b in barcodes:
+        ok = ok & (F.col(f"{b}_kind") == "exact")
+    return records.withColumn("passing", F.col("passing") & ok)
+
+
+def fastq_records(records: DataFrame, barcodes: Sequence[str], seq_id: str = "seq_id") -> DataFrame:
+    """``read_key, seq_id, seq_comment, seq, qual`` of passing records with a quality, for the FASTQ writers: the header's tags are the comment."""
+    cb, raw = F.concat_ws("_", *barcodes), F.concat_ws("_", *(f"{b}_raw" for b in barcodes))
+    head = header(F.col(seq_id), F.col("strand"), cb, raw, F.col("umi"))
+    rows = records.where("passing and cdna_qual is not null")
+    return rows.select("read_key", F.substring_index(head, " TS:A:", 1).alias("seq_id"), F.concat(F.lit("TS:A:"), F.substring_index(head, " TS:A:", -1)).alias("seq_comment"), F.col("cdna").alias("seq"), F.col("cdna_qual").alias("qual"))
+
+
 def allowed(records: DataFrame, bc1: str, bc2: str, mask: DataFrame) -> DataFrame:
     """Records whose pair of barcodes is a cell of the mask (``bc1, bc2``); others are dropped."""
     pairs = mask.toDF("_m1", "_m2").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readloom.functions import quality
+from readloom.plans.scratch import written
 
 READS = T.StructType(
     [
@@ -32,7 +33,7 @@ def with_summaries(df: DataFrame) -> DataFrame:
     return s.withColumns({"length": F.length("seq"), "mean_q": F.col("_s.mean_q"), "min_q": F.col("_s.min_q"), "frac_q20": F.col("_s.frac_q20")}).drop("_s")
 
 
-def pack_reads(spark: SparkSession, seq_id: Sequence, seq: Sequence, qual: Sequence | None = None, seq_comment: Sequence | None = None) -> DataFrame:
+def pack_reads(spark: SparkSession, seq_id: Sequence, seq: Sequence, qual: Sequence | None = None, seq_comment: Sequence | None = None, phred_offset: int = 33) -> DataFrame:
     """Read table of equally long sequences of values, keys from 1 in their order."""
     n = len(seq)
     qual, seq_comment = qual or [None] * n, seq_comment or [None] * n
@@ -44,15 +45,16 @@ def pack_reads(spark: SparkSession, seq_id: Sequence, seq: Sequence, qual: Seque
         if q is not None and len(q) != len(s):
             raise ValueError(f"row {i}: quality and sequence differ in length")
     rows = [(i, *r) for i, r in enumerate(zip(seq_id, seq_comment, seq, qual), 1)]
-    return with_summaries(spark.createDataFrame(rows, "read_key long, seq_id string, seq_comment string, seq string, qual string")).select(*CORE)
+    made = spark.createDataFrame(rows, "read_key long, seq_id string, seq_comment string, seq string, qual string")
+    return with_summaries(made.withColumn("qual", quality.from_offset(F.col("qual"), phred_offset))).select(*CORE)
 
 
-def as_reads(df: DataFrame, id_col: str | None = None, seq_col: str = "seq", qual_col: str | None = "qual", comment_col: str | None = None, key_col: str | None = None) -> DataFrame:
-    """Read table of any table; only the columns named are kept."""
+def as_reads(df: DataFrame, id_col: str | None = None, seq_col: str = "seq", qual_col: str | None = "qual", comment_col: str | None = None, key_col: str | None = None, phred_offset: int = 33) -> DataFrame:
+    """Read table of any table; only the columns named are kept.  Without ``key_col`` keys rise with the rows but leave gaps; ``compact`` closes them."""
     id_col = id_col or ("seq_id" if "seq_id" in df.columns else "id")
     text = lambda c: F.col(c).cast("string") if c and c in df.columns else F.lit(None).cast("string")
     key = F.col(key_col).cast("long") if key_col else F.monotonically_increasing_id() + 1
-    reads = df.select(key.alias("read_key"), text(id_col).alias("seq_id"), text(comment_col).alias("seq_comment"), F.col(seq_col).cast("string").alias("seq"), text(qual_col).alias("qual"))
+    reads = df.select(key.alias("read_key"), text(id_col).alias("seq_id"), text(comment_col).alias("seq_comment"), F.col(seq_col).cast("string").alias("seq"), quality.from_offset(text(qual_col), phred_offset).alias("qual"))
     return with_summaries(reads).select(*CORE)
 
 
@@ -83,13 +85,14 @@ def bind(*tables: DataFrame, key: str = "read_key", fill: bool = True) -> DataFr
     return numbered(out, ["_table", key], key).drop("_table")
 
 
-def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
     """Numbers from 1 in the given order: positions within range partitions plus the rows before each.
 
     Only one row for each partition is collected into the offsets.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct(*df.columns).alias("_r"), F.monotonically_increasing_id().alias("_m"))
-    split = ranged.select("_r", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    # Places are written once: planned twice, or run again, a range partitioning may cut elsewhere.
+    split = written(ranged.select("_r", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")), "numbered")
     sizes = split.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_b", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     kept = [c for c in df.columns if c != out]
@@ -99,11 +102,55 @@ def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 def duplicated(reads: DataFrame, column: str = "seq_id", key: str = "read_key", from_last: bool = False) -> DataFrame:
     """``duplicated``: whether an earlier (or later) row has the same value; nulls and empty texts are values.
 
-    The first key of each value is found by a pre-aggregated group, so a value on many rows is no skew for a sort.
+    The first key of each repeated value is found by a pre-aggregated group.  Rows with null or empty values, which may be
+    very many, are compared with two scalars and spread by key, so only other repeated values meet in the join.
     """
-    first = (F.max if from_last else F.min)(key)
-    firsts = reads.groupBy(column).agg(first.alias("_first")).withColumnRenamed(column, "_v")
-    return reads.join(firsts, reads[column].eqNullSafe(firsts["_v"])).withColumn("duplicated", F.col(key) != F.col("_first")).drop("_v", "_first")
+    first = F.max if from_last else F.min
+    v, none = F.col(column), F.lit("\u0000")
+    hot = v.isNull() | (v.cast("string") == "")
+    firsts = reads.where(~hot).groupBy(v.cast("string").alias("_v")).agg(first(key).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    of = lambda c: reads.where(c).select(first(key)).scalar()
+    keyed = reads.withColumn("_v", F.when(hot, F.concat(none, F.col(key).cast("string"))).otherwise(v.cast("string")))
+    joined = keyed.join(firsts, "_v", "left").withColumn("_first", F.when(v.isNull(), of(v.isNull())).when(hot, of(~v.isNull() & hot)).otherwise(F.col("_first")))
+    return joined.withColumn("duplicated", F.coalesce(F.col(key) != F.col("_first"), F.lit(False))).drop("_v", "_first")
+
+
+def compact(reads: DataFrame, key: str = "read_key") -> DataFrame:
+    """The rows that are left, written anew with keys from 1 in their order; what they were filtered from is not needed any more."""
+    return numbered(reads, [key], key).select(*reads.columns)
+
+
+def repeated(reads: DataFrame, times: int = 1, each: int = 1, key: str = "read_key") -> DataFrame:
+    """All rows ``times`` over, every row ``each`` times in a row; ``ordinal`` gives the order: run, key, copy."""
+    if times < 0 or each < 0:
+        raise ValueError("rows cannot be repeated a negative number of times")
+    copies = lambda n: F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
+    out = reads.withColumn("_run", F.explode(copies(times))).withColumn("_copy", F.explode(copies(each)))
+    return numbered(out, ["_run", key, "_copy"], "ordinal").drop("_run", "_copy")
+
+
+def id_is(column: str, operator: str, value: str | None) -> Column:
+    """Comparison of identifiers as exact text, ``== != < <= > >=``; null where either side is null."""
+    known = {"==": "eq", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}
+    if operator not in known:
+        raise ValueError(f"identifiers are only compared, not {operator}")
+    return getattr(F.col(column), f"__{known[operator]}__")(F.lit(value).cast("string"))
+
+
+def sorted_by_id(reads: DataFrame, decreasing: bool = False, na_last: bool | None = True, column: str = "seq_id", key: str = "read_key") -> DataFrame:
+    """``place`` in the order of identifiers, equal ones by key; nulls last, first, or (``None``) left out."""
+    c = F.col(column)
+    if na_last is None:
+        reads = reads.where(c.isNotNull())
+    order = (c.desc_nulls_last() if na_last is not False else c.desc_nulls_first()) if decreasing else (c.asc_nulls_last() if na_last is not False else c.asc_nulls_first())
+    return numbered(reads, [order, F.col(key)], "place")
+
+
+def ordered_join(left: DataFrame, right: DataFrame, on: str, order: str) -> DataFrame:
+    """Inner join in the order of ``right``: ``place`` counts by ``order`` of the right rows, then by key of the left ones."""
+    wanted = right.select(F.col(on).alias("_on"), F.col(order).alias("_order"))
+    both = left.join(wanted, F.col(on) == F.col("_on")).drop("_on")
+    return numbered(both, ["_order", "read_key"], "place").drop("_order")
 
 
 def problems(reads: DataFrame, deep: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions.dna import mask_pattern, revcomp
 from readloom.operators.align import infix_distance, mask_captures
-from readloom.plans.shape import bound
+from readloom.plans.shape import bound, few
 
 #: Adapters used where a slide platform names none.
 SLIDE_ADAPTERS = {
@@ -146,3 +146,16 @@ def scan_stats(reads: DataFrame, counted: DataFrame, known: DataFrame | None = N
 def pair_mask(pairs: DataFrame) -> DataFrame:
     """Observed pairs as rows of the first barcode with the sorted list of its partners (a sparse mask)."""
     return pairs.groupBy("bc1").agg(F.array_sort(F.collect_set("bc2")).alias("partners"))
+
+
+def dense_mask(pairs: DataFrame, axis1: DataFrame, axis2: DataFrame, most: int = 100_000) -> DataFrame:
+    """``bc1, cells``: a row for every barcode of the first axis, a 0 or 1 for every one of the second, in their order.
+
+    The second axis is a list of a checked size; the first may be of any.
+    """
+    order = [r["barcode"] for r in few(axis2.select("barcode").distinct().orderBy("barcode"), most)]
+    met = pairs.groupBy("bc1").agg(F.collect_set("bc2").alias("_met"))
+    known = F.array(*map(F.lit, order)).cast("array<string>")
+    cells = F.array_join(F.transform(known, lambda b: F.when(F.array_contains("_met", b), "1").otherwise("0")), "")
+    rows = axis1.select(F.col("barcode").alias("bc1")).distinct().join(met, "bc1", "left").withColumn("_met", F.coalesce("_met", F.array().cast("array<string>")))
+    return rows.select("bc1", cells.alias("cells"))

@@ -23,6 +23,15 @@ def native_spot(name: Column) -> tuple[Column, Column]:
     return part(1), part(2)
 
 
+def by_native_name(counts: DataFrame, slide: DataFrame, barcode: str = "barcode") -> DataFrame:
+    """``counts`` with the map's barcode where ``barcode`` is a native spot name; other barcodes stay, unknown spots leave."""
+    row, col = native_spot(F.col(barcode))
+    spots = slide.where("array_row is not null and array_col is not null").select(F.col("array_row").alias("_r"), F.col("array_col").alias("_c"), F.col("barcode").alias("_own"))
+    named = counts.withColumns({"_row": row, "_col": col})
+    joined = named.join(spots, (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")), "left")
+    return joined.where("_row is null or _own is not null").withColumn(barcode, F.coalesce("_own", barcode)).drop("_row", "_col", "_r", "_c", "_own")
+
+
 def unique_map(slide: DataFrame, barcode: str = "barcode") -> DataFrame:
     """The map itself, or an error if a barcode occurs twice."""
     if not slide.groupBy(barcode).count().where("count > 1").isEmpty():
@@ -30,10 +39,10 @@ def unique_map(slide: DataFrame, barcode: str = "barcode") -> DataFrame:
     return slide
 
 
-def assigned(reads: DataFrame, comment: str, slide: DataFrame, unit: str = "bin", size: int = 2, tissue_only: bool = False) -> DataFrame:
+def assigned(reads: DataFrame, comment: str, slide: DataFrame, unit: str = "bin", size: int = 2, tissue_only: bool = False, reserved: tuple[str, ...] = ()) -> DataFrame:
     """``reads`` with ``cb, status, unit`` by a map of ``barcode, array_row, array_col, in_tissue, cell_id``.
 
-    Status: ``missing_barcode``, ``invalid_tags`` (the barcode tag twice), ``unknown_barcode``, ``missing_coordinates``, ``outside_tissue``,
+    Status: ``missing_barcode``, ``invalid_tags`` (the barcode tag twice, or a tag in ``reserved``), ``unknown_barcode``, ``missing_coordinates``, ``outside_tissue``,
     ``missing_cell`` or ``assigned``.  Maps have one row a spot and are broadcast by Spark while they are small.
     """
     if unit not in ("bin", "cell") or unit == "cell" and size != 2:
@@ -41,6 +50,8 @@ def assigned(reads: DataFrame, comment: str, slide: DataFrame, unit: str = "bin"
     m = slide.select(F.col("barcode").alias("_b"), F.col("array_row").alias("_row"), F.col("array_col").alias("_col"), F.col("in_tissue").alias("_in"), F.col("cell_id").alias("_cell"))
     joined = reads.withColumn("cb", tag(F.col(comment), "CB")).join(m, F.col("cb") == F.col("_b"), "left")
     twice = F.size(F.regexp_extract_all(F.col(comment), F.lit("(?:^|[ \\t])(CB:Z:)"), F.lit(1))) > 1
+    if reserved:
+        twice = twice | F.coalesce(F.col(comment).rlike(f"(?:^|[ \\t])(?:{'|'.join(reserved)}):"), F.lit(False))
     status = (
         F.when(F.col("cb").isNull() | (F.col("cb") == ""), "missing_barcode")
         .when(twice, "invalid_tags")

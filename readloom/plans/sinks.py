@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from readloom.functions.dna import tag
 from readloom.operators.reads import validate
 from readloom.operators.reformat import fasta, fastq
 from readloom.plans.publish import publish
+from readloom.sources.fastq import read_fastq, write_fastq
 
 FORMAT = {"format": "read-table", "version": 1, "phred_offset": 33}
 #: Names that are safe as parts of a path.
@@ -72,3 +73,43 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, overwrite: bool =
 
     publish({paths[n]: writer(df, "\t" if ".tsv" in n else ",") for n, df in tables.items()}, overwrite)
     return paths
+
+
+def rewrite(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame] = lambda reads: reads, output: str | None = None, phred_offset: int = 33) -> str:
+    """A FASTQ file with changed records, in place unless ``output`` is named; replaced only when the new one is complete.
+
+    Lines behind the plus sign and the order of records stay.
+    """
+    reads = read_fastq(spark, path, phred_offset=phred_offset)
+    return write_fastq(change(reads), output or path, phred_offset=phred_offset)
+
+
+def spatial_export(result, folder: str) -> dict[str, str]:
+    """Records, assignments and summary of a spatial reformat in a folder that must be new: ``reads.fastq.gz``, ``assignments.tsv.gz``, ``summary.tsv``."""
+    os.makedirs(folder, exist_ok=False)
+    paths = write_tables({"assignments.tsv.gz": result.tables["assignments"], "summary.tsv": result.tables["summary"]}, folder)
+    paths["reads.fastq.gz"] = write_fastq(result.tables["records"], os.path.join(folder, "reads.fastq.gz"))
+    return paths
+
+
+#: Tables of a scan by the file each goes into; which of them there are depends on the mode.
+SCAN_FILES = {"called": ".csv", "selected": ".txt", "valid_pairs": "_valid_pairs.csv", "dense_mask": "_spat_mask.csv", "coordinates": "_coordinates.tsv.gz", "regions": "_regions.tsv"}
+
+
+def scan_artifacts(result, prefix: str) -> dict[str, str]:
+    """Files of a scan beside each other, named by the prefix: counts, the selected barcodes, and what its mode adds."""
+    tables = dict(result.tables)
+    tables["selected"] = tables["called"].where("selected").select("barcode")
+    folder, name = os.path.split(os.path.abspath(prefix))
+    return write_tables({name + end: tables[t] for t, end in SCAN_FILES.items() if t in tables}, folder)
+
+
+def discovery_tables(result, prefix: str) -> dict[str, str]:
+    """Tables of a discovery: parts, whitelists, spacing, and the layout, marked as partial where it is not settled."""
+    folder, name = os.path.split(os.path.abspath(prefix))
+    spark = next(iter(result.tables.values())).sparkSession
+    rows = [(i, e.id, e.seq, e.kind, e.cls, "-".join(map(str, e.lengths))) for i, e in enumerate(result.notes["layout"], 1)]
+    layout = spark.createDataFrame(rows, "element_no int, id string, seq string, type string, class string, expected_length string").coalesce(1)
+    ends = {"parts": "_parts.csv", "whitelists": "_whitelists.csv", "spacing": "_spacing.csv"}
+    tables = {name + e: result.tables[t] for t, e in ends.items() if t in result.tables}
+    return write_tables(tables | {name + ("_layout.csv" if result.notes["layout_complete"] else "_layout.partial.csv"): layout}, folder)

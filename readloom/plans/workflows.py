@@ -90,9 +90,11 @@ def scan_whitelist(
     if bc1 is not None:
         hits = sc.split_scan(reads, "read_key", "seq", adapter, bc1, bc2, bc1_length, bc2_length, umi_length, offset_min, offset_max)
         pairs = sc.counts(hits, "bc1", "bc2").select(F.concat_ws("_", "bc1", "bc2").alias("pair"), "bc1", "bc2", "count")
-        tables |= {"valid_pairs": pairs, "spatial_mask": sc.pair_mask(pairs)}
+        tables |= {"valid_pairs": pairs, "spatial_mask": sc.pair_mask(pairs), "dense_mask": sc.dense_mask(pairs, bc1.toDF("barcode"), bc2.toDF("barcode"))}
         counted = pairs.select(F.col("pair").alias("barcode"), "count")
     elif counts is not None:
+        if slide is not None and platform == "visium-hd":
+            counts = sp.by_native_name(counts, slide)
         counted = counts.groupBy("barcode").agg(F.sum("count").alias("count"))
     else:
         if capture_mode == "masked" or any(c in (adapter or "") for c in "Nn"):
@@ -115,6 +117,14 @@ def scan_whitelist(
     return Result(tables, {"adapter": adapter, "selection": selection, "spatial": low, "capture_mode": capture_mode, "max_error": max_error})
 
 
+def scan_batch(spark: SparkSession, path: str, **options: Any) -> dict[str, Result]:
+    """Scans of all runs of a batch file, by output prefix; the whole batch is checked before the first is planned, each is run when its tables are."""
+    from readloom.sources.fastq import read_fastq
+    from readloom.sources.tables import batch
+
+    return {run.output_prefix: scan_whitelist(read_fastq(spark, run.input), **options) for run in batch(path)}
+
+
 def auto_whitelist(reads: DataFrame, layout: Sequence[Element], selection: str = "high_specificity", max_error: float = 0.3) -> DataFrame:
     """Barcodes found in the reads themselves: behind the static part before the layout's one barcode.
 
@@ -145,11 +155,15 @@ def demultiplex(
     max_reads: int | None = None,
     max_error: float | None = None,
     joins: Sequence[str] = (),
+    correction_policy: str = "offensive",
+    joint_policy: str = "default",
 ) -> Result:
     """Records with corrected barcodes and headers, counters by barcode, roles and run statistics.
 
     With ``max_error`` static parts may have so many errors a letter; without it they are matched exactly.
     With ``joins`` reads are cut there and every unit gives a record; counters tell units of reads that have several.
+    ``correction_policy`` is ``offensive`` or ``defensive``, ``joint_policy`` ``default`` or ``strict``.  Where reads have
+    qualities and no ``joins``, ``fastq`` has the records with their qualities, for the FASTQ writers.
     """
     one_of(auto=auto, custom_whitelist=None if custom_whitelist is None else True)
     if max_reads is not None:
@@ -163,20 +177,38 @@ def demultiplex(
     if joins:
         records = dm.demux_units(reads, layout, lists, joins, whitelist_mutation, min_read_length, max_error=max_error)
     else:
-        records = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error)
+        keep = [c for c in ("seq_id",) if c in reads.columns]
+        qual = "qual" if "qual" in reads.columns and any(e.cls == "read" for e in layout) else None
+        records = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error, keep=keep)
     barcodes = [e.id for e in layout if e.cls == "barcode"]
     if joint_mask is not None:
         if len(barcodes) != 2:
             raise ValueError("a mask needs two barcodes")
         records = dm.allowed(records, *barcodes, joint_mask)
+    if joint_policy not in ("default", "strict"):
+        raise ValueError("a joint policy is default or strict")
+    records = dm.with_policy(records, barcodes, correction_policy)
+    if joint_policy == "strict":
+        records = dm.strict(records, barcodes)
+    if not joins and qual and barcodes:
+        cut = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error, keep=keep, qual=qual)
+        cut = dm.allowed(cut, *barcodes, joint_mask) if joint_mask is not None else cut
+        cut = dm.with_policy(cut, barcodes, correction_policy)
+        fastq_of = dm.fastq_records(dm.strict(cut, barcodes) if joint_policy == "strict" else cut, barcodes)
+    else:
+        fastq_of = None
     tables = {"records": records, "stats": dm.run_stats(reads, records)}
     if barcodes:
         cb, raw = F.concat_ws("_", *barcodes), F.concat_ws("_", *(f"{b}_raw" for b in barcodes))
-        named = records.where("passing").join(reads.select("read_key", "seq_id"), "read_key")
+        named = records.where("passing")
+        if "seq_id" not in named.columns:
+            named = named.join(reads.select("read_key", "seq_id"), "read_key") if "seq_id" in reads.columns else named.withColumn("seq_id", F.lit(None).cast("string"))
         tables["headers"] = named.select("read_key", dm.header(F.col("seq_id"), F.col("strand"), cb, raw, F.col("umi")).alias("header"), "cdna")
         flat = records.where(F.col(barcodes[0]).isNotNull()).select(F.lit(1).alias("class_id"), F.col(barcodes[0]).alias("true_bc"), F.col(f"{barcodes[0]}_kind").alias("kind"), "strand", (F.col("units") if joins else F.lit(1)).alias("units"), F.col("passing").alias("kept"))
         tables["counters"] = wl.trusted(wl.counters(flat))
-    return Result(tables, {"whitelist_mutation": whitelist_mutation, "min_read_length": min_read_length, "auto": auto})
+    if fastq_of is not None:
+        tables["fastq"] = fastq_of
+    return Result(tables, {"correction_policy": correction_policy, "joint_policy": joint_policy, "whitelist_mutation": whitelist_mutation, "min_read_length": min_read_length, "auto": auto})
 
 
 def discovered(reads: DataFrame, parts: Sequence[tuple[str, str]], catalogs: DataFrame | None = None, adapter: str | None = None, barcode_length: int = 16, sample_reads: int = 10_000, sample_bases: int = 50_000_000) -> Result:
@@ -244,7 +276,9 @@ def reformatted(reads: DataFrame, header: str | None = None, collapsed_input: bo
         head = rf.collapsed_header(i, c, delimiter) if header == "collapsed" else rf.presto_header(i, c) if header == "presto" else i
         named = reads.withColumn("header", head).withColumn("_c", F.lit(None).cast("string") if header else c)
     h = F.col("header")
-    record = rf.fasta(h, F.col("_c"), F.col("seq")) if to_fasta else rf.fastq(h, F.col("_c"), F.col("seq"), F.coalesce("qual", F.lit("")))
+    plus = F.col("plus") if "plus" in reads.columns else None
+    qual = F.coalesce(F.col("qual"), F.raise_error(F.lit("a record without quality cannot be FASTQ")).cast("string"))
+    record = rf.fasta(h, F.col("_c"), F.col("seq")) if to_fasta else rf.fastq(h, F.col("_c"), F.col("seq"), qual, plus)
     return Result({"records": named.select("read_key", "header", record.alias("record")), "stats": rf.stats(reads, "seq_comment")}, {"header": header, "to_fasta": to_fasta})
 
 
@@ -255,6 +289,8 @@ def spatial_reformatted(reads: DataFrame, sample: str, slide: DataFrame | None =
     """
     if (slide is None) == (axes is None):
         raise ValueError("either a map or two axes are required")
+    if unit not in ("bin", "cell") or bin_size < 2 or bin_size % 2 or unit == "cell" and bin_size != 2:
+        raise ValueError("unit is bin with an even bin size, or cell with a bin size of 2")
     if not sample or any(c.isspace() or c == ":" for c in sample):
         raise ValueError("a sample name has no blank and no colon")
     if axes is not None:
@@ -262,7 +298,7 @@ def spatial_reformatted(reads: DataFrame, sample: str, slide: DataFrame | None =
         slide = sp.assigned_by_axes(cb.select("barcode").distinct(), "barcode", *axes, length1 or 0).where("status = 'assigned'").select("barcode", "array_row", "array_col", F.lit(1).alias("in_tissue"), F.lit(None).cast("string").alias("cell_id"))
     if metadata is not None:
         slide = sp.overlaid(slide, metadata)
-    placed = sp.assigned(reads, "seq_comment", slide, unit, bin_size, tissue_only)
+    placed = sp.assigned(reads, "seq_comment", slide, unit, bin_size, tissue_only, ("XB", "XS", "XP"))
     native = slide.select(F.col("barcode").alias("_b"), sp.spot_name(F.col("array_row"), F.col("array_col"), 2).alias("_spot"))
     placed = placed.join(native, F.col("cb") == F.col("_b"), "left")
     rest = F.trim(F.regexp_replace("seq_comment", "(?:^|[ \\t])(?:CB|XB|XS|XP):Z:[^ \\t]*", ""))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import os
 import shutil
 import tempfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, LessThanOrEqual
+
+from readloom.functions.quality import OFFSET, from_offset, recoded
 
 SCHEMA = "file string, read_key long, seq_id string, seq_comment string, seq string, qual string, plus string"
 SUFFIXES = (".fastq", ".fq", ".fasta", ".fa")
@@ -75,32 +79,48 @@ def files_of(path: str) -> list[str]:
     return [os.path.join(path, n) for n in names]
 
 
+#: Keys of the records of a file begin at its place in the folder times this.
+FILE_KEYS = 1 << 40
+
+
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, place: int):
+        self.path, self.place = path, place
 
 
-def _rows(partition: _File, most: int | None) -> Iterator[tuple]:
-    for n, r in enumerate(records(partition.path), 1):
-        if most is not None and n > most:
-            return
-        yield (partition.path, n, *r)
+def _rows(partition: _File, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of a file; ``read_key`` is unique in the folder and rises with files and records."""
+    source = records(partition.path) if most is None else itertools.islice(records(partition.path), max(most, 0))
+    n, schema = 0, pa.schema([("file", pa.string()), ("read_key", pa.int64()), *((c, pa.string()) for c in ("seq_id", "seq_comment", "seq", "qual", "plus"))])
+    while rows := list(itertools.islice(source, 5000)):
+        keys = pa.array(range(partition.place * FILE_KEYS + n + 1, partition.place * FILE_KEYS + n + len(rows) + 1), pa.int64())
+        n += len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(rows)), keys, *(pa.array(c, pa.string()) for c in zip(*rows))], schema=schema)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path")
-        self.most = int(options["maxReads"]) if "maxReads" in options else None
+        self.most = int(options["maxreads"]) if "maxreads" in options else int(options["maxReads"]) if "maxReads" in options else None
         if not self.path:
             raise ValueError("a path is required")
 
     def partitions(self):
-        return [_File(p) for p in files_of(self.path)]
+        return [_File(p, i) for i, p in enumerate(files_of(self.path))]
 
     def read(self, partition):
         return _rows(partition, self.most)
 
 
+class _BoundedReader(_Reader):
+    def pushFilters(self, filters):
+        """A bound on ``read_key`` ends the reading of a file early; Spark applies all filters again."""
+        for f in filters:
+            if isinstance(f, LessThanOrEqual) and f.attribute == ("read_key",) and f.value < FILE_KEYS:
+                self.most = f.value if self.most is None else min(self.most, f.value)
+            yield f
+
+
 class _StreamReader(DataSourceStreamReader):
     """Files in order of their names; the offset is the number of files taken, at most ``filesPerBatch`` a batch."""
 
@@ -117,7 +137,7 @@ class _StreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         self.at = max(self.at, end["files"])
-        return [_File(p) for p in files_of(self.path)[start["files"] : end["files"]]]
+        return [_File(p, i) for i, p in enumerate(files_of(self.path)) if start["files"] <= i < end["files"]]
 
     def read(self, partition):
         return _rows(partition, None)
@@ -129,7 +149,8 @@ class _StreamReader(DataSourceStreamReader):
 class FastqSource(DataSource):
     """``spark.read.format("fastq").load(path)`` and ``spark.readStream``; a file is a partition, as gzip cannot be split.
 
-    ``read_key`` counts records within a file; ``maxReads`` ends each file after so many.
+    ``read_key`` counts the records of the first file from 1, those of file n from n times ``FILE_KEYS`` on, so it is unique
+    in a folder and keeps the order of the input; ``maxReads`` ends each file after so many.
     """
 
     @classmethod
@@ -140,19 +161,34 @@ class FastqSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        # Spark refuses a reader with filters where their pushdown is not enabled.
+        return (_BoundedReader if self.options.get("bounded") == "true" else _Reader)(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None) -> DataFrame:
-    """Records of a file or folder; an empty file gives no rows."""
+def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None, phred_offset: int = 33, keep_comment: bool = True) -> DataFrame:
+    """Records of a file or folder with their summaries; an empty file gives no rows.
+
+    A bound on ``read_key`` in a filter ends the reading early, for which pushdown to Python sources is enabled.
+    ``max_reads`` keeps the first records of the whole input; qualities of another ``phred_offset`` are brought to 33.
+    """
+    from readloom.operators.reads import with_summaries
+
     spark.dataSource.register(FastqSource)
-    reader = spark.read.format("fastq")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("fastq").option("bounded", "true")
     if max_reads is not None:
         reader = reader.option("maxReads", str(max_reads))
-    return reader.load(path)
+    reads = reader.load(path)
+    if max_reads is not None and len(files_of(path)) > 1:
+        reads = reads.orderBy("read_key").limit(max_reads)
+    if phred_offset != OFFSET:
+        reads = reads.withColumn("qual", from_offset(F.col("qual"), phred_offset))
+    if not keep_comment:
+        reads = reads.withColumn("seq_comment", F.lit(None).cast("string"))
+    return with_summaries(reads)
 
 
 class FastqStream:
@@ -188,30 +224,37 @@ class FastqStream:
         self._records = None
 
 
-def check_writable(reads: DataFrame) -> None:
-    """Refuses missing ids or qualities, lengths that differ, and line breaks in any field; one pass."""
+def rejections(reads: DataFrame) -> DataFrame:
+    """One row: why rows cannot be written, each with its number of rows; a row may count for several reasons."""
     breaks = F.lit(False)
     for c in ("seq_id", "seq_comment", "seq", "qual"):
         breaks = breaks | F.coalesce(F.col(c).rlike("[\r\n]"), F.lit(False))
-    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    row = reads.agg(n(F.col("seq_id").isNull()).alias("missing ids"), n(F.col("qual").isNull()).alias("missing qualities"), n(F.length("seq") != F.length("qual")).alias("lengths that differ"), n(breaks).alias("line breaks")).first().asDict()
-    if wrong := {k: v for k, v in row.items() if v}:
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    return reads.agg(n(F.col("seq_id").isNull()).alias("missing_ids"), n(F.col("qual").isNull()).alias("missing_qualities"), n(F.length("seq") != F.length("qual")).alias("lengths_that_differ"), n(breaks).alias("line_breaks"))
+
+
+def check_writable(reads: DataFrame) -> None:
+    """Refuses missing ids or qualities, lengths that differ, and line breaks in any field; one pass."""
+    if wrong := {k.replace("_", " "): v for k, v in rejections(reads).first().asDict().items() if v}:
         raise ValueError(f"cannot be written: {wrong}")
 
 
-def write_fastq_parts(reads: DataFrame, path: str, order: str = "read_key") -> None:
-    """A folder of gzip parts in the order of keys, written by all executors."""
+def write_fastq_parts(reads: DataFrame, path: str, order: str = "read_key", phred_offset: int = 33) -> None:
+    """A folder of gzip parts in the order of keys, written by all executors; a ``plus`` column goes back to its line."""
     from readloom.operators.reformat import fastq
 
     check_writable(reads)
     ranged = reads.repartitionByRange(order).sortWithinPartitions(order)
-    ranged.select(fastq(F.col("seq_id"), F.col("seq_comment"), F.col("seq"), F.col("qual")).alias("value")).write.option("compression", "gzip").text(path)
+    qual = F.col("qual") if phred_offset == OFFSET else recoded(F.col("qual"), phred_offset)
+    plus = F.col("plus") if "plus" in reads.columns else None
+    ranged.select(fastq(F.col("seq_id"), F.col("seq_comment"), F.col("seq"), qual, plus).alias("value")).write.option("compression", "gzip").text(path)
 
 
-def write_fastq(reads: DataFrame, path: str, order: str = "read_key", append: bool = False) -> str:
+def write_fastq(reads: DataFrame, path: str, order: str = "read_key", append: bool = False, phred_offset: int = 33) -> str:
     """One file in the order of keys, packed if its name ends in ``.gz``; replaced only when it is complete.
 
-    Executors write packed parts into a staging folder beside the target; the driver only copies bytes.
+    Executors write packed parts into a staging folder beside the target, on a file system that all of them share with the
+    driver, as for any single local file; ``write_fastq_parts`` has no such need.  The driver only copies bytes.
     """
     packed, there = path.endswith(".gz"), append and os.path.exists(path) and os.path.getsize(path) > 0
     if there:
@@ -224,7 +267,7 @@ def write_fastq(reads: DataFrame, path: str, order: str = "read_key", append: bo
                     pass
     stage = tempfile.mkdtemp(prefix=".stage-", dir=os.path.dirname(os.path.abspath(path)))
     try:
-        write_fastq_parts(reads, f"file://{stage}/parts", order)
+        write_fastq_parts(reads, f"file://{stage}/parts", order, phred_offset)
         with open(f"{stage}/whole", "wb") as out:
             if there:
                 with open(path, "rb") as old:

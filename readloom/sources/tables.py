@@ -9,15 +9,22 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.operators.spatial import unique_map
+from readloom.operators.spatial import native_spot, unique_map
 from readloom.operators.whitelist import cleaned
 from readloom.plans.publish import guard
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def uri(path: str) -> str:
+    """Address of a file: any that names its file system as it is, a plain path as a local file, which must be there."""
+    if "://" in path:
+        return path
     if not os.path.isfile(path):
         raise FileNotFoundError(path)
-    return spark.read.text(f"file://{os.path.abspath(path)}")
+    return f"file://{os.path.abspath(path)}"
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(uri(path))
 
 
 def count_table(spark: SparkSession, path: str) -> DataFrame:
@@ -41,13 +48,28 @@ SLIDE_COLUMNS = {"array_row": "int", "array_col": "int", "in_tissue": "int", "ce
 
 def slide_map(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated map or axis with ``barcode`` and known columns; missing optional columns become null, a barcode may occur once."""
-    raw = spark.read.csv(f"file://{os.path.abspath(path)}", sep="\t", header=True)
+    raw = spark.read.csv(uri(path), sep="\t", header=True)
     if "barcode" not in raw.columns:
         raise ValueError(f"no column barcode in {path}")
     known = [F.expr(f"try_cast(`{c}` as {t})").alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in SLIDE_COLUMNS.items()]
     return unique_map(raw.select(F.upper("barcode").alias("barcode"), *known))
 
 
+def spot_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated notes by native spot: ``array_row, array_col, in_tissue, cell_id``, or a spot name ``barcode`` instead of the coordinates."""
+    raw = spark.read.csv(uri(path), sep="\t", header=True)
+    if "barcode" in raw.columns and "array_row" not in raw.columns:
+        row, col = native_spot(F.col("barcode"))
+        raw = raw.withColumns({"array_row": row, "array_col": col})
+    if not {"array_row", "array_col"} <= set(raw.columns):
+        raise ValueError(f"no coordinates in {path}")
+    known = [F.expr(f"try_cast(`{c}` as {t})").alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in SLIDE_COLUMNS.items() if c in ("array_row", "array_col", "in_tissue", "cell_id")]
+    out = raw.select(*known).where("array_row is not null and array_col is not null")
+    if not out.groupBy("array_row", "array_col").count().where("count > 1").isEmpty():
+        raise ValueError("duplicate spot in the metadata")
+    return out
+
+
 def registered_map(spark: SparkSession, folder: str, platform: str, slide: str) -> DataFrame:
     """Map of a slide in a registry of ``<platform>/<slide>.tsv.gz``."""
     for part in (platform, slide):

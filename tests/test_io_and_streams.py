@@ -23,7 +23,7 @@ def put(path, text, packed=False):
 @pytest.mark.parametrize("packed", [False, True])
 def test_reads_fastq(spark, tmp_path, packed):
     p = put(tmp_path / ("x.fastq.gz" if packed else "x.fastq"), FASTQ, packed)
-    rows = [tuple(r)[1:] for r in fq.read_fastq(spark, p).orderBy("read_key").collect()]
+    rows = [tuple(r)[1:7] for r in fq.read_fastq(spark, p).orderBy("read_key").collect()]
     assert rows == [(1, "a", "first", "ACGT", "IIII", None), (2, "b", None, "", "", "payload"), (3, "c", "x y", "ACGT", "@III", None)]
     assert fq.read_fastq(spark, p, 2).count() == 2
 
@@ -140,3 +140,57 @@ def test_resources(tmp_path):
     with pytest.raises(ValueError):
         pb.clear_cache(str(tmp_path / "cache"))
     assert pb.clear_cache(str(tmp_path / "cache"), confirm=True) is False
+
+
+def test_keys_are_unique_in_a_folder_and_limits_hold_for_all_of_it(spark, tmp_path):
+    for i in range(3):
+        put(tmp_path / f"{i}.fq", FASTQ)
+    r = fq.read_fastq(spark, str(tmp_path))
+    keys = [x["read_key"] for x in r.orderBy("read_key").collect()]
+    assert len(set(keys)) == 9 and keys[:3] == [1, 2, 3]
+    assert fq.read_fastq(spark, str(tmp_path), 4).count() == 4
+    assert [x["read_key"] for x in r.where("read_key <= 2").orderBy("read_key").collect()] == [1, 2]
+    assert [x["seq_comment"] for x in fq.read_fastq(spark, str(tmp_path / "0.fq"), keep_comment=False).collect()] == [None] * 3
+    first = r.orderBy("read_key").first()
+    assert (first["length"], first["mean_q"], first["min_q"], first["frac_q20"]) == (4, 40.0, 40, 1.0)
+
+
+def test_phred_offsets_go_round(spark, tmp_path):
+    r = rd.pack_reads(spark, ["a"], ["ACGT"], ["@h~@"], phred_offset=64)
+    assert r.first()["qual"] == "!I_!" and r.first()["min_q"] == 0
+    p = fq.write_fastq(r, str(tmp_path / "x.fq"), phred_offset=64)
+    assert "\n@h~@\n" in Path(p).read_text()
+    assert fq.read_fastq(spark, p, phred_offset=64).first()["qual"] == "!I_!"
+    for bad in (rd.pack_reads(spark, ["a"], ["A"], ["!"], phred_offset=64), fq.read_fastq(spark, put(tmp_path / "y.fq", "@a\nA\n+\n!\n"), phred_offset=64)):
+        with pytest.raises(Exception, match="Phred offset"):
+            bad.collect()
+
+
+def test_folders_of_files_give_their_own_headers(spark, tmp_path):
+    from readloom.plans.workflows import demultiplex
+    from readloom.sources.layouts import Element
+
+    layout = [Element("p", "static", "", "ACGTTGCAAC"), Element("barcode", "variable", "barcode", lengths=(4,), whitelist="w"), Element("umi", "variable", "umi", lengths=(3,)), Element("read", "variable", "read")]
+    for i in range(2):
+        put(tmp_path / f"{i}.fq", "".join(f"@r{i}{j}\nACGTTGCAACTTGG{'ACG'}CCCN{'A' * 5}\n+\n{'I' * 17}ABCDEFGHI\n" for j in range(2)))
+    out = demultiplex(fq.read_fastq(spark, str(tmp_path)), layout, {"w": spark.createDataFrame([("TTGG",)], "barcode string")})
+    heads = sorted(r["header"].split("-")[0] for r in out.tables["headers"].collect())
+    assert heads == ["r00", "r01", "r10", "r11"]
+    records = out.tables["fastq"].orderBy("read_key").collect()
+    assert [(r["seq_id"], r["seq"], r["qual"]) for r in records][0] == ("r00-F", "CCCAAAAA", "ABCEFGHI")
+    assert records[0]["seq_comment"] == "TS:A:+ CB:Z:TTGG CR:Z:TTGG UB:Z:ACG"
+
+
+def test_rewrite_keeps_the_plus_line_and_refuses_missing_quality(spark, tmp_path):
+    from readloom.plans.sinks import rewrite
+    from readloom.plans.workflows import reformatted
+
+    p = put(tmp_path / "x.fq", FASTQ.replace("@c x y\nAC\nGT", "@c x y\nACGT").replace("@I\nII", "@III"))
+    before = Path(p).read_text()
+    rewrite(spark, p)
+    assert Path(p).read_text() == before
+    rewrite(spark, p, lambda r: r.withColumn("seq_id", F.concat("seq_id", F.lit("/1"))))
+    assert Path(p).read_text() == before.replace("@a", "@a/1").replace("@b", "@b/1").replace("@c", "@c/1")
+    r = rd.pack_reads(spark, ["a"], ["ACGT"])
+    with pytest.raises(Exception, match="without quality"):
+        reformatted(r, "collapsed").tables["records"].collect()
