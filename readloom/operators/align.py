@@ -37,9 +37,18 @@ def infix_one(pattern: str, text: str) -> tuple[int, int, int]:
     return best, end, ties
 
 
-def _continued(text: bytes, masks: np.ndarray, m: int, j: int, vp: int, vn: int, score: int, best: int, at: int, count: int) -> tuple[int, int, int]:
+def _places(pattern: str, wild: str = "") -> list[int]:
+    """Bits of the places of each letter in the pattern; letters in ``wild`` stand for every canonical base."""
+    out = [0] * 256
+    for i, c in enumerate(pattern):
+        for x in "ACGT" if c in wild else c:
+            out[ord(x)] |= 1 << i
+    return out
+
+
+def _continued(text: bytes, eqs: list[int], m: int, j: int, vp: int, vn: int, score: int, best: int, at: int, count: int) -> tuple[int, int, int]:
     """The same steps for the rest of one text."""
-    ones, top, eqs = (1 << m) - 1, m - 1, masks.tolist()
+    ones, top = (1 << m) - 1, m - 1
     for c in text:
         eq = eqs[c]
         d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & ones
@@ -56,22 +65,23 @@ def _continued(text: bytes, masks: np.ndarray, m: int, j: int, vp: int, vn: int,
 
 
 def infix_many(pattern: str, texts: list[str], wild: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``infix_one`` for many texts at once; patterns of up to 63 ASCII letters.
+    """``infix_one`` for many texts at once; patterns of ASCII letters, longer than 63 of them text by text in wide integers.
 
     Letters of the pattern in ``wild`` match every canonical base, and nothing else.
     """
     n, m = len(texts), len(pattern)
-    if not 1 <= m <= _LONGEST or not pattern.isascii():
-        raise ValueError(f"a pattern has 1 to {_LONGEST} ASCII letters")
+    if not m or not pattern.isascii():
+        raise ValueError("a pattern has ASCII letters")
     distance, end, ties = np.full(n, m, np.int32), np.full(n, -1, np.int32), np.zeros(n, np.int32)
     lengths = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] >= (1 if wild else m)]
-    if len(order):
-        masks = np.zeros(256, _U)
-        for i, c in enumerate(pattern):
-            for x in "ACGT" if c in wild else c:
-                masks[ord(x)] |= _U(1 << i)
+    places = _places(pattern, wild)
+    if m > _LONGEST:
+        for i in order.tolist():
+            distance[i], end[i], ties[i] = _continued(texts[i].encode("ascii", "replace"), places, m, 0, (1 << m) - 1, 0, m, m, -1, 0)
+    elif len(order):
+        masks = np.array(places, _U)
         raw = [texts[i].encode("ascii", "replace") for i in order]
         data = np.frombuffer(b"".join(raw), np.uint8)
         size = lengths[order]
@@ -88,7 +98,7 @@ def infix_many(pattern: str, texts: list[str], wild: str = "") -> tuple[np.ndarr
                 # A few long texts are left: plain integers are faster than arrays of so few.
                 for i in range(live):
                     rest = raw[i][j:]
-                    best[i], at[i], count[i] = _continued(rest, masks, m, j, int(vp[i]), int(vn[i]), int(score[i]), int(best[i]), int(at[i]), int(count[i]))
+                    best[i], at[i], count[i] = _continued(rest, places, m, j, int(vp[i]), int(vn[i]), int(score[i]), int(best[i]), int(at[i]), int(count[i]))
                 break
             p, q = vp[:live], vn[:live]
             eq = masks[data[start[:live] + j]]
@@ -111,36 +121,45 @@ def infix_many(pattern: str, texts: list[str], wild: str = "") -> tuple[np.ndarr
     return distance, end, ties
 
 
-def infix_hits(pattern: str, texts: list[str], most: int) -> list[list[tuple[int, int, int]]]:
+def infix_hits(pattern: str, texts: list[str], most: int, wild: str = "") -> list[list[tuple[int, int, int]]]:
     """``start, end, distance`` of all places of each text within ``most`` edits of the pattern, from left to right; ``end`` is exclusive.
 
-    Ends in a row are one place: its best end, the first on a tie.
+    Ends in a row are one place: its best end, the first on a tie.  Letters of the pattern in ``wild`` match every canonical base.
     """
     m, out = len(pattern), [[] for _ in texts]
-    if not 1 <= m <= _LONGEST or not pattern.isascii():
-        raise ValueError(f"a pattern has 1 to {_LONGEST} ASCII letters")
+    if not m or not pattern.isascii():
+        raise ValueError("a pattern has ASCII letters")
+    if not most and not any(c in wild for c in pattern):
+        for i, t in enumerate(texts):
+            at = t.find(pattern)
+            while at >= 0:
+                if not at or not t.startswith(pattern, at - 1):  # ends in a row are one place
+                    out[i].append((at, at + m, 0))
+                at = t.find(pattern, at + 1)
+        return out
     lengths = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     if not len(order):
         return out
-    masks = np.zeros(256, _U)
-    for i, c in enumerate(pattern):
-        masks[ord(c)] |= _U(1 << i)
+    places = _places(pattern, wild)
+    wide = m > _LONGEST
+    masks = np.zeros(256, _U) if wide else np.array(places, _U)
     raw = [texts[i].encode("ascii", "replace") for i in order]
     data, size = np.frombuffer(b"".join(raw), np.uint8), lengths[order]
     start = np.r_[0, np.cumsum(size)[:-1]]
-    ones, top, live = _U((1 << m) - 1), _U(m - 1), len(order)
+    all_ones = (1 << m) - 1
+    ones, top, live = _U(all_ones if not wide else 0), _U(m - 1), len(order)
     vp, vn, score = np.full(live, ones), np.zeros(live, _U), np.full(live, m, np.int32)
     found: list[list[tuple[int, int]]] = [[] for _ in order]
     for j in range(int(size[0])):
         while size[live - 1] <= j:
             live -= 1
-        if live < _FEW:
+        if live < _FEW or wide:
             for i in range(live):
-                v, w, s, all_ones = int(vp[i]), int(vn[i]), int(score[i]), int(ones)
+                v, w, s = all_ones if wide else int(vp[i]), int(vn[i]), int(score[i])
                 for at, c in enumerate(raw[i][j:], j):
-                    eq = int(masks[c])
+                    eq = places[c]
                     d0 = ((((eq & v) + v) ^ v) | eq | w) & all_ones
                     hp, hn = (w | ~(d0 | v)) & all_ones, d0 & v
                     s += (hp >> (m - 1)) - (hn >> (m - 1))
@@ -167,12 +186,12 @@ def infix_hits(pattern: str, texts: list[str], most: int) -> list[list[tuple[int
             if best is None or d < best[1]:
                 best = at, d
             if k + 1 == len(ends) or ends[k + 1][0] != at + 1:
-                out[i].append((_start(pattern, texts[i], *best), best[0] + 1, best[1]))
+                out[i].append((_start(pattern, texts[i], *best, wild), best[0] + 1, best[1]))
                 best = None
     return out
 
 
-def _start(pattern: str, text: str, last: int, distance: int) -> int:
+def _start(pattern: str, text: str, last: int, distance: int, wild: str = "") -> int:
     """Where a place begins that ends with letter ``last``; the one nearest to the pattern's length on a tie."""
     m = len(pattern)
     if not distance:
@@ -182,7 +201,7 @@ def _start(pattern: str, text: str, last: int, distance: int) -> int:
     for i, p in enumerate(reversed(pattern), 1):
         left, row[0] = row[0], i
         for j, c in enumerate(window, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (p != c))
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (p != c and not (p in wild and c in "ACGT")))
     return last + 1 - min(range(len(window) + 1), key=lambda j: (row[j], abs(j - m)))
 
 
@@ -244,12 +263,12 @@ def mask_captures(mask: str, text: Column, max_error: float) -> Column:
     return F.arrow_udf(run, "struct<distance: int, barcode: string>")(text)
 
 
-def infix_distance(pattern: str, text: Column) -> Column:
+def infix_distance(pattern: str, text: Column, wild: str = "") -> Column:
     """``distance, end, ties`` of the pattern in each text; null for null."""
 
     def run(t):
         null = t.is_null().to_numpy(zero_copy_only=False)
-        d, e, n = infix_many(pattern, [x or "" for x in t.to_pylist()])
+        d, e, n = infix_many(pattern, [x or "" for x in t.to_pylist()], wild)
         return pa.StructArray.from_arrays([pa.array(x, mask=null) for x in (d, e, n)], ["distance", "end", "ties"])
 
     run.__annotations__ = {"t": pa.Array, "return": pa.Array}

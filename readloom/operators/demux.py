@@ -114,7 +114,7 @@ def parsed_fuzzy(reads: DataFrame, layout: Sequence[Element], max_error: float,
         sides = []
         for texts in (f.to_pylist(), r.to_pylist()):
             texts = [t or "" for t in texts]
-            found = {i: infix_hits(part, texts, int(max_error * len(part) + 1e-9)) for i, part in static}
+            found = {i: infix_hits(part, texts, int(max_error * sum(c != "N" for c in part) + 1e-9), "N") for i, part in static}
             sides.append([_placed(t, layout, {i: found[i][k] for i, _ in static}) for k, t in enumerate(texts)])
         rows = []
         for a, b in zip(*sides):
@@ -136,10 +136,10 @@ def without_gaps(text: Column) -> Column:
 
 def cut_together(seq: Column, qual: Column) -> tuple[Column, Column]:
     """Sequence and quality without the places where the sequence has an N."""
-    at = F.filter(F.sequence(F.lit(1), F.length(seq)), lambda i: F.upper(F.substring(seq, i, F.lit(1))) != "N")
-    some = F.length(seq) > 0
-    pick = lambda t: F.when(some, F.array_join(F.transform(at, lambda i: F.substring(t, i, F.lit(1))), "")).otherwise(t)
-    return pick(seq), F.when(qual.isNotNull() & (F.length(qual) == F.length(seq)), pick(qual)).otherwise(qual)
+    letters = lambda t: F.split(t, "")
+    kept = F.filter(F.arrays_zip(letters(seq).alias("s"), letters(qual).alias("q")), lambda x: (x["s"] != "") & ~x["s"].isin("N", "n"))
+    together = qual.isNotNull() & (F.length(qual) == F.length(seq)) & seq.rlike("[Nn]")
+    return without_gaps(seq), F.when(together, F.array_join(F.transform(kept, lambda x: x["q"]), "")).otherwise(qual)
 
 
 def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True, max_error: float | None = None, keep: Sequence[str] = (), qual: str | None = None) -> DataFrame:

@@ -30,11 +30,15 @@ def located(reads: DataFrame, seq: str, adapter: str) -> DataFrame:
 
 
 def located_fuzzy(reads: DataFrame, seq: str, adapter: str, max_error: float = 0.3) -> DataFrame:
-    """As ``located`` for copies within ``floor(max_error * length)`` edits; the better strand wins, forward on a tie."""
-    most = int(max_error * len(adapter) + 1e-9)
+    """As ``located`` for copies within ``floor(max_error * length)`` edits; the better strand wins, forward on a tie.
+
+    An ``N`` of the adapter matches every canonical base and gives no room for edits.
+    """
+    wild = "N" if "N" in adapter else ""
+    most = int(max_error * sum(c not in wild for c in adapter) + 1e-9)
     both = bound(reads, _f=F.upper(seq))
     both = bound(both, _r=revcomp(F.col("_f")))
-    both = both.withColumns({"_df": infix_distance(adapter, F.col("_f")), "_dr": infix_distance(adapter, F.col("_r"))})
+    both = both.withColumns({"_df": infix_distance(adapter, F.col("_f"), wild), "_dr": infix_distance(adapter, F.col("_r"), wild)})
     forward = F.col("_df.distance") <= F.col("_dr.distance")
     hit = F.when(forward, F.col("_df")).otherwise(F.col("_dr"))
     found = both.withColumns({"_h": hit, "strand": F.when(forward, "F").otherwise("R"), "oriented": F.when(forward, F.col("_f")).otherwise(F.col("_r"))})

@@ -54,7 +54,7 @@ def barcodes_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def in_layout(spark: SparkSession, sf: str, layout: str) -> DataFrame:
     """Reads of the runs of a layout."""
     runs = table(spark, sf, "run_batches").where(F.col("layout") == layout).select("run_id").distinct()
-    return reads_of(spark, sf).join(runs, "run_id", "left_semi")
+    return spread(reads_of(spark, sf)).join(runs, "run_id", "left_semi")
 
 
 def sql_part(layout: str, part: str) -> str:
@@ -243,7 +243,7 @@ h AS (SELECT read_key, CASE WHEN strpos(f, p) > 0 THEN 'F' ELSE 'R' END AS stran
 
 
 def _located(spark, sf):
-    return scan.located(reads_of(spark, sf).select("read_key", "seq"), "seq", part_of(spark, sf, "tagline_three", "forw_primer"))
+    return scan.located(spread(reads_of(spark, sf).select("read_key", "seq")), "seq", part_of(spark, sf, "tagline_three", "forw_primer"))
 
 
 @query(_LOCATED + "SELECT read_key, strand, substr(s, pl, 16) AS barcode FROM h WHERE length(substr(s, pl, 16)) = 16")
@@ -309,7 +309,7 @@ FROM o, m WHERE regexp_matches(f, p) OR regexp_matches(r, p)"""
 @query(_MASKED)
 def scan_masked(spark, sf):
     mask = part_of(spark, sf, "splitwell", "linker_1") + "N" * 8 + part_of(spark, sf, "splitwell", "linker_2")
-    return scan.masked(reads_of(spark, sf).select("read_key", "seq"), "seq", mask).select("read_key", "strand", "barcode")
+    return scan.masked(spread(reads_of(spark, sf).select("read_key", "seq")), "seq", mask).select("read_key", "strand", "barcode")
 
 
 _SPLIT = f"""
@@ -324,7 +324,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY read_key ORDER BY "offset") AS n
 def _split(spark, sf):
     wells = barcodes_of(spark, sf, "well8")
     gap = len(part_of(spark, sf, "splitwell", "linker_1"))
-    return scan.split_scan(reads_of(spark, sf), "read_key", "seq", part_of(spark, sf, "splitwell", "forw_primer"), wells, wells, 8, 8, umi_length=0, gap=gap)
+    return scan.split_scan(spread(reads_of(spark, sf).select("read_key", "seq")), "read_key", "seq", part_of(spark, sf, "splitwell", "forw_primer"), wells, wells, 8, 8, umi_length=0, gap=gap)
 
 
 @query(_SPLIT + 'SELECT read_key, strand, bc1, bc2, CAST("offset" AS INT) AS "offset" FROM k WHERE n = 1')
@@ -357,7 +357,7 @@ def scan_fuzzy(spark, sf):
 @query()
 def scan_masked_fuzzy(spark, sf):
     mask = part_of(spark, sf, "splitwell", "linker_1") + "N" * 8 + part_of(spark, sf, "splitwell", "linker_2")
-    reads = spread(in_layout(spark, sf, "splitwell").select("read_key", "seq"))
+    reads = in_layout(spark, sf, "splitwell").select("read_key", "seq")
     return scan.masked_fuzzy(reads, "seq", mask, 0.1).select("read_key", "strand", "barcode")
 
 
@@ -445,7 +445,7 @@ def _parts(spark, sf) -> list[tuple[str, str]]:
 
 @query(f"SELECT p.id, count(*) FILTER (contains(f, p.seq)) AS forward, count(*) FILTER (contains(r, p.seq)) AS reverse FROM (SELECT upper(seq) AS f, {_RC.format('upper(seq)')} AS r FROM rad_reads), {_PARTS} p GROUP BY p.id")
 def discover_part_support(spark, sf):
-    return discover.part_support(reads_of(spark, sf), "seq", _parts(spark, sf))
+    return discover.part_support(spread(reads_of(spark, sf).select("seq")), "seq", _parts(spark, sf))
 
 
 @query(f"""
@@ -454,17 +454,17 @@ h AS (SELECT r.read_key, p.id, length(p.seq) AS n, strpos(upper(r.seq), p.seq) A
 g AS (SELECT id, lead(id) OVER w AS nid, lead(pl) OVER w - pl - n AS gap FROM h WINDOW w AS (PARTITION BY read_key ORDER BY pl, id, n))
 SELECT id AS part, nid AS next_part, count(*) AS reads, CAST(min(gap) AS INT) AS least_gap, CAST(max(gap) AS INT) AS most_gap, min(gap) = max(gap) AS fixed FROM g WHERE gap >= 0 GROUP BY id, nid""")
 def discover_spacing(spark, sf):
-    return discover.spacing(reads_of(spark, sf), "read_key", "seq", [p for p in _parts(spark, sf) if p[0].startswith("splitwell/")])
+    return discover.spacing(spread(reads_of(spark, sf).select("read_key", "seq")), "read_key", "seq", [p for p in _parts(spark, sf) if p[0].startswith("splitwell/")])
 
 
 # Demultiplexing -----------------------------------------------------------------
 
 
-def _demux(spark, sf, layout: str, mutation: int = 0, least: int = 0, max_error: float | None = None):
+def _demux(spark, sf, layout: str, mutation: int = 0, least: int = 0, max_error: float | None = None, keep: tuple[str, ...] = ()):
     elements = layout_of(spark, sf, layout)
     lists = {e.whitelist: barcodes_of(spark, sf, e.whitelist) for e in elements if e.cls == "barcode"}
-    reads = in_layout(spark, sf, layout).select("read_key", "seq")
-    return dm.demux(reads if max_error is None else spread(reads), elements, lists, mutation, least, max_error=max_error)
+    reads = in_layout(spark, sf, layout).select("read_key", "seq", *keep)
+    return dm.demux(reads, elements, lists, mutation, least, max_error=max_error, keep=keep)
 
 
 _LONG = f"""
@@ -518,7 +518,7 @@ def demux_unit_counters(spark, sf):
     elements = layout_of(spark, sf, "longchain")
     joins = [e.seq for e in elements if e.cls == "linker"]
     lists = {e.whitelist: barcodes_of(spark, sf, e.whitelist) for e in elements if e.cls == "barcode"}
-    d = dm.demux_units(spread(in_layout(spark, sf, "longchain").select("read_key", "seq")), elements, lists, joins, 1, 30, max_error=0.15).where("barcode is not null")
+    d = dm.demux_units(in_layout(spark, sf, "longchain").select("read_key", "seq"), elements, lists, joins, 1, 30, max_error=0.15).where("barcode is not null")
     d = d.select(F.lit(1).alias("class_id"), F.col("barcode").alias("true_bc"), F.col("barcode_kind").alias("kind"), "strand", "units", F.col("passing").alias("kept"))
     return whitelist.trusted(whitelist.counters(d))
 
@@ -531,7 +531,7 @@ def demux_stats(spark, sf):
 
 @query(_FIXED + "SELECT c.read_key, coalesce(seq_id, '') || '-' || strand || ' TS:A:' || CASE strand WHEN 'F' THEN '+' ELSE '-' END || ' CB:Z:' || barcode || ' CR:Z:' || barcode_raw || ' UB:Z:' || umi AS header FROM c JOIN rad_reads r ON r.read_key = c.read_key WHERE barcode IS NOT NULL")
 def demux_headers(spark, sf):
-    d = _demux(spark, sf, "longchain", 1).where("barcode is not null").join(reads_of(spark, sf).select("read_key", "seq_id"), "read_key")
+    d = _demux(spark, sf, "longchain", 1, keep=("seq_id",)).where("barcode is not null")
     return d.select("read_key", dm.header(F.col("seq_id"), F.col("strand"), F.col("barcode"), F.col("barcode_raw"), F.col("umi")).alias("header"))
 
 
@@ -655,26 +655,34 @@ s AS (SELECT read_key, list_filter(regexp_split_to_array(upper(seq), p), lambda
 SELECT read_key, CAST(generate_subscripts(xs, 1) AS BIGINT) AS segment, CAST(len(xs) AS BIGINT) AS units, unnest(xs) AS part FROM s""")
 def concat_segments(spark, sf):
     joins = [e.seq for e in layout_of(spark, sf, "longchain") if e.cls == "linker"]
-    return concat.segments(reads_of(spark, sf), "read_key", "seq", joins).withColumnRenamed("key", "read_key")
+    return concat.segments(spread(reads_of(spark, sf).select("read_key", "seq")), "read_key", "seq", joins).withColumnRenamed("key", "read_key")
 
 
 @query()
 def concat_segments_both(spark, sf):
     joins = [e.seq for e in layout_of(spark, sf, "longchain") if e.cls == "linker"]
-    return concat.segments_both(reads_of(spark, sf), "read_key", "seq", joins).withColumnRenamed("key", "read_key")
-
-
-_EDGES = "(VALUES ('bounded', 'bounded', 60, 822), ('bounded', 'insert', 60, 822), ('insert', 'bounded', 60, 822), ('insert', 'insert', 60, 822)) e(left_kind, right_kind, left_end, right_start)"
+    return concat.segments_both(spread(reads_of(spark, sf).select("read_key", "seq")), "read_key", "seq", joins).withColumnRenamed("key", "read_key")
 
 
 @query(f"""
-SELECT left_kind, right_kind, CAST(left_end AS INT) AS left_end, CAST(right_start AS INT) AS right_start,
-  CAST(CASE WHEN left_kind = right_kind THEN 441 WHEN left_kind = 'bounded' THEN 68 ELSE 814 END AS BIGINT) AS cut,
-  CAST(CASE WHEN left_kind || right_kind = 'insertinsert' THEN 60 WHEN left_kind = right_kind THEN 441 WHEN left_kind = 'bounded' THEN 66 ELSE 812 END AS BIGINT) AS lo,
-  CAST(CASE WHEN left_kind || right_kind = 'insertinsert' THEN 822 WHEN left_kind = right_kind THEN 441 WHEN left_kind = 'bounded' THEN 70 ELSE 816 END AS BIGINT) AS hi,
-  CASE WHEN left_kind || right_kind = 'insertinsert' THEN 'midpoint' ELSE 'geometry' END AS kind FROM {_EDGES}""")
+WITH j AS (SELECT {sql_part('longchain', 'forw_primer')} AS p, {sql_part('longchain', 'rev_primer')} AS q),
+o AS (SELECT read_key, upper(seq) AS s, p, q FROM rad_reads, j WHERE strpos(upper(seq), p) > 0),
+e AS (SELECT read_key, CAST(strpos(s, p) + length(p) - 1 AS INT) AS left_end, substr(s, strpos(s, p) + length(p)) AS tail, q FROM o),
+f AS (SELECT read_key, left_end, CAST(CASE WHEN strpos(tail, q) > 0 THEN left_end + strpos(tail, q) - 1 ELSE left_end + length(tail) END AS INT) AS right_start, CASE WHEN regexp_matches(tail, 'T{{8}}') THEN 'bounded' ELSE 'insert' END AS left_kind, CASE WHEN strpos(tail, q) > 0 THEN 'bounded' ELSE 'insert' END AS right_kind FROM e)
+SELECT *, CAST(CASE WHEN left_kind = right_kind THEN (left_end + right_start) // 2 WHEN left_kind = 'bounded' THEN least(left_end + 8, right_start) ELSE greatest(right_start - 8, left_end) END AS BIGINT) AS cut,
+  CAST(CASE WHEN left_kind || right_kind = 'insertinsert' THEN left_end WHEN left_kind = right_kind THEN (left_end + right_start) // 2 WHEN left_kind = 'bounded' THEN left_end + 6 ELSE greatest(left_end, right_start - 10) END AS BIGINT) AS lo,
+  CAST(CASE WHEN left_kind || right_kind = 'insertinsert' THEN right_start WHEN left_kind = right_kind THEN (left_end + right_start) // 2 WHEN left_kind = 'bounded' THEN least(right_start, left_end + 10) ELSE least(right_start, right_start - 6) END AS BIGINT) AS hi,
+  CASE WHEN left_kind || right_kind = 'insertinsert' THEN 'midpoint' ELSE 'geometry' END AS kind FROM f""")
 def concat_boundary_table(spark, sf):
-    edges = spark.createDataFrame([(a, b, 60, 822) for a in ("bounded", "insert") for b in ("bounded", "insert")], "left_kind string, right_kind string, left_end int, right_start int")
+    """Where units meet, by what lies beside the first primer of each read and the closing primer behind it."""
+    p, q = (part_of(spark, sf, "longchain", x) for x in ("forw_primer", "rev_primer"))
+    s = spread(reads_of(spark, sf).select("read_key", F.upper("seq").alias("s"))).where(F.locate(p, F.col("s")) > 0)
+    e = s.select("read_key", (F.locate(p, F.col("s")) + len(p) - 1).alias("left_end"), F.expr(f"substring(s, locate('{p}', s) + {len(p)})").alias("tail"))
+    closed = F.locate(q, F.col("tail"))
+    edges = e.select(
+        "read_key", "left_end", F.when(closed > 0, F.col("left_end") + closed - 1).otherwise(F.col("left_end") + F.length("tail")).alias("right_start"),
+        F.when(F.col("tail").rlike("T{8}"), "bounded").otherwise("insert").alias("left_kind"), F.when(closed > 0, "bounded").otherwise("insert").alias("right_kind"),
+    )
     return concat.junction_table(edges)
 
 

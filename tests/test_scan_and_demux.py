@@ -296,3 +296,29 @@ def test_discovery(spark):
 def test_revcomp_is_its_own_inverse(spark):
     r = reads(spark, "ACGTTGCAN")
     assert r.select(revcomp(revcomp(F.col("seq")))).first()[0] == "ACGTTGCAN"
+
+
+def test_long_patterns_and_wildcards_align(spark):
+    import random
+
+    from readloom.operators.align import infix_hits, infix_many, infix_one
+
+    rng = random.Random(31)
+    pattern = "".join(rng.choice("ACGT") for _ in range(90))
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 60))) + pattern[:40] + rng.choice(["", "A", "CC"]) + pattern[42:] + "GATTACA" for _ in range(40)] + ["ACGT", ""]
+    d, e, n = infix_many(pattern, texts)
+    assert [(int(a), int(b), int(c)) for a, b, c in zip(d, e, n)] == [infix_one(pattern, t) for t in texts]
+    for t, hits in zip(texts, infix_hits(pattern, texts, 5)):
+        assert (min(h[2] for h in hits) == infix_one(pattern, t)[0] and t[hits[0][0] : hits[0][1]][:5] == pattern[:5]) if len(t) > 60 else not hits
+    masked = pattern[:30] + "N" * 8 + pattern[38:70]
+    assert infix_hits(masked, [pattern], 0, "N") == [[(0, 70, 0)]]
+    assert infix_hits(masked[:60], ["TT" + pattern], 0, "N") == [[(2, 62, 0)]]
+
+
+def test_all_built_in_layouts_demultiplex(spark):
+    from readloom.operators.demux import parsed_fuzzy
+    from readloom.sources import builtin_layouts as bl
+
+    reads = spark.createDataFrame([(1, "ACGTACGTTT" * 30)], "read_key long, seq string")
+    for name in bl.keys():
+        assert parsed_fuzzy(reads, bl.load(name), 0.1).count() >= 0
