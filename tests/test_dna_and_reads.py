@@ -114,7 +114,7 @@ def test_read_table(spark):
 
 def test_infix_distance_matches_dynamic_program():
     rng = random.Random(9)
-    for m in (1, 5, 31, 32, 33, 62, 63):
+    for m in (1, 5, 31, 32, 33, 62, 63, 64, 65, 130):
         pattern = "".join(rng.choice("ACGT") for _ in range(m))
         texts = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 150))) for _ in range(40)] + [pattern, "", "A", "x" + pattern[1:] + "yy", "Q" * 100]
         d, e, n = infix_many(pattern, texts)
@@ -122,4 +122,6 @@ def test_infix_distance_matches_dynamic_program():
             assert (d[i], e[i], n[i]) == infix_one(pattern, t), (pattern, t)
     assert infix_one("ACGT", "TTTT") == (3, 0, 4)
     with pytest.raises(ValueError):
-        infix_many("A" * 64, ["A"])
+        infix_many("", ["A"])
+    with pytest.raises(ValueError):
+        infix_many("é", ["A"])

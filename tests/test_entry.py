@@ -19,9 +19,9 @@ def duck():
 
 
 def core_names():
-    from readloom.plans import core_queries, read_queries
+    from readloom.plans import core_queries, read_queries, store_queries
 
-    return sorted({**core_queries.queries(), **read_queries.queries()})
+    return sorted({**core_queries.queries(), **read_queries.queries(), **store_queries.queries()})
 
 
 @pytest.mark.parametrize("name", core_names())
