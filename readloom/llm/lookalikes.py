@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.pairs import paired_within, spread_join
 from readloom.plans.scratch import written
 
 # Letters of the same shape, in the order of the Latin letters they look like.
@@ -216,8 +217,7 @@ def same_looking(df: DataFrame, key: str, text: str, scores: Mapping[str, float]
     mixed = hashes.groupBy("form").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("form")
     members = hashes.join(mixed, "form", "left_semi")
     texts = members.select("form", "raw").distinct()
-    a, b = (texts.select("form", F.col("raw").alias(f"raw_{x}")) for x in "ab")
-    different = a.join(b, "form").where("raw_a < raw_b")
+    different = paired_within(texts, ["form"], "raw")
     x, y = (members.select("form", F.col("raw").alias(f"raw_{c}"), F.col("key").alias(c)) for c in "ab")
-    pairs = different.join(x, ["form", "raw_a"]).join(y, ["form", "raw_b"]).where("a <> b")
+    pairs = spread_join(spread_join(different, x, ["form", "raw_a"], "a"), y, ["form", "raw_b"], "b").where("a <> b")
     return pairs.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
