@@ -19,7 +19,7 @@ from readloom.functions.dna import revcomp
 from readloom.operators.align import infix_hits
 from readloom.operators.concat import segments_both
 from readloom.operators.scan import oriented_by
-from readloom.operators.whitelist import aliases, corrected
+from readloom.operators.whitelist import aliases, corrected, corrected_by_generation, relocated
 from readloom.plans.shape import bound
 from readloom.sources.layouts import Element, read_pattern
 
@@ -41,6 +41,7 @@ def _filled(text: str, at: int, end: int | None, parts: Sequence[Element], into:
     sizes = max(itertools.product(*choices), key=lambda x: (-abs(at + sum(x) - end) if end is not None else 0, sum(x)))
     for e, n in zip(parts, sizes):
         into[e.id] = text[at : at + n]
+        into["", e.id] = at
         if len(into[e.id]) < n:
             return None
         at += n
@@ -95,16 +96,16 @@ def _placed(text: str, layout: Sequence[Element], hits: dict[int, list[tuple[int
     return cost, out
 
 
-def parsed_fuzzy(reads: DataFrame, layout: Sequence[Element], max_error: float, key: str = "read_key", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
+def parsed_fuzzy(reads: DataFrame, layout: Sequence[Element], max_error: float, key: str = "read_key", seq: str = "seq", keep: Sequence[str] = (), oriented: bool = False) -> DataFrame:
     """As ``parsed`` with static parts found within ``floor(max_error * length)`` edits; the strand with fewer edits wins, forward on a tie.
 
-    Variable parts lie between the static parts that were found, with any of their lengths.  ``_read_at`` is the 0-based
-    place of the read part in forward orientation; ``_kept`` carries other columns.
+    Variable parts lie between the static parts that were found, with any of their lengths.  ``_read_at`` and ``_barcode_at`` are the 0-based
+    places of the read part and the first barcode in forward orientation; ``_kept`` carries other columns, ``_oriented`` the read.
     """
     layout = list(layout)
     names = [e.id for e in layout if not e.seq and e.cls not in ("poly_t", "poly_a")]
     static = [(i, e.seq) for i, e in enumerate(layout) if e.seq]
-    read = next((e.id for e in layout if e.cls == "read"), None)
+    read, barcode = (next((e.id for e in layout if e.cls == c), None) for c in ("read", "barcode"))
     if not static:
         raise ValueError("a layout without static parts cannot be found")
     if missing := [e.id for e in layout if not e.seq and e.cls not in ("poly_t", "poly_a", "read") and not e.lengths]:
@@ -119,14 +120,16 @@ def parsed_fuzzy(reads: DataFrame, layout: Sequence[Element], max_error: float,
         rows = []
         for a, b in zip(*sides):
             side, best = ("F", a) if a is not None and (b is None or a[0] <= b[0]) else ("R", b)
-            rows.append(None if best is None else {"strand": side, "at": best[1].get(("", read)), **{f"p{k}": best[1].get(n, "") for k, n in enumerate(names)}})
-        return pa.array(rows, pa.struct([("strand", pa.string()), ("at", pa.int32()), *((f"p{k}", pa.string()) for k in range(len(names)))]))
+            rows.append(None if best is None else {"strand": side, "at": best[1].get(("", read)), "bc": best[1].get(("", barcode)), **{f"p{k}": best[1].get(n, "") for k, n in enumerate(names)}})
+        return pa.array(rows, pa.struct([("strand", pa.string()), ("at", pa.int32()), ("bc", pa.int32()), *((f"p{k}", pa.string()) for k in range(len(names)))]))
 
     run.__annotations__ = {"f": pa.Array, "r": pa.Array, "return": pa.Array}
-    parts = F.arrow_udf(run, f"struct<{', '.join(['strand: string', 'at: int', *(f'p{k}: string' for k in range(len(names)))])}>")
+    parts = F.arrow_udf(run, f"struct<{', '.join(['strand: string', 'at: int', 'bc: int', *(f'p{k}: string' for k in range(len(names)))])}>")
     both = bound(reads.select(F.col(key).alias("read_key"), F.col(seq).alias("_s"), *_carried(keep)), _f=F.upper("_s"))
     hit = bound(both, _p=parts(F.col("_f"), revcomp(F.col("_f")))).where("_p is not null")
-    return hit.select("read_key", F.col("_p.strand").alias("strand"), F.col("_p.at").alias("_read_at"), *(["_kept"] if keep else []), *(F.col(f"_p.p{k}").alias(n) for k, n in enumerate(names)))
+    if oriented:
+        hit = hit.withColumn("_oriented", F.when(F.col("_p.strand") == "F", F.col("_f")).otherwise(revcomp(F.col("_f"))))
+    return hit.select("read_key", F.col("_p.strand").alias("strand"), F.col("_p.at").alias("_read_at"), F.col("_p.bc").alias("_barcode_at"), *(["_oriented"] if oriented else []), *(["_kept"] if keep else []), *(F.col(f"_p.p{k}").alias(n) for k, n in enumerate(names)))
 
 
 def without_gaps(text: Column) -> Column:
@@ -142,7 +145,7 @@ def cut_together(seq: Column, qual: Column) -> tuple[Column, Column]:
     return without_gaps(seq), F.when(together, F.array_join(F.transform(kept, lambda x: x["q"]), "")).otherwise(qual)
 
 
-def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True, max_error: float | None = None, keep: Sequence[str] = (), qual: str | None = None) -> DataFrame:
+def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True, max_error: float | None = None, keep: Sequence[str] = (), qual: str | None = None, pad: int = 0, generate: bool = False) -> DataFrame:
     """``read_key, strand``, and for each barcode element ``<id>_raw, <id>, <id>_kind``, then ``umi`` and ``cdna``.
 
     Rows whose barcodes are all exact or uniquely corrected are ``passing``; cDNA has its N blocks cut out and
@@ -150,16 +153,29 @@ def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, Dat
     given in forward orientation, unless ``rc_umi`` is false.  With ``max_error`` static parts may have errors.  Columns
     named in ``keep`` go along; with ``qual`` the quality of the cDNA is cut in step as ``cdna_qual``, null where the
     quality is missing or of another length than the read.
+
+    With ``pad`` a barcode that is neither known nor uniquely corrected is looked for, letter for letter, in a window of
+    ``pad`` bases around its place; where it is found (kind ``located``) the UMI and the read behind it move along.  With ``generate``
+    the observed barcodes are varied and looked up, instead of varying the whitelist, which may then be of any size.
     """
+    if pad and (qual is not None or sum(e.cls == "barcode" for e in layout) != 1):
+        raise ValueError("a window needs a layout with one barcode, and records without quality")
+    if pad and max_error is None:
+        max_error = 0.0
     keep = list(dict.fromkeys([*keep, *([qual] if qual else [])]))
     if qual is not None and max_error is None:
         max_error = 0.0  # places come from alignment
-    rows = parsed(reads, layout, key, seq, keep) if max_error is None else parsed_fuzzy(reads, layout, max_error, key, seq, [*keep, seq] if qual else keep)
+    rows = parsed(reads, layout, key, seq, keep) if max_error is None else parsed_fuzzy(reads, layout, max_error, key, seq, [*keep, seq] if qual else keep, oriented=pad > 0)
     barcodes = [e for e in layout if e.cls == "barcode"]
     for e in barcodes:
         rows = rows.withColumnRenamed(e.id, f"{e.id}_raw")
-        alias = aliases(whitelists[e.whitelist], mutation, e.lengths or None)
-        rows = corrected(rows, f"{e.id}_raw", alias).withColumnsRenamed({"true_bc": e.id, "kind": f"{e.id}_kind"})
+        if generate:
+            rows = corrected_by_generation(rows, f"{e.id}_raw", whitelists[e.whitelist], mutation)
+        else:
+            rows = corrected(rows, f"{e.id}_raw", aliases(whitelists[e.whitelist], mutation, e.lengths or None))
+        rows = rows.withColumnsRenamed({"true_bc": e.id, "kind": f"{e.id}_kind"})
+    if pad:
+        rows = _moved(rows, layout, barcodes[0], whitelists[barcodes[0].whitelist], pad)
     umi = next((e.id for e in layout if e.cls == "umi"), None)
     read = next((e.id for e in layout if e.cls == "read"), None)
     back = lambda c: F.when(F.col("strand") == "R", revcomp(c)).otherwise(c)
@@ -181,6 +197,30 @@ def demux(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, Dat
     return out.withColumn("passing", passing & (F.length("cdna") >= min_read_length))
 
 
+def _moved(rows: DataFrame, layout: Sequence[Element], barcode: Element, whitelist: DataFrame, pad: int) -> DataFrame:
+    """``rows`` with barcodes found beside their place; parts chained to the barcode begin behind it."""
+    kind, size = f"{barcode.id}_kind", barcode.length
+    open_ = rows.where(F.col(kind).isin("none", "ambiguous")).select("read_key", "_oriented", (F.col("_barcode_at") + 1).alias("_start"))
+    found = relocated(open_, "read_key", "_oriented", "_start", size, whitelist, pad).select(F.col("key").alias("_k"), F.col("barcode").alias("_b"), F.col("end_at").alias("_e"))
+    joined = rows.join(found, F.col("read_key") == F.col("_k"), "left")
+    here = F.col("_b").isNotNull()
+    new: dict[str, Column] = {barcode.id: F.coalesce("_b", barcode.id), f"{barcode.id}_raw": F.coalesce("_b", f"{barcode.id}_raw"), kind: F.when(here, "located").otherwise(F.col(kind))}
+    at, poly = F.col("_e"), False  # 1-based place behind the barcode
+    for e in layout[[x.id for x in layout].index(barcode.id) + 1 :]:
+        if e.cls == "umi" and not poly:
+            new[e.id] = F.when(here, F.substring(F.col("_oriented"), at, F.lit(e.length))).otherwise(F.col(e.id))
+            at = at + e.length
+        elif e.cls == "poly_t":
+            poly = True
+        elif e.cls == "read":
+            part = F.substring(F.col("_oriented"), at, F.greatest(F.col("_read_at") + F.length(e.id) + 1 - at, F.lit(0)))
+            new[e.id] = F.when(here, F.ltrim(part, F.lit("T")) if poly else part).otherwise(F.col(e.id))
+            break
+        else:
+            break
+    return joined.withColumns(new).drop("_k", "_b", "_e")
+
+
 def demux_units(reads: DataFrame, layout: Sequence[Element], whitelists: dict[str, DataFrame], joins: Sequence[str], mutation: int = 0, min_read_length: int = 0, key: str = "read_key", seq: str = "seq", rc_umi: bool = True, max_error: float | None = None) -> DataFrame:
     """As ``demux`` for every unit of reads that are cut at the joins on both strands; adds ``unit`` and ``units``, the number on the read."""
     cut = segments_both(reads, key, seq, joins).select(F.struct("key", "segment", "units").alias("_u"), "part")

@@ -69,3 +69,26 @@ def stats(reads: DataFrame, comment: str) -> DataFrame:
     rows = reads.select(cb.alias("cb"))
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     return rows.agg(F.count(F.lit(1)).alias("records_read"), n(F.col("cb").isNotNull()).alias("written"), n(F.col("cb").isNull()).alias("skipped_missing_cb"), F.countDistinct("cb").alias("split_barcodes"))
+
+
+def full_stats(reads: DataFrame, comment: str, seq: str = "seq", header: bool = False, to_fasta: bool = False, split: bool = False, placed: Column | None = None) -> DataFrame:
+    """All counters of a reformat: read, written, without a barcode, given a new header, converted, mapped, not mapped, empty, and barcodes.
+
+    Without ``split`` every record is written; ``placed`` tells which records have coordinates.
+    """
+    cb = F.when(tag(F.col(comment), "CB") != "", tag(F.col(comment), "CB"))
+    rows = reads.select(cb.alias("cb"), (F.length(seq) == 0).alias("empty"), (placed if placed is not None else F.lit(None).cast("boolean")).alias("placed"))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    written = F.col("cb").isNotNull() if split else F.lit(True)
+    none = F.lit(0).cast("long")
+    return rows.agg(
+        F.count(F.lit(1)).alias("records_read"),
+        n(written).alias("written"),
+        (n(~written) if split else none).alias("skipped_missing_cb"),
+        (n(written) if header else none).alias("reformatted"),
+        (n(written) if to_fasta else none).alias("converted"),
+        n(F.col("placed")).alias("coordinates_mapped"),
+        n(~F.col("placed")).alias("coordinates_unmapped"),
+        n(F.col("empty")).alias("empty_records"),
+        (F.countDistinct("cb") if split else none).alias("split_barcodes"),
+    )

@@ -70,6 +70,16 @@ def generated(observed: DataFrame, barcode: str, whitelist: DataFrame, mutation:
     return tries.join(whitelist.select(F.col("barcode").alias("true_bc")).distinct(), "true_bc", "left_semi").select(barcode, "true_bc").distinct()
 
 
+def corrected_by_generation(observed: DataFrame, barcode: str, whitelist: DataFrame, mutation: int) -> DataFrame:
+    """As ``corrected``, by ``generated``: for whitelists too large to be varied."""
+    found = generated(observed, barcode, whitelist, mutation)
+    one = found.groupBy(F.col(barcode).alias("_bc")).agg(F.max(F.when(F.col(barcode) == F.col("true_bc"), F.col("true_bc"))).alias("_own"), F.count(F.lit(1)).alias("_n"), F.min("true_bc").alias("_any"))
+    joined = observed.join(one, F.col(barcode) == F.col("_bc"), "left")
+    true = F.when(F.col("_own").isNotNull(), F.col("_own")).when(F.col("_n") == 1, F.col("_any"))
+    kind = F.when(F.col("_own").isNotNull(), "exact").when(F.col("_n") == 1, "corrected").when(F.col("_n") > 1, "ambiguous").otherwise("none")
+    return joined.withColumns({"true_bc": true, "kind": kind}).drop("_bc", "_own", "_n", "_any")
+
+
 def relocated(reads: DataFrame, key: str, text: str, start: str, length: int, whitelist: DataFrame, pad: int = 4) -> DataFrame:
     """``key, barcode, shift, end_at``: an exact barcode in the window of ``pad`` bases around its expected place.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fcntl
 import hashlib
+import json
 import os
 import shutil
 import tempfile
@@ -92,3 +93,24 @@ def resource(key: str, manifest: Mapping[str, Mapping], cache: str) -> str | Non
     if not path.startswith(os.path.realpath(cache) + os.sep):
         raise ValueError("a resource lies outside the cache")
     return path if intact(path, int(entry["bytes"]), entry["sha256"]) else None
+
+
+def cached_pair(folder: str, key: str, make: Callable[[], tuple[object, object]]) -> tuple[object, object]:
+    """A layout and its positions as JSON, kept as a pair: taken from the folder only if both are there and belong together.
+
+    The pair is written at once under a lock, so a reader never sees one half of it; a damaged or half pair is made anew.
+    """
+    name = hashlib.sha256(key.encode()).hexdigest()[:16]
+    paths = [os.path.join(folder, f"{name}.{part}.json") for part in ("layout", "positions")]
+    try:
+        both = [json.loads(Path(p).read_text(encoding="utf-8")) for p in paths]
+        if both[0]["key"] == both[1]["key"] == key and both[0]["pair"] == both[1]["pair"]:
+            return both[0]["value"], both[1]["value"]
+    except (OSError, ValueError, KeyError, TypeError):
+        pass
+    made = make()
+    pair = hashlib.sha256(json.dumps([key, *made], sort_keys=True).encode()).hexdigest()
+    os.makedirs(folder, exist_ok=True)
+    texts = [json.dumps({"key": key, "pair": pair, "value": v}) for v in made]
+    publish({p: (lambda to, t=t: Path(to).write_text(t, encoding="utf-8")) for p, t in zip(paths, texts)})
+    return made

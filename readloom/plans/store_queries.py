@@ -287,17 +287,28 @@ def spatial_reformat(spark, sf):
 # Demultiplexing -----------------------------------------------------------------------------
 
 
-@query(rq._LONG.split("\nh AS")[0].replace("WITH a AS", "WITH a0 AS").replace(" AS p), w AS", " AS p), w AS").rstrip(",") + f""",
+def _parts(source: str) -> str:
+    """Common tables for a ``source (id, seq)`` of longchain units: ``e`` with the parts behind the first exact copy of the primer, ``w`` the barcodes."""
+    return f"""
+w AS {rq._WL.format('cell16')},
+o AS (SELECT id, upper(seq) AS f, {rq._RC.format('upper(seq)')} AS r FROM ({source})),
 a AS (SELECT {rq.sql_part('longchain', 'forw_primer')} AS p, [{rq.sql_part('longchain', 'join_a')}, {rq.sql_part('longchain', 'join_b')}, {rq.sql_part('longchain', 'rev_primer')}] AS stops),
-x AS (SELECT o.read_key, f, r, p, stops, strpos(f, p) > 0 AND length(f) >= strpos(f, p) + length(p) + 27 AS fwd, strpos(r, p) > 0 AND length(r) >= strpos(r, p) + length(p) + 27 AS rev FROM o, a),
-y AS (SELECT read_key, stops, CASE WHEN fwd THEN 'F' ELSE 'R' END AS strand, CASE WHEN fwd THEN f ELSE r END AS s, p FROM x WHERE fwd OR rev),
+x AS (SELECT o.id, f, r, p, stops, strpos(f, p) > 0 AND length(f) >= strpos(f, p) + length(p) + 27 AS fwd, strpos(r, p) > 0 AND length(r) >= strpos(r, p) + length(p) + 27 AS rev FROM o, a),
+y AS (SELECT id, stops, CASE WHEN fwd THEN 'F' ELSE 'R' END AS strand, CASE WHEN fwd THEN f ELSE r END AS s, p FROM x WHERE fwd OR rev),
 z AS (SELECT *, strpos(s, p) + length(p) AS b FROM y),
 t AS (SELECT *, substr(s, b, 16) AS barcode_raw, substr(s, b + 16, 12) AS umi, ltrim(substr(s, b + 28), 'T') AS tail FROM z),
-e AS (SELECT *, coalesce(list_min(list_filter(list_transform(stops, lambda q: strpos(tail, q)), lambda i: i > 0)) - 1, length(tail)) AS n FROM t),
-c AS (SELECT e.*, r.seq_id, r.seq AS whole, r.qual, length(s) - length(tail) AS at0 FROM e JOIN rad_reads r ON r.read_key = e.read_key JOIN w ON w.barcode = e.barcode_raw),
+e AS (SELECT *, coalesce(list_min(list_filter(list_transform(stops, lambda q: strpos(tail, q)), lambda i: i > 0)) - 1, length(tail)) AS n FROM t)"""
+
+
+_LONGCHAIN = "SELECT read_key AS id, seq FROM rad_reads WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')"
+
+
+@query(f"""
+WITH {_parts(_LONGCHAIN)},
+c AS (SELECT e.*, r.seq_id, r.seq AS whole, r.qual, length(s) - length(tail) AS at0 FROM e JOIN rad_reads r ON r.read_key = e.id JOIN w ON w.barcode = e.barcode_raw),
 g AS (SELECT *, CASE strand WHEN 'F' THEN substr(upper(whole), at0 + 1, n) ELSE {rq._RC.format('substr(s, at0 + 1, n)')} END AS part, substr(qual, CASE strand WHEN 'F' THEN at0 ELSE length(s) - at0 - n END + 1, n) AS q FROM c WHERE length(qual) = length(whole)),
 k AS (SELECT *, list_filter(range(1, length(part) + 1), lambda i: part[i] <> 'N') AS idx FROM g)
-SELECT read_key, coalesce(seq_id, '') || '-' || strand AS seq_id, 'TS:A:' || CASE strand WHEN 'F' THEN '+' ELSE '-' END || ' CB:Z:' || barcode_raw || ' CR:Z:' || barcode_raw || ' UB:Z:' || umi AS seq_comment,
+SELECT id AS read_key, coalesce(seq_id, '') || '-' || strand AS seq_id, 'TS:A:' || CASE strand WHEN 'F' THEN '+' ELSE '-' END || ' CB:Z:' || barcode_raw || ' CR:Z:' || barcode_raw || ' UB:Z:' || umi AS seq_comment,
   array_to_string(list_transform(idx, lambda i: part[i]), '') AS seq, array_to_string(list_transform(idx, lambda i: q[i]), '') AS qual FROM k WHERE len(idx) >= 30""")
 def demux_records(spark, sf):
     """Records with the quality of their cDNA, found by alignment without errors."""
@@ -323,6 +334,55 @@ def demux_auto_whitelist(spark, sf):
     return auto_whitelist(rq.in_layout(spark, sf, "longchain").select("read_key", "seq"), rq.layout_of(spark, sf, "longchain"), max_error=0.0)
 
 
+@query(f"""
+WITH {_parts(_LONGCHAIN)},
+k AS (SELECT e.*, w.barcode AS own FROM e LEFT JOIN w ON w.barcode = e.barcode_raw),
+m AS (SELECT id, arg_min(k, abs(k) * 20 - k) AS k FROM (SELECT id, s, b, CAST(unnest(range(-4, 5)) AS BIGINT) AS k FROM k WHERE own IS NULL) WHERE b + k >= 1 AND substr(s, b + k, 16) IN (SELECT barcode FROM w) GROUP BY id),
+l AS (SELECT k.*, m.k AS shift, length(s) - length(tail) + n AS stop FROM k LEFT JOIN m ON m.id = k.id),
+v AS (SELECT id, strand, CASE WHEN shift IS NULL THEN barcode_raw ELSE substr(s, b + shift, 16) END AS barcode_raw, CASE WHEN shift IS NULL THEN own ELSE substr(s, b + shift, 16) END AS barcode,
+  CASE WHEN shift IS NOT NULL THEN 'located' WHEN own IS NULL THEN 'none' ELSE 'exact' END AS barcode_kind, CASE WHEN shift IS NULL THEN umi ELSE substr(s, b + shift + 16, 12) END AS umi,
+  regexp_replace(CASE WHEN shift IS NULL THEN substr(tail, 1, n) ELSE ltrim(substr(s, b + shift + 28, greatest(stop + 1 - (b + shift + 28), 0)), 'T') END, 'N+', '', 'g') AS c FROM l)
+SELECT id AS read_key, strand, barcode_raw, barcode, barcode_kind, umi, CASE strand WHEN 'F' THEN c ELSE {rq._RC.format('c')} END AS cdna, barcode IS NOT NULL AND length(c) >= 30 AS passing FROM v""")
+def demux_relocated(spark, sf):
+    """Barcodes that are not known at their place are looked for in a window of four bases around it; what is chained to them moves along."""
+    elements = rq.layout_of(spark, sf, "longchain")
+    lists = {e.whitelist: rq.barcodes_of(spark, sf, e.whitelist) for e in elements if e.cls == "barcode"}
+    return dm.demux(rq.in_layout(spark, sf, "longchain").select("read_key", "seq"), elements, lists, 0, 30, pad=4)
+
+
+@query(rq._FIXED + "SELECT *, barcode IS NOT NULL AND length(cdna) >= 30 AS passing FROM c")
+def demux_generated(spark, sf):
+    """Observed barcodes are varied and looked up, as for large whitelists."""
+    elements = rq.layout_of(spark, sf, "longchain")
+    lists = {e.whitelist: rq.barcodes_of(spark, sf, e.whitelist) for e in elements if e.cls == "barcode"}
+    return dm.demux(rq.in_layout(spark, sf, "longchain").select("read_key", "seq"), elements, lists, 1, 30, generate=True)
+
+
+@query(f"""
+WITH j AS (SELECT upper(seq) AS f, {rq._RC.format('upper(seq)')} AS r FROM read_layout WHERE layout = 'longchain' AND class = 'linker'),
+jp AS (SELECT string_agg(s, '|' ORDER BY length(s) DESC, s) AS p FROM (SELECT f AS s FROM j UNION SELECT r FROM j)),
+cut AS (SELECT read_key, list_filter(regexp_split_to_array(upper(seq), p), lambda x: x <> '') AS xs FROM rad_reads, jp WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')),
+units AS (SELECT read_key || '/' || generate_subscripts(xs, 1) AS id, len(xs) AS units, unnest(xs) AS seq FROM cut),
+{_parts('SELECT id, seq FROM units')},
+c AS (SELECT e.*, u.units, length(regexp_replace(substr(tail, 1, n), 'N+', '', 'g')) >= 30 AS kept FROM e JOIN units u ON u.id = e.id JOIN w ON w.barcode = e.barcode_raw)
+SELECT 1 AS class_id, barcode_raw AS true_bc, count(*) AS raw_count, count(*) AS total_count, CAST(0 AS BIGINT) AS corrected_count, count(*) FILTER (strand = 'F') AS forw_count, count(*) FILTER (strand = 'R') AS rev_count,
+  count(*) FILTER (strand = 'F' AND units > 1) AS forw_concat_count, count(*) FILTER (strand = 'R' AND units > 1) AS rev_concat_count, count(*) FILTER (NOT kept) AS filtered_count FROM c GROUP BY barcode_raw""")
+def demux_unit_counters_exact(spark, sf):
+    """Counters of every unit of concatenated reads, with exact copies of primers and barcodes."""
+    elements = rq.layout_of(spark, sf, "longchain")
+    joins = [e.seq for e in elements if e.cls == "linker"]
+    lists = {e.whitelist: rq.barcodes_of(spark, sf, e.whitelist) for e in elements if e.cls == "barcode"}
+    d = dm.demux_units(rq.in_layout(spark, sf, "longchain").select("read_key", "seq"), elements, lists, joins, 0, 30, max_error=0.0).where("barcode is not null")
+    return whitelist.counters(d.select(F.lit(1).alias("class_id"), F.col("barcode").alias("true_bc"), F.col("barcode_kind").alias("kind"), "strand", "units", F.col("passing").alias("kept")))
+
+
+@query(f"SELECT count(*) AS records_read, count(cb) AS written, count(*) - count(cb) AS skipped_missing_cb, count(cb) AS reformatted, CAST(0 AS BIGINT) AS converted, count(*) FILTER (cb IN (SELECT barcode FROM slide_map)) AS coordinates_mapped, count(*) - count(*) FILTER (cb IN (SELECT barcode FROM slide_map)) AS coordinates_unmapped, count(*) FILTER (seq = '') AS empty_records, count(DISTINCT cb) AS split_barcodes FROM {rq._TAGS}")
+def reformat_all_stats(spark, sf):
+    known = table(spark, sf, "slide_map").select(F.col("barcode").alias("_b")).distinct().withColumn("_known", F.lit(True))
+    r = rq.reads_of(spark, sf).withColumn("_cb", dna.tag(F.col("seq_comment"), "CB")).join(known, F.col("_cb") == F.col("_b"), "left")
+    return reformat.full_stats(r, "seq_comment", header=True, split=True, placed=F.coalesce("_known", F.lit(False)))
+
+
 # Alignment with errors, against a dynamic program over all reads in SQL --------------------------
 
 

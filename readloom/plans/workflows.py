@@ -61,12 +61,17 @@ def scan_whitelist(
     spatial: bool = False,
     platform: str | None = None,
     slide: DataFrame | None = None,
+    spatial_selection: str = "abundance",
 ) -> Result:
     """Barcodes of reads (one barcode, a mask, or a pair) or of a count table, with the called ones marked.
 
     Modes: ``counts`` rescans a table; ``bc1`` and ``bc2`` make a split scan; a ``slide`` map keeps its barcodes and
-    adds their places, for the platform ``visium-hd`` with occupied regions.
+    adds their places, for the platform ``visium-hd`` with occupied regions.  With a slide ``abundance`` calls barcodes by
+    the profile for low counts before they are looked up; ``legacy`` calls as usual for ``visium`` and keeps every barcode of the
+    map for ``visium-hd``, where the regions decide.
     """
+    if spatial_selection not in ("abundance", "legacy"):
+        raise ValueError("spatial_selection is abundance or legacy")
     one_of(reads=None if reads is None else "reads", counts=None if counts is None else "counts")
     if reads is None and counts is None:
         raise ValueError("reads or counts are required")
@@ -106,8 +111,10 @@ def scan_whitelist(
         counted = sc.counts(hits, "barcode")
         if whitelist is not None:
             counted = counted.join(whitelist.toDF("barcode").distinct(), "barcode", "left_semi")
-    low = spatial or (slide is not None and platform != "visium")
+    low = spatial or (slide is not None and (spatial_selection == "abundance" or platform != "visium"))
     called = sc.called(counted, selection, low)
+    if slide is not None and spatial_selection == "legacy" and platform == "visium-hd":
+        called = called.withColumn("selected", F.lit(True))
     if slide is not None:
         called = called.join(slide, "barcode")
         tables["coordinates"] = called.where("selected")
@@ -157,12 +164,16 @@ def demultiplex(
     joins: Sequence[str] = (),
     correction_policy: str = "offensive",
     joint_policy: str = "default",
+    pad: int = 0,
+    generate: bool = False,
+    debug: bool = False,
 ) -> Result:
     """Records with corrected barcodes and headers, counters by barcode, roles and run statistics.
 
     With ``max_error`` static parts may have so many errors a letter; without it they are matched exactly.
     With ``joins`` reads are cut there and every unit gives a record; counters tell units of reads that have several.
-    ``correction_policy`` is ``offensive`` or ``defensive``, ``joint_policy`` ``default`` or ``strict``.  Where reads have
+    ``pad`` looks for barcodes beside their place, ``generate`` suits whitelists too large to be varied, and ``debug`` adds a
+    table with what was found out on each read.  ``correction_policy`` is ``offensive`` or ``defensive``, ``joint_policy`` ``default`` or ``strict``.  Where reads have
     qualities and no ``joins``, ``fastq`` has the records with their qualities, for the FASTQ writers.
     """
     one_of(auto=auto, custom_whitelist=None if custom_whitelist is None else True)
@@ -179,7 +190,7 @@ def demultiplex(
     else:
         keep = [c for c in ("seq_id",) if c in reads.columns]
         qual = "qual" if "qual" in reads.columns and any(e.cls == "read" for e in layout) else None
-        records = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error, keep=keep)
+        records = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error, keep=keep, pad=pad, generate=generate)
     barcodes = [e.id for e in layout if e.cls == "barcode"]
     if joint_mask is not None:
         if len(barcodes) != 2:
@@ -190,8 +201,8 @@ def demultiplex(
     records = dm.with_policy(records, barcodes, correction_policy)
     if joint_policy == "strict":
         records = dm.strict(records, barcodes)
-    if not joins and qual and barcodes:
-        cut = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error, keep=keep, qual=qual)
+    if not joins and not pad and qual and barcodes:
+        cut = dm.demux(reads, layout, lists, whitelist_mutation, min_read_length, max_error=max_error, keep=keep, qual=qual, generate=generate)
         cut = dm.allowed(cut, *barcodes, joint_mask) if joint_mask is not None else cut
         cut = dm.with_policy(cut, barcodes, correction_policy)
         fastq_of = dm.fastq_records(dm.strict(cut, barcodes) if joint_policy == "strict" else cut, barcodes)
@@ -206,6 +217,9 @@ def demultiplex(
         tables["headers"] = named.select("read_key", dm.header(F.col("seq_id"), F.col("strand"), cb, raw, F.col("umi")).alias("header"), "cdna")
         flat = records.where(F.col(barcodes[0]).isNotNull()).select(F.lit(1).alias("class_id"), F.col(barcodes[0]).alias("true_bc"), F.col(f"{barcodes[0]}_kind").alias("kind"), "strand", (F.col("units") if joins else F.lit(1)).alias("units"), F.col("passing").alias("kept"))
         tables["counters"] = wl.trusted(wl.counters(flat))
+    if debug and barcodes:
+        first = barcodes[0]
+        tables["debug"] = records.select("read_key", "strand", *(F.col(c).alias(n) for c, n in ((f"{first}_raw", "observed"), (first, "barcode"), (f"{first}_kind", "kind"))), "umi", F.length("cdna").alias("cdna_length"), "passing")
     if fastq_of is not None:
         tables["fastq"] = fastq_of
     return Result(tables, {"correction_policy": correction_policy, "joint_policy": joint_policy, "whitelist_mutation": whitelist_mutation, "min_read_length": min_read_length, "auto": auto})
