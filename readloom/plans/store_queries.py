@@ -386,22 +386,24 @@ def reformat_all_stats(spark, sf):
 # Alignment with errors, against a dynamic program over all reads in SQL --------------------------
 
 
-def _aligned(pairs: str) -> str:
-    """Common table ``aligned (id, distance, spot, ties)`` of ``pairs (id, p, t)``: each pattern of up to 62 letters against its text, one letter of the text a step."""
+def _aligned(pairs: str, name: str = "", anchored: bool = False) -> str:
+    """Common table ``aligned (id, distance, spot, ties)`` of ``pairs (id, p, t)``: each pattern of up to 62 letters against its text, one letter of the text a step.
+
+    The shorter text is the pattern; ``steps`` holds the distance up to each letter.  ``anchored`` alignments begin with the text.
+    """
     bits = lambda c: f"CAST(coalesce(list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN p[i] = '{c}' THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)), 0) AS BIGINT)"
+    swap = "SELECT id, p, t" if anchored else "SELECT id, CASE WHEN length(p) <= length(t) THEN p ELSE t END AS p, CASE WHEN length(p) <= length(t) THEN t ELSE p END AS t"
     return f"""
-ordered AS (SELECT id, CASE WHEN length(p) <= length(t) THEN p ELSE t END AS p, CASE WHEN length(p) <= length(t) THEN t ELSE p END AS t FROM ({pairs})),
-sized AS (SELECT *, length(p) AS m, length(t) AS n FROM ordered),
-masks AS (SELECT id, t, m, n, (CAST(1 AS BIGINT) << m) - 1 AS ones, {bits('A')} AS ma, {bits('C')} AS mc, {bits('G')} AS mg, {bits('T')} AS mt FROM sized),
-steps AS (
-  SELECT id, CAST(0 AS BIGINT) AS j, ones AS vp, CAST(0 AS BIGINT) AS vn, m AS score, m AS best, CAST(-1 AS BIGINT) AS spot, CAST(0 AS BIGINT) AS ties FROM masks
+masks{name} AS (SELECT id, t, m, n, (CAST(1 AS BIGINT) << m) - 1 AS ones, {bits('A')} AS ma, {bits('C')} AS mc, {bits('G')} AS mg, {bits('T')} AS mt FROM (SELECT *, length(p) AS m, length(t) AS n FROM ({swap} FROM ({pairs})))),
+steps{name} AS (
+  SELECT id, CAST(0 AS BIGINT) AS j, ones AS vp, CAST(0 AS BIGINT) AS vn, m AS score, m AS best, CAST(-1 AS BIGINT) AS spot, CAST(0 AS BIGINT) AS ties FROM masks{name}
   UNION ALL
   SELECT id, j + 1, ((hn << 1) & ones) | (xor(ones, (d0 | x) & ones)), d0 & x, s, least(best, s), CASE WHEN s < best THEN j ELSE spot END, CASE WHEN s < best THEN 1 WHEN s = best AND best < m THEN ties + 1 ELSE ties END
-  FROM (SELECT *, (hp << 1) & ones AS x, score + ((hp >> (m - 1)) & 1) - ((hn >> (m - 1)) & 1) AS s
+  FROM (SELECT *, ((hp << 1) | {int(anchored)}) & ones AS x, score + ((hp >> (m - 1)) & 1) - ((hn >> (m - 1)) & 1) AS s
     FROM (SELECT *, (vn | xor(ones, (d0 | vp) & ones)) & ones AS hp, d0 & vp AS hn
       FROM (SELECT *, (xor((eq & vp) + vp, vp) | eq | vn) & ones AS d0
-        FROM (SELECT k.*, m, ones, CASE t[k.j + 1] WHEN 'A' THEN ma WHEN 'C' THEN mc WHEN 'G' THEN mg WHEN 'T' THEN mt ELSE 0 END AS eq FROM steps k JOIN masks g ON g.id = k.id WHERE k.j < g.n AND g.m > 0))))),
-aligned AS (SELECT s.id, s.best AS distance, s.spot, s.ties FROM steps s JOIN masks g ON g.id = s.id WHERE s.j = CASE WHEN g.m > 0 THEN g.n ELSE 0 END)"""
+        FROM (SELECT k.*, m, ones, CASE t[k.j + 1] WHEN 'A' THEN ma WHEN 'C' THEN mc WHEN 'G' THEN mg WHEN 'T' THEN mt ELSE 0 END AS eq FROM steps{name} k JOIN masks{name} g ON g.id = k.id WHERE k.j < g.n AND g.m > 0))))),
+aligned{name} AS (SELECT s.id, s.best AS distance, s.spot, s.ties FROM steps{name} s JOIN masks{name} g ON g.id = s.id WHERE s.j = CASE WHEN g.m > 0 THEN g.n ELSE 0 END)"""
 
 
 _PRIMER = rq.sql_part("longchain", "forw_primer")
@@ -438,6 +440,29 @@ y AS (SELECT read_key, list_filter(list_transform(range(1, len(parts) + 1), lamb
 SELECT read_key, CAST(generate_subscripts(ps, 1) AS BIGINT) AS segment, CAST(len(ps) AS BIGINT) AS units, unnest(ps).part AS part, unnest(ps).l AS left_strand, unnest(ps).r AS right_strand FROM y"""
 
 
+# Primers and joins within 15 % of their letters: the primer's first best end on the better strand, then the first place of a
+# join or the closing primer behind the tail of T, whose start is found by an anchored alignment of the reversed letters.
+_SQL["demux_fuzzy"] = f"""
+WITH RECURSIVE w AS {rq._WL.format('cell16')},
+o AS (SELECT read_key, upper(seq) AS f, {rq._RC.format('upper(seq)')} AS r FROM rad_reads WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')),
+sides AS (SELECT read_key, 'F' AS side, f AS s FROM o UNION ALL SELECT read_key, 'R', r FROM o),
+{_aligned(f"SELECT (read_key, side) AS id, {_PRIMER} AS p, s AS t FROM sides WHERE length(s) >= length({_PRIMER}) - 3", "_p")},
+placed AS (SELECT b.read_key, b.side AS strand, b.s, l.distance, l.spot + 1 + 28 AS at0, l.spot + 1 AS b FROM sides b JOIN aligned_p l ON l.id = (b.read_key, b.side)
+  WHERE l.distance <= (SELECT CAST(floor(length({_PRIMER}) * 0.15) AS INT)) AND length(b.s) >= l.spot + 1 + 28),
+better AS (SELECT *, row_number() OVER (PARTITION BY read_key ORDER BY distance, strand) AS i FROM placed),
+taken AS (SELECT *, length(s) - length(ltrim(substr(s, at0 + 1), 'T')) AS at1 FROM better WHERE i = 1),
+stops AS (SELECT id AS part, upper(seq) AS p, CAST(floor(length(seq) * 0.15) AS INT) AS most FROM read_layout WHERE layout = 'longchain' AND id IN ('join_a', 'join_b', 'rev_primer')),
+{_aligned("SELECT (read_key, part) AS id, p, s AS t FROM taken, stops WHERE length(s) >= length(p)", "_s")},
+ends AS (SELECT k.id, k.j - 1 AS e, k.score AS d, k.j - row_number() OVER (PARTITION BY k.id ORDER BY k.j) AS run FROM steps_s k JOIN stops ON k.id[2] = part WHERE k.score <= most AND k.j > 0),
+hits AS (SELECT id, arg_min(e, d * 100000 + e) AS e, min(d) AS d FROM ends GROUP BY id, run),
+{_aligned("SELECT (h.id[1], h.id[2], h.e) AS id, reverse(p) AS p, reverse(substr(s, CAST(greatest(0, h.e + 1 - length(p) - h.d) + 1 AS BIGINT), CAST(h.e + 1 - greatest(0, h.e + 1 - length(p) - h.d) AS BIGINT))) AS t FROM hits h JOIN taken ON read_key = h.id[1] JOIN stops ON part = h.id[2]", "_a", True)},
+starts AS (SELECT k.id[1] AS read_key, k.id[3] + 1 - arg_min(k.j, k.score * 10000 + abs(k.j - g.m) * 100 + k.j) AS start FROM steps_a k JOIN masks_a g ON g.id = k.id GROUP BY k.id),
+closed AS (SELECT t.read_key, min(start) AS stop FROM taken t JOIN starts ON starts.read_key = t.read_key WHERE start >= at1 GROUP BY t.read_key),
+found AS (SELECT t.*, regexp_replace(substr(s, CAST(at1 + 1 AS BIGINT), CAST(coalesce(stop, length(s)) - at1 AS BIGINT)), '[Nn]+', '', 'g') AS part FROM taken t LEFT JOIN closed ON closed.read_key = t.read_key),
+d AS (SELECT read_key, strand, substr(s, b + 1, 16) AS barcode_raw, substr(s, b + 17, 12) AS umi, CASE strand WHEN 'R' THEN {rq._RC.format('part')} ELSE part END AS cdna FROM found)
+{rq._FIXED[len(rq._LONG):]}SELECT *, barcode IS NOT NULL AND length(cdna) >= 30 AS passing FROM c"""
+
+
 def queries() -> dict[str, rq.Query]:
     return dict(_QUERIES)
 
