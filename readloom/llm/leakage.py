@@ -9,9 +9,13 @@ whose shingle is a prefix is laid over the indexed places of the items.  Length
 and position bound the overlap, then the words on both sides are compared
 outwards; ``n`` equal words in a row are a leak.
 
-Scale: documents are read twice and never shuffled; only counts of the items'
-shingles are.  Items go to every task in blocks of a checked size, one pass
-over the corpus a block, so their number is not limited by memory.
+The pass that counts shingles also sees which documents hold ``n - 1`` shingles
+of items in a row, as any leak must; only those, a small share of a corpus, are
+written and joined.
+
+Scale: documents are read once for each block of items and never shuffled; only
+counts of the items' shingles are.  Items go to every task in blocks of a
+checked size, so their number is not limited by memory.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import compress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.lookalikes import Normaliser
+from readloom.plans.scratch import written
 
 _WORD = re.compile(r"\w+")
 
@@ -108,17 +114,31 @@ def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_
         known = spark.sparkContext.broadcast(({p for w in held.values() for p in zip(w, w[1:])}, dict(scores or {})))
 
         def counted(batches, known=known):
+            """Rows of two kinds: documents that may hold a leak, and the task's counts of the items' shingles."""
             shingles, scores = known.value
             normal, total = Normaliser(scores), Counter()
+            is_known, row = shingles.__contains__, b"\x01" * (n - 1)
+            names = ["a", "b", "n", "key", "t"]
             for b in batches:
-                for t in b.column(0).to_pylist():
+                may = []
+                for i, t in enumerate(b.column(1).to_pylist()):
                     w = words(t, normal)
-                    total.update(shingles.intersection(zip(w, w[1:])))
-            first, second = ([p[i] for p in total] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(list(total.values()), pa.int64())], ["a", "b", "n"])
-
+                    pairs = list(zip(w, w[1:]))
+                    hit = bytes(map(is_known, pairs))
+                    total.update(set(compress(pairs, hit)))
+                    if row in hit:
+                        may.append(i)
+                kept = b.take(pa.array(may, pa.int64()))
+                none = pa.nulls(len(may), pa.string())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(may), pa.int64()), kept.column(0), kept.column(1)], names)
+                kind = b.column(0).type
+            if total:
+                first, second = ([p[i] for p in total] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(list(total.values()), pa.int64()), pa.nulls(len(total), kind), pa.nulls(len(total), pa.string())], names)
+
+        seen = written(docs.mapInArrow(counted, f"a string, b string, n long, key {kinds[0]}, t string"), "leaks")
         # At most as many rows as the block of items has shingles.
-        counts = docs.select("t").mapInArrow(counted, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        counts = seen.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"))
         rarity = {(r["a"], r["b"]): r["n"] for r in counts.collect()}
         side = spark.sparkContext.broadcast((held, index(held, rarity, n), dict(scores or {})))
 
@@ -133,7 +153,7 @@ def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame, item_
                         which.append(item)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(which, pa.int64())], ["key", "place"])
 
-        pairs = docs.mapInArrow(matched, f"key {kinds[0]}, place long")
+        pairs = seen.where("a is null").select("key", "t").mapInArrow(matched, f"key {kinds[0]}, place long")
         keys = spark.createDataFrame(list(enumerate(names)), f"place long, item {kinds[1]}")
         pairs = pairs.join(F.broadcast(keys), "place").select("key", "item")
         out = pairs if out is None else out.unionAll(pairs)
