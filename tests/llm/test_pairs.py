@@ -20,3 +20,13 @@ def test_hot_members_join_in_blocks(spark):
     expected = sorted([(x, i) for x in "ab" for i in range(30)] + [("c", 99)])
     for per in (4, 1000):
         assert sorted((r["l"], r["k"]) for r in spread_join(left, members, ["g"], "k", per).collect()) == expected
+
+
+def test_sizes_that_are_known_change_nothing(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "c")], "g int, l string")
+    members = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 99)], "g int, k long")
+    sizes = spark.createDataFrame([(1, 30)], "g int, _n long")
+    expected = sorted([("a", i) for i in range(30)] + [("c", 99)])
+    for per in (4, 1000):
+        assert sorted((r["l"], r["k"]) for r in spread_join(left, members, ["g"], "k", per, sizes).collect()) == expected
+    assert paired_within(members, ["g"], "k", 4, sizes).count() == 30 * 29 // 2
