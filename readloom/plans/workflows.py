@@ -17,6 +17,7 @@ from readloom.operators import reformat as rf
 from readloom.operators import scan as sc
 from readloom.operators import spatial as sp
 from readloom.operators import whitelist as wl
+from readloom.plans import checks
 from readloom.plans.shape import few
 from readloom.sources.layouts import Element
 
@@ -70,8 +71,11 @@ def scan_whitelist(
     the profile for low counts before they are looked up; ``legacy`` calls as usual for ``visium`` and keeps every barcode of the
     map for ``visium-hd``, where the regions decide.
     """
-    if spatial_selection not in ("abundance", "legacy"):
-        raise ValueError("spatial_selection is abundance or legacy")
+    checks.choice(spatial_selection, "spatial_selection", ("abundance", "legacy"))
+    checks.choice(selection, "selection", ("high_specificity", "above_floor"))
+    checks.choice(capture_mode, "capture_mode", ("after_adapter", "masked"))
+    checks.flag(spatial, "spatial")
+    checks.whole(umi_length, "umi_length", 0)
     one_of(reads=None if reads is None else "reads", counts=None if counts is None else "counts")
     if reads is None and counts is None:
         raise ValueError("reads or counts are required")
@@ -81,10 +85,10 @@ def scan_whitelist(
         raise ValueError("a split scan has its own lists")
     if counts is not None and (whitelist is not None or bc1 is not None):
         raise ValueError("a rescan takes counts alone")
-    if not 0 <= max_error <= 1 or barcode_length < 1 or min(left_margin, right_margin) < 0:
-        raise ValueError("lengths and margins must be positive and max_error lies between 0 and 1")
-    if capture_mode not in ("after_adapter", "masked"):
-        raise ValueError("unknown capture mode")
+    checks.number(max_error, "max_error", 0, 1)
+    checks.whole(barcode_length, "barcode_length", 1)
+    checks.whole(left_margin, "left_margin", 0)
+    checks.whole(right_margin, "right_margin", 0)
     if capture_mode == "masked" and (left_margin or right_margin):
         raise ValueError("a mask takes no margins")
     if platform is not None:
@@ -177,6 +181,15 @@ def demultiplex(
     qualities and no ``joins``, ``fastq`` has the records with their qualities, for the FASTQ writers.
     """
     one_of(auto=auto, custom_whitelist=None if custom_whitelist is None else True)
+    checks.whole(whitelist_mutation, "whitelist_mutation", 0, 2)
+    checks.whole(min_read_length, "min_read_length", 0)
+    checks.whole(pad, "pad", 0)
+    if max_error is not None:
+        checks.number(max_error, "max_error", 0, 1)
+    if max_reads is not None:
+        checks.whole(max_reads, "max_reads", 0)
+    checks.choice(correction_policy, "correction_policy", ("offensive", "defensive"))
+    checks.choice(joint_policy, "joint_policy", ("default", "strict"))
     if max_reads is not None:
         reads = reads.where(F.col("read_key") <= max_reads)
     lists = dict(whitelists or {})
@@ -196,8 +209,6 @@ def demultiplex(
         if len(barcodes) != 2:
             raise ValueError("a mask needs two barcodes")
         records = dm.allowed(records, *barcodes, joint_mask)
-    if joint_policy not in ("default", "strict"):
-        raise ValueError("a joint policy is default or strict")
     records = dm.with_policy(records, barcodes, correction_policy)
     if joint_policy == "strict":
         records = dm.strict(records, barcodes)
@@ -305,8 +316,7 @@ def spatial_reformatted(reads: DataFrame, sample: str, slide: DataFrame | None =
         raise ValueError("either a map or two axes are required")
     if unit not in ("bin", "cell") or bin_size < 2 or bin_size % 2 or unit == "cell" and bin_size != 2:
         raise ValueError("unit is bin with an even bin size, or cell with a bin size of 2")
-    if not sample or any(c.isspace() or c == ":" for c in sample):
-        raise ValueError("a sample name has no blank and no colon")
+    checks.name_of_sample(sample)
     if axes is not None:
         cb = reads.select("read_key", rf.tag(F.col("seq_comment"), "CB").alias("barcode")).where("barcode is not null")
         slide = sp.assigned_by_axes(cb.select("barcode").distinct(), "barcode", *axes, length1 or 0).where("status = 'assigned'").select("barcode", "array_row", "array_col", F.lit(1).alias("in_tissue"), F.lit(None).cast("string").alias("cell_id"))

@@ -30,6 +30,12 @@ def _open(path: str):
     return gzip.open(path, "rt", encoding="utf-8", newline="\n") if packed else open(path, encoding="utf-8", newline="\n")
 
 
+def _named(head: str) -> tuple[str, str]:
+    """Identifier and comment of a header line, parted at the first blank or tab."""
+    name, _, comment = head[1:].partition(" ") if "\t" not in head or 0 < head.find(" ") < head.find("\t") else head[1:].partition("\t")
+    return name, comment
+
+
 def records(path: str) -> Iterator[tuple]:
     """``(seq_id, seq_comment, seq, qual, plus)`` of a file, FASTA or FASTQ by its first letter; sequences may run over lines."""
     try:
@@ -44,7 +50,7 @@ def records(path: str) -> Iterator[tuple]:
                 kind = kind or head[0]
                 if kind not in "@>" or head[0] != kind:
                     raise FastqError(f"{path}, record {n}: expected {kind if kind in '@>' else '@ or >'}")
-                name, _, comment = head[1:].partition(" ") if "\t" not in head or 0 < head.find(" ") < head.find("\t") else head[1:].partition("\t")
+                name, comment = _named(head)
                 seq, line = [], f.readline()
                 while line and line[0] not in ("+>" if kind == "@" else ">") and not (kind == "@" and line[0] == "@" and seq == []):
                     seq.append(line.rstrip("\r\n"))
@@ -98,18 +104,68 @@ def _rows(partition: _File, most: int | None) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(rows)), keys, *(pa.array(c, pa.string()) for c in zip(*rows))], schema=schema)
 
 
+class _Stretch(InputPartition):
+    """Records of a plain file that begin within a stretch of its bytes."""
+
+    def __init__(self, path: str, place: int, start: int, end: int):
+        self.path, self.place, self.start, self.end = path, place, start, end
+
+
+def _stretch_rows(part: _Stretch) -> Iterator[pa.RecordBatch]:
+    """Records of four lines; ``read_key`` is the place of the record's first byte, from 1 on, so it needs no count of what lies before."""
+    schema = pa.schema([("file", pa.string()), ("read_key", pa.int64()), *((c, pa.string()) for c in ("seq_id", "seq_comment", "seq", "qual", "plus"))])
+
+    def found() -> Iterator[tuple]:
+        with open(part.path, "rb") as f:
+            f.seek(part.start)
+            at = part.start
+            if at:
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+                # The line after the next begins with a plus only behind a header: neither bases nor qualities' places fit.
+                ahead: list[bytes] = []
+                while len(ahead) < 8 and (line := f.readline()):
+                    ahead.append(line)
+                skip = next((i for i in range(min(4, len(ahead))) if ahead[i][:1] == b"@" and i + 2 < len(ahead) and ahead[i + 2][:1] == b"+"), None)
+                if skip is None:
+                    return
+                at += sum(map(len, ahead[:skip]))
+                f.seek(at)
+            while at < part.end and (lines := list(itertools.islice(f, 4))):
+                head, seq, plus, qual = ([x.decode().rstrip("\r\n") for x in lines] + [""] * 4)[:4]
+                if head[:1] != "@" or plus[:1] != "+" or len(seq) != len(qual):
+                    raise FastqError(f"{part.path}, byte {at}: no record of four lines")
+                name, comment = _named(head)
+                yield part.path, part.place * FILE_KEYS + at + 1, name, comment or None, seq, qual, plus[1:] or None
+                at += sum(map(len, lines))
+
+    rows = found()
+    while batch := list(itertools.islice(rows, 5000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*batch), schema)], schema=schema)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
+        self.stretch = int(options.get("splitbytes") or options.get("splitBytes") or 0)
         self.path = options.get("path")
         self.most = int(options["maxreads"]) if "maxreads" in options else int(options["maxReads"]) if "maxReads" in options else None
         if not self.path:
             raise ValueError("a path is required")
 
     def partitions(self):
-        return [_File(p, i) for i, p in enumerate(files_of(self.path))]
+        out: list[InputPartition] = []
+        for i, p in enumerate(files_of(self.path)):
+            size = os.path.getsize(p)
+            with open(p, "rb") as f:
+                plain = f.read(1) == b"@"
+            if self.stretch and plain and size > self.stretch and self.most is None:
+                out += [_Stretch(p, i, at, min(at + self.stretch, size)) for at in range(0, size, self.stretch)]
+            else:
+                out.append(_File(p, i))
+        return out
 
     def read(self, partition):
-        return _rows(partition, self.most)
+        return _stretch_rows(partition) if isinstance(partition, _Stretch) else _rows(partition, self.most)
 
 
 class _BoundedReader(_Reader):
@@ -147,7 +203,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("fastq").load(path)`` and ``spark.readStream``; a file is a partition, as gzip cannot be split.
+    """``spark.read.format("fastq").load(path)`` and ``spark.readStream``; a file is a partition, as gzip cannot be split; ``splitBytes`` splits plain ones.
 
     ``read_key`` counts the records of the first file from 1, those of file n from n times ``FILE_KEYS`` on, so it is unique
     in a folder and keeps the order of the input; ``maxReads`` ends each file after so many.
@@ -168,10 +224,12 @@ class FastqSource(DataSource):
         return _StreamReader(self.options)
 
 
-def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None, phred_offset: int = 33, keep_comment: bool = True) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None, phred_offset: int = 33, keep_comment: bool = True, split_bytes: int | None = None) -> DataFrame:
     """Records of a file or folder with their summaries; an empty file gives no rows.
 
     A bound on ``read_key`` in a filter ends the reading early, for which pushdown to Python sources is enabled.
+    With ``split_bytes`` plain FASTQ files of four lines a record are read by a task for so many bytes; their keys rise with
+    the records but are byte places, which ``compact`` turns into numbers.
     ``max_reads`` keeps the first records of the whole input; qualities of another ``phred_offset`` are brought to 33.
     """
     from readloom.operators.reads import with_summaries
@@ -181,6 +239,8 @@ def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None, phr
     reader = spark.read.format("fastq").option("bounded", "true")
     if max_reads is not None:
         reader = reader.option("maxReads", str(max_reads))
+    if split_bytes is not None:
+        reader = reader.option("splitBytes", str(split_bytes)).option("bounded", "false")
     reads = reader.load(path)
     if max_reads is not None and len(files_of(path)) > 1:
         reads = reads.orderBy("read_key").limit(max_reads)
