@@ -300,6 +300,11 @@ t AS (SELECT *, substr(s, b, 16) AS barcode_raw, substr(s, b + 16, 12) AS umi, l
 e AS (SELECT *, coalesce(list_min(list_filter(list_transform(stops, lambda q: strpos(tail, q)), lambda i: i > 0)) - 1, length(tail)) AS n FROM t)"""
 
 
+#: Units of longchain reads, cut at the joins on both strands.
+_UNITS = f"""j AS (SELECT upper(seq) AS f, {rq._RC.format('upper(seq)')} AS r FROM read_layout WHERE layout = 'longchain' AND class = 'linker'),
+jp AS (SELECT string_agg(s, '|' ORDER BY length(s) DESC, s) AS p FROM (SELECT f AS s FROM j UNION SELECT r FROM j)),
+cut AS (SELECT read_key, list_filter(regexp_split_to_array(upper(seq), p), lambda x: x <> '') AS xs FROM rad_reads, jp WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')),
+units AS (SELECT read_key || '/' || generate_subscripts(xs, 1) AS id, len(xs) AS units, unnest(xs) AS seq FROM cut)"""
 _LONGCHAIN = "SELECT read_key AS id, seq FROM rad_reads WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')"
 
 
@@ -359,10 +364,7 @@ def demux_generated(spark, sf):
 
 
 @query(f"""
-WITH j AS (SELECT upper(seq) AS f, {rq._RC.format('upper(seq)')} AS r FROM read_layout WHERE layout = 'longchain' AND class = 'linker'),
-jp AS (SELECT string_agg(s, '|' ORDER BY length(s) DESC, s) AS p FROM (SELECT f AS s FROM j UNION SELECT r FROM j)),
-cut AS (SELECT read_key, list_filter(regexp_split_to_array(upper(seq), p), lambda x: x <> '') AS xs FROM rad_reads, jp WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')),
-units AS (SELECT read_key || '/' || generate_subscripts(xs, 1) AS id, len(xs) AS units, unnest(xs) AS seq FROM cut),
+WITH {_UNITS},
 {_parts('SELECT id, seq FROM units')},
 c AS (SELECT e.*, u.units, length(regexp_replace(substr(tail, 1, n), 'N+', '', 'g')) >= 30 AS kept FROM e JOIN units u ON u.id = e.id JOIN w ON w.barcode = e.barcode_raw)
 SELECT 1 AS class_id, barcode_raw AS true_bc, count(*) AS raw_count, count(*) AS total_count, CAST(0 AS BIGINT) AS corrected_count, count(*) FILTER (strand = 'F') AS forw_count, count(*) FILTER (strand = 'R') AS rev_count,
@@ -442,9 +444,11 @@ SELECT read_key, CAST(generate_subscripts(ps, 1) AS BIGINT) AS segment, CAST(len
 
 # Primers and joins within 15 % of their letters: the primer's first best end on the better strand, then the first place of a
 # join or the closing primer behind the tail of T, whose start is found by an anchored alignment of the reversed letters.
-_SQL["demux_fuzzy"] = f"""
-WITH RECURSIVE w AS {rq._WL.format('cell16')},
-o AS (SELECT read_key, upper(seq) AS f, {rq._RC.format('upper(seq)')} AS r FROM rad_reads WHERE run_id IN (SELECT run_id FROM run_batches WHERE layout = 'longchain')),
+def _fuzzy(source: str, first: str = "") -> str:
+    """Common tables up to ``c`` for a ``source (read_key, seq)`` of longchain reads or units."""
+    return f"""
+WITH RECURSIVE {first}w AS {rq._WL.format('cell16')},
+o AS (SELECT read_key, upper(seq) AS f, {rq._RC.format('upper(seq)')} AS r FROM ({source})),
 sides AS (SELECT read_key, 'F' AS side, f AS s FROM o UNION ALL SELECT read_key, 'R', r FROM o),
 {_aligned(f"SELECT (read_key, side) AS id, {_PRIMER} AS p, s AS t FROM sides WHERE length(s) >= length({_PRIMER}) - 3", "_p")},
 placed AS (SELECT b.read_key, b.side AS strand, b.s, l.distance, l.spot + 1 + 28 AS at0, l.spot + 1 AS b FROM sides b JOIN aligned_p l ON l.id = (b.read_key, b.side)
@@ -460,7 +464,16 @@ starts AS (SELECT k.id[1] AS read_key, k.id[3] + 1 - arg_min(k.j, k.score * 1000
 closed AS (SELECT t.read_key, min(start) AS stop FROM taken t JOIN starts ON starts.read_key = t.read_key WHERE start >= at1 GROUP BY t.read_key),
 found AS (SELECT t.*, regexp_replace(substr(s, CAST(at1 + 1 AS BIGINT), CAST(coalesce(stop, length(s)) - at1 AS BIGINT)), '[Nn]+', '', 'g') AS part FROM taken t LEFT JOIN closed ON closed.read_key = t.read_key),
 d AS (SELECT read_key, strand, substr(s, b + 1, 16) AS barcode_raw, substr(s, b + 17, 12) AS umi, CASE strand WHEN 'R' THEN {rq._RC.format('part')} ELSE part END AS cdna FROM found)
-{rq._FIXED[len(rq._LONG):]}SELECT *, barcode IS NOT NULL AND length(cdna) >= 30 AS passing FROM c"""
+{rq._FIXED[len(rq._LONG):]}"""
+
+
+_SQL["demux_fuzzy"] = _fuzzy(_LONGCHAIN.replace("AS id", "AS read_key").replace("read_key AS read_key", "read_key")) + "SELECT *, barcode IS NOT NULL AND length(cdna) >= 30 AS passing FROM c"
+_SQL["demux_unit_counters"] = (
+    _fuzzy("SELECT id AS read_key, seq FROM units", _UNITS + ",\n")
+    + """SELECT 1 AS class_id, barcode AS true_bc, count(*) FILTER (barcode_kind = 'exact') AS raw_count, count(*) FILTER (barcode_kind IN ('exact', 'corrected')) AS total_count, count(*) FILTER (barcode_kind = 'corrected') AS corrected_count,
+  count(*) FILTER (strand = 'F') AS forw_count, count(*) FILTER (strand = 'R') AS rev_count, count(*) FILTER (strand = 'F' AND units > 1) AS forw_concat_count, count(*) FILTER (strand = 'R' AND units > 1) AS rev_concat_count, count(*) FILTER (length(cdna) < 30) AS filtered_count,
+  count(*) FILTER (barcode_kind = 'exact') >= 2 OR count(*) FILTER (barcode_kind = 'corrected') / greatest(count(*), 1) <= 0.8 AS trusted FROM c JOIN units u ON u.id = c.read_key WHERE barcode IS NOT NULL GROUP BY barcode"""
+)
 
 
 def queries() -> dict[str, rq.Query]:
