@@ -6,7 +6,6 @@ Queries of sinks write whole tables into the scratch folder and read them again.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
@@ -43,10 +42,10 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new path in the scratch folder, as a plain one where that is a local or shared file system."""
+    """A new path in the scratch folder, which must be mounted on all machines, since FASTQ files are opened by path."""
     root = urlparse(scratch_root(spark))
     if root.scheme not in ("", "file"):
-        return os.path.join(tempfile.mkdtemp(), name)
+        raise ValueError("FASTQ files are read by path: spark.checkpoint.dir must be a mounted folder for these queries")
     os.makedirs(root.path, exist_ok=True)
     return os.path.join(root.path, f"{name}-{uuid.uuid4().hex}")
 
@@ -68,10 +67,7 @@ def _sound(spark, sf) -> DataFrame:
 @query(f"SELECT row_number() OVER (ORDER BY read_key) AS place, seq_id, nullif(seq_comment, '') AS seq_comment, seq, qual, CAST(length(seq) AS INT) AS length FROM {_SOUND}")
 def fastq_round_trip(spark, sf):
     path = _folder(spark, "fastq")
-    fq.write_fastq_parts(_sound(spark, sf).select("read_key", "seq_id", "seq_comment", "seq", "qual"), f"file://{path}.parts")
-    os.makedirs(path)
-    for name in sorted(n for n in os.listdir(f"{path}.parts") if n.startswith("part-")):
-        os.rename(f"{path}.parts/{name}", f"{path}/{name.split('.')[0]}.fastq.gz")
+    fq.write_fastq_parts(_sound(spark, sf).select("read_key", "seq_id", "seq_comment", "seq", "qual"), f"file://{path}")
     back = fq.read_fastq(spark, path).select("read_key", "seq_id", "seq_comment", "seq", "qual", "length")
     return rd.numbered(back, ["read_key"], "place").select("place", "seq_id", "seq_comment", "seq", "qual", "length")
 
@@ -108,10 +104,7 @@ def fastq_pull_stream(spark, sf):
 def fasta_round_trip(spark, sf):
     path = _folder(spark, "fasta")
     reads = _sound(spark, sf)
-    reads.select("read_key", reformat.fasta(F.col("seq_id"), F.col("seq_comment"), F.col("seq")).alias("value")).repartitionByRange("read_key").sortWithinPartitions("read_key").select("value").write.option("compression", "gzip").text(f"file://{path}.parts")
-    os.makedirs(path)
-    for name in sorted(n for n in os.listdir(f"{path}.parts") if n.startswith("part-")):
-        os.rename(f"{path}.parts/{name}", f"{path}/{name.split('.')[0]}.fasta.gz")
+    reads.select("read_key", reformat.fasta(F.col("seq_id"), F.col("seq_comment"), F.col("seq")).alias("value")).repartitionByRange("read_key").sortWithinPartitions("read_key").select("value").write.option("compression", "gzip").text(f"file://{path}")
     back = fq.read_fastq(spark, path).where("qual is null").select("read_key", "seq_id", "seq_comment", "seq")
     return rd.numbered(back, ["read_key"], "read_key")
 
@@ -147,10 +140,10 @@ def reads_as_reads(spark, sf):
 
 @query(_SUMMARIES + " WHERE qual IS NULL OR length(qual) = length(seq)")
 def reads_save_load(spark, sf):
-    path = _folder(spark, "saved")
+    path = f"{scratch_root(spark)}/saved-{uuid.uuid4().hex}"
     r = spread(rq.reads_of(spark, sf)).where("qual is null or length(qual) = length(seq)").select("read_key", "seq_id", "seq_comment", "seq", "qual")
-    sinks.save(rd.with_summaries(r).select(*rd.CORE), f"file://{path}")
-    return _rounded(sinks.load(spark, f"file://{path}").select(*rd.CORE))
+    sinks.save(rd.with_summaries(r).select(*rd.CORE), path)
+    return _rounded(sinks.load(spark, path).select(*rd.CORE))
 
 
 _SAFE_CB = f"(SELECT * FROM (SELECT *, nullif({rq._TAG.format('CB')}, '') AS cb FROM {_SOUND}) WHERE regexp_full_match(cb, '{sinks.SAFE[1:-1]}'))"
@@ -159,9 +152,9 @@ _SAFE_CB = f"(SELECT * FROM (SELECT *, nullif({rq._TAG.format('CB')}, '') AS cb
 @query(f"SELECT cb, row_number() OVER (PARTITION BY cb ORDER BY read_key) AS i, seq_id, seq, qual FROM {_SAFE_CB}")
 def split_sink(spark, sf):
     """Records by barcode, as they lie in the files of each."""
-    path, cb = _folder(spark, "split"), dna.tag(F.col("seq_comment"), "CB")
-    sinks.split_by_barcode(_sound(spark, sf).where((cb != "") & cb.rlike(sinks.SAFE)), f"file://{path}")
-    files = spark.read.text(f"file://{path}/CB=*/", wholetext=True).select(F.col("value"), F.input_file_name().alias("f"))
+    path, cb = f"{scratch_root(spark)}/split-{uuid.uuid4().hex}", dna.tag(F.col("seq_comment"), "CB")
+    sinks.split_by_barcode(_sound(spark, sf).where((cb != "") & cb.rlike(sinks.SAFE)), path)
+    files = spark.read.text(f"{path}/CB=*/", wholetext=True).select(F.col("value"), F.input_file_name().alias("f"))
     lines = files.select(F.url_decode(F.regexp_extract("f", "/CB=([^/]+)/", 1)).alias("cb"), "f", F.posexplode(F.split(F.regexp_replace("value", "\n\\z", ""), "\n")).alias("n", "line"))
     four = lines.groupBy("cb", "f", F.floor(F.col("n") / 4).alias("r")).agg(*(F.max(F.when(F.col("n") % 4 == i, F.col("line"))).alias(c) for i, c in ((0, "head"), (1, "seq"), (3, "qual"))))
     named = four.withColumn("seq_id", F.substring_index(F.expr("substring(head, 2)"), " ", 1))

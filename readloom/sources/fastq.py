@@ -78,10 +78,11 @@ def records(path: str) -> Iterator[tuple]:
 
 
 def files_of(path: str) -> list[str]:
-    """The file, or the sequence files of a folder in order of their names."""
+    """The file, or the sequence files of a folder in order of their names; the parts that ``write_fastq_parts`` leaves are some, too."""
+    path = path.removeprefix("file://")
     if not os.path.isdir(path):
         return [path]
-    names = sorted(n for n in os.listdir(path) if n.lower().removesuffix(".gz").endswith(SUFFIXES))
+    names = sorted(n for n in os.listdir(path) if n.lower().removesuffix(".gz").endswith(SUFFIXES) or n.startswith("part-"))
     return [os.path.join(path, n) for n in names]
 
 
