@@ -113,3 +113,20 @@ def discovery_tables(result, prefix: str) -> dict[str, str]:
     ends = {"parts": "_parts.csv", "whitelists": "_whitelists.csv", "spacing": "_spacing.csv"}
     tables = {name + e: result.tables[t] for t, e in ends.items() if t in result.tables}
     return write_tables(tables | {name + ("_layout.csv" if result.notes["layout_complete"] else "_layout.partial.csv"): layout}, folder)
+
+
+#: Tables of a demultiplexing by the file each goes into.
+DEMUX_FILES = {"stats": "_stats.csv", "counters": "_counters.csv.gz", "whitelist_true": "_whitelist_true.csv.gz", "debug": "_debug.csv.gz"}
+
+
+def demux_artifacts(result, prefix: str) -> dict[str, str]:
+    """Records as ``<prefix>.fastq.gz`` in input order, beside them statistics, counters, the trusted barcodes and, if there is one, the debug table."""
+    if "fastq" not in result.tables:
+        raise ValueError("the records have no qualities")
+    tables = dict(result.tables)
+    if "counters" in tables:
+        tables["whitelist_true"] = tables["counters"].where("trusted").select(F.col("true_bc").alias("barcode")).orderBy("barcode")
+    folder, name = os.path.split(os.path.abspath(prefix))
+    paths = write_tables({name + end: tables[t] for t, end in DEMUX_FILES.items() if t in tables}, folder)
+    paths[f"{name}.fastq.gz"] = write_fastq(tables["fastq"], os.path.join(folder, f"{name}.fastq.gz"))
+    return paths

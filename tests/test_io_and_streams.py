@@ -179,6 +179,13 @@ def test_folders_of_files_give_their_own_headers(spark, tmp_path):
     records = out.tables["fastq"].orderBy("read_key").collect()
     assert [(r["seq_id"], r["seq"], r["qual"]) for r in records][0] == ("r00-F", "CCCAAAAA", "ABCEFGHI")
     assert records[0]["seq_comment"] == "TS:A:+ CB:Z:TTGG CR:Z:TTGG UB:Z:ACG"
+    from readloom.plans.sinks import demux_artifacts
+
+    (tmp_path / "out").mkdir()
+    paths = demux_artifacts(out, str(tmp_path / "out" / "run"))
+    assert sorted(paths) == ["run.fastq.gz", "run_counters.csv.gz", "run_stats.csv", "run_whitelist_true.csv.gz"]
+    assert gzip.open(paths["run_whitelist_true.csv.gz"], "rt").read() == "barcode\nTTGG\n"
+    assert gzip.open(paths["run.fastq.gz"], "rt").read().startswith("@r00-F TS:A:+ CB:Z:TTGG CR:Z:TTGG UB:Z:ACG\nCCCAAAAA\n+\nABCEFGHI\n@r01-F")
 
 
 def test_rewrite_keeps_the_plus_line_and_refuses_missing_quality(spark, tmp_path):
