@@ -128,8 +128,9 @@ def similar_infix(left: DataFrame, a: str, right: DataFrame, b: str, cap: int) -
         n = F.length(p)
         start = lambda i: F.floor(n * i / parts).cast("int")
         seeds = short.select(p, F.explode(F.array_distinct(F.array(*(F.substring(F.col(p), start(i) + 1, start(i + 1) - start(i)) for i in range(parts))))).alias("seed"))
-        sizes = seeds.select(F.length("seed").alias("size")).distinct()
-        windows = long.crossJoin(F.broadcast(sizes)).where(F.length(t) >= F.col("size"))
+        # The few lengths of seeds, at most as many as the longest pattern has letters.
+        sizes = seeds.agg(F.collect_set(F.length("seed")).alias("sizes")).scalar()
+        windows = long.withColumn("_sizes", sizes).select(t, F.explode("_sizes").alias("size")).where(F.length(t) >= F.col("size"))
         windows = windows.select(t, F.explode(F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - F.col("size") + 1, F.lit(1))), lambda i: F.substring(F.col(t), i, F.col("size")))))).alias("seed"))
         return seeds.join(windows, "seed").where(F.length(p) <= F.length(t)).select("a", "b")
 
