@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import neighbourhood, unpack_wide
-from readloom.operators.align import infix_one
+from readloom.operators.align import infix_pairs
 
 
 def cleaned(lines: DataFrame, column: str = "barcode", packed_length: int | None = None) -> DataFrame:
@@ -135,11 +135,12 @@ def similar_infix(left: DataFrame, a: str, right: DataFrame, b: str, cap: int) -
         return seeds.join(windows, "seed").where(F.length(p) <= F.length(t)).select("a", "b")
 
     def distance(p, t):
-        return pa.array([infix_one(u, v)[0] for u, v in zip(p.to_pylist(), t.to_pylist())], pa.int32())
+        return pa.array(infix_pairs(p.to_pylist(), t.to_pylist()), pa.int32())
 
     distance.__annotations__ = {"p": pa.Array, "t": pa.Array, "return": pa.Array}
-    pairs = one_way(x, "a", y, "b").unionByName(one_way(y, "b", x, "a")).distinct()
-    return pairs.withColumn("distance", F.arrow_udf(distance, "int")(F.col("a"), F.col("b"))).where(F.col("distance") <= cap)
+    # Few of the pairs that share a part are near, so repeated ones leave behind the comparison, not before it.
+    pairs = one_way(x, "a", y, "b").unionByName(one_way(y, "b", x, "a"))
+    return pairs.withColumn("distance", F.arrow_udf(distance, "int")(F.col("a"), F.col("b"))).where(F.col("distance") <= cap).distinct()
 
 
 def counters(records: DataFrame, class_id: str = "class_id", true_bc: str = "true_bc") -> DataFrame:

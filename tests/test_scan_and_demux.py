@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,22 @@ def test_infix_similarity_matches_brute_force(spark, cap):
     assert not whitelist.similar(x, "a", y, "b", cap).where(f"b = '{code}' and length(a) > 20").count()
 
 
+def test_infix_distances_of_pairs_take_steps_at_once():
+    """Pair by pair, 100 000 barcode and window pairs took some 15 seconds."""
+    rng = random.Random(3)
+    word = lambda lo, hi, letters="ACGT": "".join(rng.choice(letters) for _ in range(rng.randrange(lo, hi)))
+    p, t = [word(0, 70) for _ in range(300)] + [word(0, 9, "AÉ\0g") for _ in range(300)], [word(0, 70) for _ in range(300)] + [word(0, 9, "AÉ\0g") for _ in range(300)]
+    assert align.infix_pairs(p, t).tolist() == [align.infix_one(x, y)[0] for x, y in zip(p, t)]
+    assert align.infix_pairs([], []).tolist() == []
+    codes, windows = [word(16, 17) for _ in range(1000)], [word(24, 25) for _ in range(1000)]
+    began = time.process_time()
+    many = align.infix_pairs([codes[i % 1000] for i in range(100_000)], [windows[i // 100] for i in range(100_000)])
+    took = time.process_time() - began
+    began = time.process_time()
+    assert many[:2000].tolist() == [align.infix_one(codes[i % 1000], windows[i // 100])[0] for i in range(2000)]
+    assert took < 50 * (time.process_time() - began) / 5
+
+
 def test_generated_candidates_and_shifted_windows(spark):
     wl = spark.createDataFrame([("AAAA",), ("AATT",), ("GGGG",)], "barcode string")
     seen = spark.createDataFrame([("AAAT",), ("AAAA",), ("CCCC",), (None,)], "bc string")
