@@ -5,6 +5,7 @@ Queries of sinks write whole tables into the scratch folder and read them again.
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from urllib.parse import urlparse
@@ -91,13 +92,25 @@ def fastq_rejections(spark, sf):
 def fastq_pull_stream(spark, sf):
     path = _folder(spark, "pulled") + ".fastq.gz"
     fq.write_fastq(_sound(spark, sf).select("read_key", "seq_id", "seq_comment", "seq", "qual"), path)
-    stream, out = fq.FastqStream(spark, path), None
-    chunk = 0
+    stream, kind = fq.FastqStream(spark, path), "chunk long, reads long, bases long, first_key long"
+    out, held, chunk, before = f"{scratch_root(spark)}/chunks-{uuid.uuid4().hex}", [], 0, 0
+
+    def summed():
+        """Adds up the chunks in hand, so that the driver never holds more than a few."""
+        every = functools.reduce(DataFrame.unionAll, held).coalesce(1)
+        every.groupBy("chunk").agg(F.count(F.lit(1)).alias("reads"), F.sum("length").alias("bases"), F.min("read_key").alias("first_key")).write.mode("append").parquet(out)
+        held.clear()
+
     while (rows := stream.next(1000)) is not None:
-        one = rows.agg(F.lit(chunk).cast("long").alias("chunk"), F.count(F.lit(1)).alias("reads"), F.sum(F.length("seq")).alias("bases"), F.min("read_key").alias("first_key"))
-        out, chunk = one if out is None else out.unionAll(one), chunk + 1
+        held.append(rows.select(F.lit(chunk).cast("long").alias("chunk"), F.length("seq").alias("length"), "read_key"))
+        chunk += 1
+        if len(held) == 64 or stream.letters - before > 8_000_000:
+            summed()
+            before = stream.letters
+    if held:
+        summed()
     stream.close()
-    return out if out is not None else spark.createDataFrame([], "chunk long, reads long, bases long, first_key long")
+    return spark.read.schema(kind).parquet(out) if chunk else spark.createDataFrame([], kind)
 
 
 @query(f"SELECT row_number() OVER (ORDER BY read_key) AS read_key, seq_id, nullif(seq_comment, '') AS seq_comment, seq FROM {_SOUND} ")

@@ -253,10 +253,14 @@ def read_fastq(spark: SparkSession, path: str, max_reads: int | None = None, phr
 
 
 class FastqStream:
-    """Pull stream over a file: ``next(n)`` gives at most ``n`` records as a table, then ``None``; it cannot go on after an error."""
+    """Pull stream over a file: ``next(n)`` gives at most ``n`` records as a table, then ``None``; it cannot go on after an error.
+
+    The driver holds the records of a table as long as the table is used.  ``letters`` counts those of all sequences so far.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self._records, self._read, self.done, self._broken = spark, records(path), 0, False, False
+        self.letters = 0
 
     def next(self, n: int = 50_000) -> DataFrame | None:
         if self._records is None:
@@ -279,7 +283,11 @@ class FastqStream:
         if not rows:
             return None
         self._read += len(rows)
-        return self.spark.createDataFrame(rows, "read_key long, seq_id string, seq_comment string, seq string, qual string, plus string")
+        self.letters += sum(len(r[3]) for r in rows)
+        # By Arrow, which makes a small local relation that goes with the table.
+        kinds = [pa.int64(), *[pa.string()] * 5]
+        table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["read_key", "seq_id", "seq_comment", "seq", "qual", "plus"])
+        return self.spark.createDataFrame(table)
 
     def close(self) -> None:
         self._records = None

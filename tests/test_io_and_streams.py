@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from readloom.operators import reads as rd
 from readloom.plans import publish as pb
+from readloom.plans import store_queries
 from readloom.plans.scratch import written
 from readloom.sources import fastq as fq
 from readloom.streaming import counts
@@ -216,3 +217,12 @@ def test_plain_files_are_read_in_stretches(spark, tmp_path):
         got = fq.read_fastq(spark, p, split_bytes=size)
         assert [(r["seq_id"], r["seq"], r["qual"]) for r in got.orderBy("read_key").collect()] == rows
         assert got.select("read_key").distinct().count() == 400
+
+
+def test_pulled_chunks_leave_the_driver(spark, tmp_path, monkeypatch):
+    """The plan of a query over a pull stream does not hold the tables that were pulled."""
+    reads = rd.pack_reads(spark, [f"r{i}" for i in range(66_500)], ["ACGT"] * 66_500, ["IIII"] * 66_500, [None] * 66_500)
+    monkeypatch.setattr(store_queries, "_sound", lambda spark, sf: reads)
+    out = store_queries.fastq_pull_stream(spark, "")
+    assert "LocalRelation" not in out._jdf.queryExecution().optimizedPlan().toString() and out.rdd.getNumPartitions() < 20
+    assert sorted(map(tuple, out.collect())) == [(i, min(1000, 66_500 - 1000 * i), 4 * min(1000, 66_500 - 1000 * i), 1000 * i + 1) for i in range(67)]
